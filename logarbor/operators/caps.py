@@ -1,0 +1,20 @@
+"""Line cap and entry cap: the first N lines / entries in file order.
+
+Both are exact and distributed: positions come from the two-level numbering in
+``sequence`` (no single-task limit, no driver collect).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logarbor.operators.sequence import number_rows
+
+
+def apply_line_cap(lines: DataFrame, max_lines: int) -> DataFrame:
+    return number_rows(lines, "_line_no").filter(F.col("_line_no") <= max_lines).drop("_line_no")
+
+
+def apply_entry_cap(entries: DataFrame, max_entries: int) -> DataFrame:
+    return number_rows(entries, "_entry_no").filter(F.col("_entry_no") <= max_entries).drop("_entry_no")
