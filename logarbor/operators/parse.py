@@ -57,16 +57,21 @@ def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
         rewritten = F.when(cond, rep) if rewritten is None else rewritten.when(cond, rep)
     if rewritten is None:
         rewritten = F.lit(None).cast("string")
-    parts = F.when(F.col("route").isNotNull() & F.startswith(rewritten, F.lit("\n")),
-                   F.split(F.substring(rewritten, 2, 1 << 30), "\n"))
-    # Generate barrier: the regex runs once per line whatever is filtered above.
-    staged = staged.select("*", F.explode(F.array(parts)).alias("parts"))
+    # one regex pass: a match starts with '\n', so the first split element is empty
+    staged = staged.select("*", F.explode(F.array(F.split(rewritten, "\n"))).alias("parts"))
 
     p = F.col("parts")
+    ok = None
+    for fam, m in matchers.items():
+        if m is None:
+            continue
+        cond = (F.col("route") == fam) & (F.size(p) == m.n_fields + 1)
+        ok = cond if ok is None else ok | cond
+    ok = (F.get(p, 0) == "") & (ok if ok is not None else F.lit(False))
     nf = len(FIELDS)
     cols = [F.col("raw_line"), F.col("file_path"), F.col("block_start"), F.col("line_seq"), F.col("route")]
     for i, name in enumerate(FIELDS):
-        cols.append(F.element_at(p, i + 1).alias(name))
+        cols.append(F.get(p, i + 1).alias(name))
     # which format matched: the first non-empty message field of the route's family
     fmt = None
     msg = None
@@ -74,8 +79,8 @@ def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
         if m is None:
             continue
         for j, name in enumerate(m.formats):
-            field = F.element_at(p, nf + j + 1)
-            cond = (F.col("route") == fam) & (field != "")
+            field = F.get(p, nf + j + 1)
+            cond = ok & (F.col("route") == fam) & (field != "")
             fmt = F.when(cond, F.lit(name)) if fmt is None else fmt.when(cond, F.lit(name))
             msg = F.when(cond, field) if msg is None else msg.when(cond, field)
     cols.append((fmt if fmt is not None else F.lit(None).cast("string")).alias("format"))

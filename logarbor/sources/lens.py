@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logarbor.sources.partitioning import spread
+
 # Service per event type.
 SERVICES = (("error", "kernel"), ("click", "nginx"), ("view", "web.ui"),
             ("signup", "auth-d"), ("purchase", "shop/pay"))
@@ -83,4 +85,4 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lens(spark: SparkSession, sf_dir: str, shift_days: int = 0,
          chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
-    return lens_lines(read_events(spark, sf_dir), shift_days, chunk_lines)
+    return spread(lens_lines(read_events(spark, sf_dir), shift_days, chunk_lines))

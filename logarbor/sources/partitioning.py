@@ -1,0 +1,19 @@
+"""Spread a narrow input over the cluster.
+
+A single-row-group Parquet file or a gzip/xz archive is read by one task. When
+the input has fewer partitions than the cluster runs at once, the lines are
+hash-distributed once so parsing uses every core; wide inputs (thousands of
+splits) are left as they are and never pay the shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    spark = lines.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() >= target:
+        return lines
+    return lines.repartition(target, "file_path", "line_seq")
