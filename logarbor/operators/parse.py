@@ -12,6 +12,8 @@ pushed below the projection and run the regex again.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,18 @@ def route(line: Column) -> Column:
             .when(long_enough & line.rlike("(?U)" + DATE_PREFIX), F.lit("iso")))
 
 
-def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Every line, with the format that matched (NULL: none) and its raw fields."""
+@lru_cache(maxsize=None)
+def _match_columns(formats: tuple[str, ...]) -> tuple[tuple[Column, ...], Column, tuple[Column, ...]]:
+    """Column expressions of ``match_lines`` for one format set.
+
+    Built once per format set and reused: the expressions are unresolved, so any
+    DataFrame with the ``lines`` columns can take them (saves thousands of py4j calls).
+    """
     line = py_strip(F.col("value"))
-    staged = lines.select(line.alias("raw_line"), *ORDER_COLUMNS[:2], "line_seq")
-    staged = staged.withColumn("route", route(F.col("raw_line")))
+    stage = (line.alias("raw_line"), F.col("file_path"), F.col("block_start"), F.col("line_seq"),
+             route(line).alias("route"))
 
-    matchers = {fam: family_matcher(fam, opts.formats) for fam in ("bsd", "iso")}
+    matchers = {fam: family_matcher(fam, formats) for fam in ("bsd", "iso")}
     rewritten = None
     for fam, m in matchers.items():
         if m is None:
@@ -58,7 +65,7 @@ def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     if rewritten is None:
         rewritten = F.lit(None).cast("string")
     # one regex pass: a match starts with '\n', so the first split element is empty
-    staged = staged.select("*", F.explode(F.array(F.split(rewritten, "\n"))).alias("parts"))
+    gen = F.explode(F.array(F.split(rewritten, "\n"))).alias("parts")
 
     p = F.col("parts")
     ok = None
@@ -85,17 +92,23 @@ def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
             msg = F.when(cond, field) if msg is None else msg.when(cond, field)
     cols.append((fmt if fmt is not None else F.lit(None).cast("string")).alias("format"))
     cols.append((msg if msg is not None else F.lit(None).cast("string")).alias("msg"))
-    return staged.select(*cols)
+    return stage, gen, tuple(cols)
 
 
-def _with_parts(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Numeric timestamp parts of matched lines: _y (ISO only), _mo, _d, _hh, _mi, _ss, _us, _offm, _bad."""
+def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """Every line, with the format that matched (NULL: none) and its raw fields."""
+    stage, gen, cols = _match_columns(opts.formats)
+    # Generate barrier: the regex result is a real column, computed once per line
+    return lines.select(*stage).select("*", gen).select(*cols)
+
+
+@lru_cache(maxsize=None)
+def _part_columns(offsets: str) -> tuple[Column, ...]:
     c = F.col
     is_bsd = c("route") == "bsd"
-    iso = ts.iso_parts(c("date"), c("frac"), c("z"), c("off"), c("boff"), c("tail"), opts.offsets)
+    iso = ts.iso_parts(c("date"), c("frac"), c("z"), c("off"), c("boff"), c("tail"), offsets)
     hh, mi, ss = ts.clock_parts(c("clock"))
-    return matched.select(
-        "*",
+    return (
         F.when(is_bsd, F.lit(None).cast("int")).otherwise(iso["year"]).alias("_y"),
         F.when(is_bsd, ts.month_number(c("mon"))).otherwise(iso["month"]).alias("_mo"),
         F.when(is_bsd, c("day").try_cast("int")).otherwise(iso["day"]).alias("_d"),
@@ -106,44 +119,57 @@ def _with_parts(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     )
 
 
+def _with_parts(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """Numeric timestamp parts of matched lines: _y (ISO only), _mo, _d, _hh, _mi, _ss, _us, _offm, _bad."""
+    return matched.select("*", *_part_columns(opts.offsets))
+
+
 PART_COLUMNS = ("_y", "_mo", "_d", "_hh", "_mi", "_ss", "_us", "_offm", "_bad")
 
 
+@lru_cache(maxsize=None)
+def _rollback_year(as_of) -> Column:
+    c = F.col
+    return F.when(c("route") == "bsd", ts.rollback_year(as_of, c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"),
+                                                       c("_us"))).otherwise(c("_y")).alias("_year")
+
+
+@lru_cache(maxsize=None)
+def _timestamp_columns(as_of, max_days: int) -> tuple[Column, Column]:
+    c = F.col
+    local = ts.make_ts(c("_year"), c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"), c("_us"))
+    utc = F.when(c("_offm") == 0, local).otherwise(
+        local - F.make_dt_interval(F.lit(0), F.lit(0), c("_offm"), F.lit(0).cast("decimal(8,6)")))
+    raw = F.when(c("format").isNull() | c("_bad"), F.lit(None).cast("timestamp_ntz")).otherwise(utc)
+    lo, hi = ts.window_bounds(as_of, max_days)
+    keep = (c("_ts") >= F.lit(lo).cast("timestamp_ntz")) & (c("_ts") <= F.lit(hi).cast("timestamp_ntz"))
+    return F.explode(F.array(raw)).alias("_ts"), F.when(keep, c("_ts")).alias("timestamp")
+
+
 def assign_timestamps(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     """Adds ``timestamp``: NULL when the line gives no entry (no match, bad date, outside the window)."""
     from logarbor.operators.years import with_year_column
 
     c = F.col
     is_bsd = c("route") == "bsd"
-    matched_bsd = c("format").isNotNull() & is_bsd
     if opts.year_mode == "rollback":
-        staged = _with_parts(matched, opts)
-        year = F.when(is_bsd, ts.rollback_year(opts.as_of, c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"),
-                                               c("_us"))).otherwise(c("_y"))
-        staged = staged.withColumn("_year", year)
+        staged = _with_parts(matched, opts).select("*", _rollback_year(opts.as_of))
     else:
         # transition / sequential: the year depends on earlier lines of the same file
-        bsd = with_year_column(matched.filter(matched_bsd), opts).withColumnRenamed("year", "_year")
-        other = matched.filter(~matched_bsd).withColumn("_year", F.lit(None).cast("int"))
-        staged = _with_parts(bsd.unionByName(other), opts)
-        staged = staged.withColumn("_year", F.when(is_bsd, c("_year")).otherwise(c("_y")))
-    local = ts.make_ts(c("_year"), c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"), c("_us"))
-    utc = F.when(c("_offm") == 0, local).otherwise(
-        local - F.make_dt_interval(F.lit(0), F.lit(0), c("_offm"), F.lit(0).cast("decimal(8,6)")))
-    raw = F.when(c("format").isNull() | c("_bad"), F.lit(None).cast("timestamp_ntz")).otherwise(utc)
+        staged = _with_parts(with_year_column(matched, opts), opts)
+        staged = staged.withColumn("_year", F.when(is_bsd, c("year")).otherwise(c("_y"))).drop("year")
+    gen, timestamp = _timestamp_columns(opts.as_of, opts.max_days)
+    keep = [x for x in staged.columns if x not in PART_COLUMNS and x != "_year"]
     # second Generate barrier: the timestamp is computed once, then only compared
-    staged = staged.select("*", F.explode(F.array(raw)).alias("_ts")).drop(*PART_COLUMNS, "_year")
-    lo, hi = ts.window_bounds(opts.as_of, opts.max_days)
-    keep = (c("_ts") >= F.lit(lo).cast("timestamp_ntz")) & (c("_ts") <= F.lit(hi).cast("timestamp_ntz"))
-    return staged.withColumn("timestamp", F.when(keep, c("_ts"))).drop("_ts")
+    return staged.select("*", gen).select(*keep, timestamp)
 
 
-def to_entries(classified: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Typed entries from classified lines (rows with a timestamp)."""
+@lru_cache(maxsize=None)
+def _entry_columns(error_mode: str) -> tuple[Column, ...]:
     c = F.col
     level = F.when(c("level") != "", c("level"))
     message = py_strip(c("msg"))
-    return classified.filter(c("timestamp").isNotNull()).select(
+    return (
         c("timestamp"),
         py_strip(c("svc")).alias("service"),
         message.alias("message"),
@@ -154,11 +180,16 @@ def to_entries(classified: DataFrame, opts: AnalyzerOptions) -> DataFrame:
         c("format"),
         F.to_date(c("timestamp")).alias("log_date"),
         F.date_format(c("timestamp"), "HH:00").alias("hour_bucket"),
-        is_error(level, message, opts.error_mode).alias("is_error"),
+        is_error(level, message, error_mode).alias("is_error"),
         c("file_path"), c("block_start"), c("line_seq"),
     )
 
 
+def to_entries(classified: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """Typed entries from classified lines (rows with a timestamp)."""
+    return classified.filter(F.col("timestamp").isNotNull()).select(*_entry_columns(opts.error_mode))
+
+
 def classify(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     """All lines after the line cap, each with its format and timestamp (NULL: no entry)."""
     from logarbor.operators.caps import apply_line_cap

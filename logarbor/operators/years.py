@@ -26,15 +26,21 @@ def step(prev: Column, cur: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
-def with_year_column(bsd: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Adds ``year`` to BSD-matched rows (columns file_path, block_start, line_seq, mon)."""
-    rows = with_chunk(bsd).withColumn("_m", month_number(F.col("mon")))
+def with_year_column(rows: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """Adds ``year`` to matched lines (NULL for lines that are not BSD-matched).
+
+    Only BSD-matched lines carry a month; other lines ride along in the same
+    window without moving the state, so no separate branch (and no union) is needed.
+    """
+    bsd = F.col("format").isNotNull() & (F.col("route") == "bsd")
+    rows = with_chunk(rows).withColumn("_m", F.when(bsd, month_number(F.col("mon"))))
     w = chunk_window()
-    rows = rows.withColumn("_prev", F.lag("_m").over(w))
-    rows = rows.withColumn("_d", step(F.col("_prev"), F.col("_m")))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_prev", F.last("_m", ignorenulls=True).over(before))
+    rows = rows.withColumn("_d", F.when(bsd, step(F.col("_prev"), F.col("_m"))).otherwise(F.lit(0)))
     rows = rows.withColumn("_run", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    chunks = rows.groupBy(*CHUNK_KEY).agg(
+    chunks = rows.filter(bsd).groupBy(*CHUNK_KEY).agg(
         F.min_by("_m", "line_seq").alias("_first"),
         F.max_by("_m", "line_seq").alias("_last"),
         F.sum("_d").alias("_inner"),
@@ -47,7 +53,7 @@ def with_year_column(bsd: DataFrame, opts: AnalyzerOptions) -> DataFrame:
             per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     chunks = chunks.select(*CHUNK_KEY, "_prev_last", "_edge", "_before")
 
-    rows = rows.join(chunks, list(CHUNK_KEY))
+    rows = rows.join(chunks, list(CHUNK_KEY), "left")
     base = F.lit(opts.year)
     if opts.year_mode == "sequential":
         year = base + F.col("_before") + F.col("_edge") + F.col("_run")
@@ -55,5 +61,5 @@ def with_year_column(bsd: DataFrame, opts: AnalyzerOptions) -> DataFrame:
         year = base + step(F.coalesce(F.col("_prev"), F.col("_prev_last")), F.col("_m"))
     else:
         raise ValueError(f"year mode {opts.year_mode!r} needs no window")
-    return rows.withColumn("year", year.cast("int")).drop(
+    return rows.withColumn("year", F.when(bsd, year.cast("int"))).drop(
         "_m", "_prev", "_d", "_run", "_prev_last", "_edge", "_before", "chunk")

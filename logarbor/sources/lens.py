@@ -14,6 +14,8 @@ blocks for the two-level (per-chunk, then per-file) sequence operators.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +30,18 @@ LEVELS = ("ERROR", "WARN", "INFO", "CRIT", "DEBUG", "FATAL")
 ERROR_WORDS_BY_ID = ("error", "failed", "failure", "exception", "critical", "panic", "errors", "Error")
 
 LENS_FILE = "events"
-DEFAULT_CHUNK_LINES = 1 << 16
+DEFAULT_CHUNK_LINES = 1 << 13
 
 
 def _pick(index: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def render_events(events: DataFrame, shift_days: int = 0) -> Column:
-    """The log line of one event (a Column over ``events``)."""
+@lru_cache(maxsize=None)
+def render_events(shift_days: int = 0) -> Column:
+    """The log line of one event (a Column over ``events``; built once per shift)."""
     eid = F.col("event_id")
     t = F.col("ts") - F.make_dt_interval(F.lit(shift_days))
-    svc = F.lit(None).cast("string")
     svc_expr = None
     for etype, name in SERVICES:
         svc_expr = (F.when(F.col("event_type") == etype, F.lit(name)) if svc_expr is None
@@ -72,7 +74,7 @@ def lens_lines(events: DataFrame, shift_days: int = 0, chunk_lines: int = DEFAUL
     """``events`` -> ``lines`` (value, file_path, block_start, line_seq)."""
     eid = F.col("event_id")
     return events.select(
-        render_events(events, shift_days).alias("value"),
+        render_events(shift_days).alias("value"),
         F.lit(LENS_FILE).alias("file_path"),
         (F.floor(eid / F.lit(chunk_lines)) * F.lit(chunk_lines)).cast("bigint").alias("block_start"),
         eid.cast("bigint").alias("line_seq"),

@@ -29,6 +29,7 @@ def years_of(spark, months, mode, base, block_rows=None):
     from logarbor.operators.parse import match_lines
     m = match_lines(df, opts)
     ys = with_year_column(m, opts).orderBy("line_seq").collect()
+    assert all(r.year is not None for r in ys)
     return [r.year for r in ys]
 
 
@@ -67,3 +68,14 @@ def test_sequential_default_base_lands_in_future(spark):
     df = make_lines(spark, ["Dec 20 10:00:00 h s: a", "Jan  2 10:00:00 h s: b"])
     rows = parse(df, AnalyzerOptions(as_of=AS_OF, max_days=45, year_mode="sequential")).collect()
     assert rows == []
+
+
+def test_other_lines_do_not_move_the_year(spark):
+    lines = ["Dec 20 10:00:00 h s: a", "2024-01-01T00:00:00Z h s: iso", "junk", "Jan  2 10:00:00 h s: b",
+             "2023-12-31T10:00:00Z h s: iso dec", "Jan  3 10:00:00 h s: c"]
+    for block_rows in (None, 1, 2):
+        df = make_lines(spark, lines, block_rows=block_rows)
+        opts = AnalyzerOptions(as_of=AS_OF, max_days=45, year_mode="sequential", base_year=2023)
+        got = [r.timestamp for r in parse(df, opts).orderBy("line_seq").collect()]
+        assert got == [datetime(2023, 12, 20, 10), datetime(2024, 1, 1), datetime(2024, 1, 2, 10),
+                       datetime(2023, 12, 31, 10), datetime(2024, 1, 3, 10)], block_rows
