@@ -64,51 +64,60 @@ def _level_indicator() -> Column:
     return F.when(F.col("level").isNotNull(), F.concat(F.lit("["), F.col("level"), F.lit("] "))).otherwise(F.lit(""))
 
 
+def _row(kind: str, rn: Column, part: Column, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), rn.cast("bigint").alias("rn"), part.cast("bigint").alias("part"),
+                    text.alias("text"))
+
+
 def tree_rows(entries: DataFrame, opts: AnalyzerOptions, nodes: DataFrame | None = None) -> DataFrame:
-    """The rendered report (see module doc). Display mode from opts: full, wrap or truncate."""
+    """The rendered report (see module doc). Display mode from opts: full, wrap or truncate.
+
+    One pass per side: node totals (hash aggregate, plus a small per-day window
+    that marks the first service of each day) and the first N entries per node
+    (WindowGroupLimit, plus window counts over those N rows). One join, then a
+    single explode emits every row kind, so the entries are read once per side.
+    """
     limit = opts.max_lines_per_service
     nodes = node_counts(entries) if nodes is None else nodes
-    shown = first_n(entries, limit).join(nodes.select(*NODE, "n"), list(NODE))
-    is_last = F.col("rn") == F.least(F.col("n"), F.lit(limit))
+    day = Window.partitionBy("log_date").orderBy("service")
+    nodes = nodes.withColumn("_first_of_day", F.row_number().over(day) == 1)
+    node_all = Window.partitionBy(*NODE)
+    shown = first_n(entries, limit).withColumn("_shown_err", F.count_if(F.col("is_error")).over(node_all))
+    rows = shown.join(nodes, list(NODE))
+
+    n, rn = F.col("n"), F.col("rn")
+    is_last = rn == F.least(n, F.lit(limit))
     prefix = F.when(is_last, F.lit(ENTRY_LAST)).otherwise(F.lit(ENTRY_MID))
     head = F.concat(prefix, F.lit("["), F.date_format("timestamp", "HH:mm:ss"), F.lit("] "), _level_indicator())
-
+    zero = F.lit(0)
     if opts.show_full_lines:
-        entry_rows = shown.select(*NODE, F.lit("entry").alias("kind"), "rn", F.lit(0).alias("part"),
-                                  F.concat(head, F.col("message")).alias("text"))
+        entry_rows = F.array(_row("entry", rn, zero, F.concat(head, F.col("message"))))
     elif opts.wrap_lines:
         # width = max(40, truncate - len(prefix) - len("HH:MM:SS") - len(level indicator) - 3)
         width = F.greatest(F.lit(40), F.lit(opts.truncate_length - len(ENTRY_MID) - 8 - 3)
                            - F.length(_level_indicator()))
-        wrapped = shown.select(*NODE, "rn", head.alias("_head"), is_last.alias("_last"),
-                               F.posexplode(_wrap(F.col("message"), width)).alias("part", "_line"))
-        cont = F.concat(F.lit(CONT_HEAD), F.when(F.col("_last"), F.lit(CONT_LAST)).otherwise(F.lit(CONT_MID)),
-                        F.col("_line"))
-        entry_rows = wrapped.select(
-            *NODE, F.when(F.col("part") == 0, F.lit("entry")).otherwise(F.lit("wrap")).alias("kind"), "rn",
-            "part", F.when(F.col("part") == 0, F.concat(F.col("_head"), F.col("_line"))).otherwise(cont).alias("text"))
+        cont = F.concat(F.lit(CONT_HEAD), F.when(is_last, F.lit(CONT_LAST)).otherwise(F.lit(CONT_MID)))
+        entry_rows = F.transform(_wrap(F.col("message"), width), lambda line, i: F.when(
+            i == 0, _row("entry", rn, i, F.concat(head, line))).otherwise(_row("wrap", rn, i, F.concat(cont, line))))
     else:
-        entry_rows = shown.select(*NODE, F.lit("entry").alias("kind"), "rn", F.lit(0).alias("part"),
-                                  F.concat(head, truncate(F.col("message"), opts.truncate_length)).alias("text"))
-
-    date_rows = nodes.select("log_date").distinct().select(
-        "log_date", F.lit(None).cast("string").alias("service"), F.lit("date").alias("kind"), F.lit(0).alias("rn"),
-        F.lit(0).alias("part"), F.date_format("log_date", "yyyy-MM-dd").alias("text"))
-    service_rows = nodes.select(
-        *NODE, F.lit("service").alias("kind"), F.lit(0).alias("rn"), F.lit(0).alias("part"),
-        F.concat(F.lit(BRANCH), F.col("service"),
-                 F.when(F.col("errors") > 0, F.concat(F.lit(" [errors: "), F.col("errors").cast("string"), F.lit("]")))
-                 .otherwise(F.lit(""))).alias("text"))
-    over = tree_nodes(entries, limit, nodes).filter(F.col("overflow") > 0)
-    overflow_rows = over.select(
-        *NODE, F.lit("overflow").alias("kind"), F.lit(limit + 1).alias("rn"), F.lit(0).alias("part"),
-        F.concat(F.lit(ENTRY_LAST), F.lit("... ("), F.col("overflow").cast("string"), F.lit(" more logs"),
-                 F.when(F.col("overflow_errors") > 0,
-                        F.concat(F.lit(", "), F.col("overflow_errors").cast("string"), F.lit(" errors")))
-                 .otherwise(F.lit("")), F.lit(")")).alias("text"))
-    rows = date_rows.unionByName(service_rows).unionByName(entry_rows).unionByName(overflow_rows)
-    return rows.select(F.col("log_date"), F.col("service"), F.col("kind"), F.col("rn").cast("bigint").alias("rn"),
-                       F.col("part").cast("bigint").alias("part"), F.col("text"))
+        entry_rows = F.array(_row("entry", rn, zero, F.concat(head, truncate(F.col("message"), opts.truncate_length))))
+
+    first = rn == 1
+    errors, over_err = F.col("errors"), F.col("errors") - F.col("_shown_err")
+    date_row = _row("date", zero, zero, F.date_format("log_date", "yyyy-MM-dd"))
+    service_row = _row("service", zero, zero, F.concat(
+        F.lit(BRANCH), F.col("service"),
+        F.when(errors > 0, F.concat(F.lit(" [errors: "), errors.cast("string"), F.lit("]"))).otherwise(F.lit(""))))
+    overflow_row = _row("overflow", F.lit(limit + 1), zero, F.concat(
+        F.lit(ENTRY_LAST), F.lit("... ("), (n - F.lit(limit)).cast("string"), F.lit(" more logs"),
+        F.when(over_err > 0, F.concat(F.lit(", "), over_err.cast("string"), F.lit(" errors"))).otherwise(F.lit("")),
+        F.lit(")")))
+    extra = F.array(F.when(first & F.col("_first_of_day"), date_row), F.when(first, service_row),
+                    F.when(first & (n > limit), overflow_row))
+    out = rows.select("log_date", "service", F.explode(F.concat(F.filter(extra, lambda x: x.isNotNull()),
+                                                                entry_rows)).alias("r"))
+    return out.select("log_date", F.when(F.col("r.kind") != "date", F.col("service")).alias("service"),
+                      "r.kind", "r.rn", "r.part", "r.text")
 
 
 def report_order(rows: DataFrame) -> DataFrame:

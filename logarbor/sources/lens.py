@@ -87,4 +87,5 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lens(spark: SparkSession, sf_dir: str, shift_days: int = 0,
          chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
-    return spread(lens_lines(read_events(spark, sf_dir), shift_days, chunk_lines))
+    # spread the narrow event rows (not the rendered text) so rendering runs on every core
+    return lens_lines(spread(read_events(spark, sf_dir), ("event_id",)), shift_days, chunk_lines)

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = lines.sparkSession
+def spread(df: DataFrame, keys: tuple[str, ...] = ("file_path", "line_seq"),
+           min_partitions: int | None = None) -> DataFrame:
+    spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() >= target:
-        return lines
-    return lines.repartition(target, "file_path", "line_seq")
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
