@@ -20,6 +20,8 @@ LEVEL_CLASSES = (
 )
 
 WORD_PATTERN = r"(?iU)\b(?:" + "|".join(ERROR_WORDS) + r")\b"
+# same words for pure-ASCII messages: ASCII classes and case folding agree there and are cheaper
+ASCII_WORD_PATTERN = r"(?i)\b(?:" + "|".join(ERROR_WORDS) + r")\b"
 
 
 def level_is_error(level: Column) -> Column:
@@ -29,7 +31,8 @@ def level_is_error(level: Column) -> Column:
 def is_error(level: Column, message: Column, mode: str = "word") -> Column:
     """word: whole word, any case (default); substring: lower-cased substring."""
     if mode == "word":
-        text_hit = message.rlike(WORD_PATTERN)
+        is_ascii = F.length(message) == F.octet_length(message)
+        text_hit = F.when(is_ascii, message.rlike(ASCII_WORD_PATTERN)).otherwise(message.rlike(WORD_PATTERN))
     elif mode == "substring":
         low = F.lower(message)
         text_hit = F.lit(False)

@@ -43,6 +43,8 @@ OFFSET_TAIL = r"[\d+,\-./:]+"  # digits and the code points '+' through ':'
 MSG = r".+"
 DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 FLAGS = "(?dU)"
+# For pure-ASCII lines Unicode and ASCII classes agree, and ASCII classes are cheaper.
+ASCII_FLAGS = "(?d)"
 
 # Canonical field layout shared by all formats (message fields come last).
 FIELDS = ("mon", "day", "date", "clock", "frac", "z", "off", "boff", "tail", "host", "svc", "pid", "level")
@@ -68,6 +70,13 @@ def _traditional(g: Group) -> str:
             + g("msg", MSG) + "$")
 
 
+def _traditional_or_level(g: Group) -> str:
+    # with_level tried before traditional, as one alternative: the optional [LEVEL]
+    # token is taken when the rest still matches, else the line is plain traditional
+    return (_bsd_head(g, frac=True) + r"(?:\[" + g("pid", DIGITS) + r"\])?:" + WS + "*"
+            + r"(?:\[" + g("level", LEVEL_UPPER) + r"\]" + WS + "*)?" + g("msg", MSG) + "$")
+
+
 def _traditional_simple(g: Group) -> str:
     return _bsd_head(g, frac=False) + ":" + WS + "*" + g("msg", MSG) + "$"
 
@@ -119,29 +128,50 @@ def standalone_regex(name: str) -> str:
 @dataclass(frozen=True)
 class FamilyMatcher:
     family: str
-    formats: tuple[str, ...]
+    labels: tuple[tuple[str, ...], ...]  # per message field: (name,) or (name if level, name otherwise)
     pattern: str
     replacement: str
 
+    @property
+    def ascii_pattern(self) -> str:
+        return ASCII_FLAGS + self.pattern[len(FLAGS):]
+
+    @property
+    def formats(self) -> tuple[str, ...]:
+        return tuple(n for lab in self.labels for n in lab)
+
     @property
     def n_fields(self) -> int:
-        return len(FIELDS) + len(self.formats)
+        return len(FIELDS) + len(self.labels)
 
 
 def family_matcher(family: str, formats: tuple[str, ...]) -> FamilyMatcher | None:
-    """Alternation of the active formats of one family, with its field layout."""
+    """Alternation of the active formats of one family, with its field layout.
+
+    When both ``with_level`` and ``traditional`` are active they become one
+    alternative (same head, optional level token): one scan instead of two.
+    """
     active = [f for f in CATALOG if f.family == family and f.name in formats]
     if not active:
         return None
+    names = [f.name for f in active]
+    alternatives: list[tuple[Callable[[Group], str], tuple[str, ...]]] = []
+    for fmt in active:
+        if fmt.name == "with_level" and "traditional" in names:
+            alternatives.append((_traditional_or_level, ("with_level", "traditional")))
+        elif fmt.name == "traditional" and "with_level" in names:
+            continue
+        else:
+            alternatives.append((fmt.build, (fmt.name,)))
     used: dict[str, list[str]] = {name: [] for name in FIELDS + ("msg",)}
     bodies = []
-    for i, fmt in enumerate(active):
+    for i, (build, _labels) in enumerate(alternatives):
         def g(name: str, rx: str, _i: int = i) -> str:
             used[name].append(f"{name}{_i}")
             return f"(?<{name}{_i}>{rx})"
-        bodies.append(fmt.build(g))
+        bodies.append(build(g))
     pattern = FLAGS + "^(?:" + "|".join(bodies) + ")"
     fields = ["".join("${" + ref + "}" for ref in used[name]) for name in FIELDS]
     fields += ["${" + ref + "}" for ref in used["msg"]]
     replacement = "\n" + "\n".join(fields)
-    return FamilyMatcher(family, tuple(f.name for f in active), pattern, replacement)
+    return FamilyMatcher(family, tuple(lab for _b, lab in alternatives), pattern, replacement)

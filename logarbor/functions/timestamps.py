@@ -26,12 +26,6 @@ def micros_of(frac: Column) -> Column:
         _int(F.rpad(F.substring(frac, 1, 6), 6, "0")))
 
 
-def _seconds(sec: Column, micros: Column) -> Column:
-    # two clock digits and six fraction digits always fit DECIMAL(8,6)
-    whole = (sec.cast("bigint") * F.lit(1000000) + micros.cast("bigint")).cast("decimal(10,0)")
-    return (whole / F.lit(1000000)).cast("decimal(8,6)")
-
-
 def clock_parts(clock: Column) -> tuple[Column, Column, Column]:
     """'HH:MM:SS' -> (hour, minute, second) integers."""
     return (_int(F.substring(clock, 1, 2)), _int(F.substring(clock, 4, 2)), _int(F.substring(clock, 7, 2)))
@@ -44,7 +38,9 @@ def make_ts(year: Column, month: Column, day: Column, hh: Column, mi: Column, ss
     Seconds must be < 60 (make_timestamp would roll 60 into the next minute).
     """
     ok = (year >= 1) & (hh < 24) & (mi < 60) & (ss < 60)
-    return F.when(ok, F.try_make_timestamp_ntz(year, month, day, hh, mi, _seconds(ss, micros)))
+    whole = F.try_make_timestamp_ntz(year, month, day, hh, mi, ss)
+    # integer microsecond step: no decimal arithmetic per row
+    return F.when(ok, F.timestamp_add("MICROSECOND", micros, whole))
 
 
 def _is_leap(year: int) -> bool:
@@ -69,26 +65,35 @@ def rollback_year(as_of: datetime, month: Column, day: Column, hh: Column, mi: C
     return F.when(future, F.lit(as_of.year - 1)).otherwise(F.lit(as_of.year))
 
 
-def iso_parts(date: Column, frac: Column, z: Column, off: Column, boff: Column, tail: Column,
+def iso_texts(frac: Column, off: Column, boff: Column, tail: Column) -> dict[str, Column]:
+    """Fraction digits and offset text of an ISO timestamp, as two plain columns.
+
+    ``tail`` (rainerscript) holds fraction digits and an attached offset in one run;
+    it is split with a small regex only on the rows that have one.
+    """
+    has_tail = tail != ""
+    return {
+        "frac": F.when(has_tail, F.regexp_extract(tail, r"^(\d{1,6})(?:[+-]\d{2}:?\d{2})?$", 1)).otherwise(frac),
+        "offset": F.when(has_tail, F.regexp_extract(tail, r"^\d{1,6}([+-]\d{2}:?\d{2})?$", 1))
+                   .when(off != "", off).otherwise(boff),
+    }
+
+
+def iso_parts(date: Column, frac: Column, offset: Column, z: Column, boff: Column, tail: Column,
               offsets: str) -> dict[str, Column]:
     """Year, month, day, microseconds, offset minutes and a 'bad' flag of an ISO timestamp.
 
-    ``tail`` (rainerscript) holds fraction digits and an attached offset in one run.
-    A 'Z' is the wall clock as written. A 'Z' followed by a blank-separated offset,
-    more than 6 fraction digits, or an unreadable offset are bad. With
-    ``offsets='drop'`` any offset is bad.
+    ``frac`` and ``offset`` come from ``iso_texts`` (materialized columns). A 'Z' is
+    the wall clock as written. A 'Z' followed by a blank-separated offset, more than
+    6 fraction digits, or an unreadable offset are bad. With ``offsets='drop'`` any
+    offset is bad.
     """
-    has_tail = tail != ""
-    tail_frac = F.when(has_tail, F.regexp_extract(tail, r"^(\d{1,6})(?:[+-]\d{2}:?\d{2})?$", 1))
-    tail_off = F.when(has_tail, F.regexp_extract(tail, r"^\d{1,6}([+-]\d{2}:?\d{2})?$", 1))
-    frac_all = F.when(has_tail, tail_frac).otherwise(frac)
-    offset = F.when(has_tail, tail_off).when(off != "", off).otherwise(boff)
-    digits = F.regexp_replace(offset, ":", "")
+    digits = F.replace(offset, F.lit(":"), F.lit(""))
     sign = F.when(F.substring(offset, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     oh = _int(F.substring(digits, 2, 2))
     om = _int(F.substring(digits, 4, 2))
     has_off = offset != ""
-    bad = ((F.length(frac) > 6) | (has_tail & (tail_frac == "")) | ((z != "") & (boff != ""))
+    bad = ((F.length(frac) > 6) | ((tail != "") & (frac == "")) | ((z != "") & (boff != ""))
            | (has_off & ~((oh < 24) & (om < 60))))
     if offsets == "drop":
         bad = bad | has_off
@@ -96,7 +101,7 @@ def iso_parts(date: Column, frac: Column, z: Column, off: Column, boff: Column,
         "year": _int(F.substring(date, 1, 4)),
         "month": _int(F.substring(date, 6, 2)),
         "day": _int(F.substring(date, 9, 2)),
-        "micros": micros_of(frac_all),
+        "micros": micros_of(frac),
         "off_minutes": F.when(has_off, sign * (oh * 60 + om)).otherwise(F.lit(0)),
         "bad": F.coalesce(bad, F.lit(True)),
     }

@@ -56,10 +56,13 @@ def _match_columns(formats: tuple[str, ...]) -> tuple[tuple[Column, ...], Column
 
     matchers = {fam: family_matcher(fam, formats) for fam in ("bsd", "iso")}
     rewritten = None
+    raw = F.col("raw_line")
+    is_ascii = F.length(raw) == F.octet_length(raw)
     for fam, m in matchers.items():
         if m is None:
             continue
-        rep = F.regexp_replace(F.col("raw_line"), F.lit(m.pattern), F.lit(m.replacement))
+        rep = F.when(is_ascii, F.regexp_replace(raw, F.lit(m.ascii_pattern), F.lit(m.replacement))) \
+            .otherwise(F.regexp_replace(raw, F.lit(m.pattern), F.lit(m.replacement)))
         cond = F.col("route") == fam
         rewritten = F.when(cond, rep) if rewritten is None else rewritten.when(cond, rep)
     if rewritten is None:
@@ -82,13 +85,16 @@ def _match_columns(formats: tuple[str, ...]) -> tuple[tuple[Column, ...], Column
     # which format matched: the first non-empty message field of the route's family
     fmt = None
     msg = None
+    level_field = F.get(p, FIELDS.index("level") + 1)
     for fam, m in matchers.items():
         if m is None:
             continue
-        for j, name in enumerate(m.formats):
+        for j, labels in enumerate(m.labels):
             field = F.get(p, nf + j + 1)
             cond = ok & (F.col("route") == fam) & (field != "")
-            fmt = F.when(cond, F.lit(name)) if fmt is None else fmt.when(cond, F.lit(name))
+            name = (F.lit(labels[0]) if len(labels) == 1
+                    else F.when(level_field != "", F.lit(labels[0])).otherwise(F.lit(labels[1])))
+            fmt = F.when(cond, name) if fmt is None else fmt.when(cond, name)
             msg = F.when(cond, field) if msg is None else msg.when(cond, field)
     cols.append((fmt if fmt is not None else F.lit(None).cast("string")).alias("format"))
     cols.append((msg if msg is not None else F.lit(None).cast("string")).alias("msg"))
@@ -102,26 +108,39 @@ def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     return lines.select(*stage).select("*", gen).select(*cols)
 
 
+@lru_cache(maxsize=None)
+def _iso_text_columns() -> tuple[Column, ...]:
+    c = F.col
+    texts = ts.iso_texts(c("frac"), c("off"), c("boff"), c("tail"))
+    is_iso = c("route") == "iso"
+    return (F.when(is_iso, texts["frac"]).otherwise(c("frac")).alias("_fr"),
+            F.when(is_iso, texts["offset"]).otherwise(F.lit("")).alias("_ofs"))
+
+
 @lru_cache(maxsize=None)
 def _part_columns(offsets: str) -> tuple[Column, ...]:
     c = F.col
     is_bsd = c("route") == "bsd"
-    iso = ts.iso_parts(c("date"), c("frac"), c("z"), c("off"), c("boff"), c("tail"), offsets)
+    iso = ts.iso_parts(c("date"), c("_fr"), c("_ofs"), c("z"), c("boff"), c("tail"), offsets)
     hh, mi, ss = ts.clock_parts(c("clock"))
     return (
         F.when(is_bsd, F.lit(None).cast("int")).otherwise(iso["year"]).alias("_y"),
         F.when(is_bsd, ts.month_number(c("mon"))).otherwise(iso["month"]).alias("_mo"),
         F.when(is_bsd, c("day").try_cast("int")).otherwise(iso["day"]).alias("_d"),
         hh.alias("_hh"), mi.alias("_mi"), ss.alias("_ss"),
-        F.when(is_bsd, ts.micros_of(c("frac"))).otherwise(iso["micros"]).alias("_us"),
+        ts.micros_of(c("_fr")).alias("_us"),
         F.when(is_bsd, F.lit(0)).otherwise(iso["off_minutes"]).alias("_offm"),
         F.when(is_bsd, F.lit(False)).otherwise(iso["bad"]).alias("_bad"),
     )
 
 
 def _with_parts(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Numeric timestamp parts of matched lines: _y (ISO only), _mo, _d, _hh, _mi, _ss, _us, _offm, _bad."""
-    return matched.select("*", *_part_columns(opts.offsets))
+    """Numeric timestamp parts of matched lines: _y (ISO only), _mo, _d, _hh, _mi, _ss, _us, _offm, _bad.
+
+    The ISO fraction/offset texts are a projection of their own, so the numeric
+    parts refer to them as columns instead of repeating their expressions.
+    """
+    return matched.select("*", *_iso_text_columns()).select("*", *_part_columns(opts.offsets)).drop("_fr", "_ofs")
 
 
 PART_COLUMNS = ("_y", "_mo", "_d", "_hh", "_mi", "_ss", "_us", "_offm", "_bad")
@@ -138,8 +157,7 @@ def _rollback_year(as_of) -> Column:
 def _timestamp_columns(as_of, max_days: int) -> tuple[Column, Column]:
     c = F.col
     local = ts.make_ts(c("_year"), c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"), c("_us"))
-    utc = F.when(c("_offm") == 0, local).otherwise(
-        local - F.make_dt_interval(F.lit(0), F.lit(0), c("_offm"), F.lit(0).cast("decimal(8,6)")))
+    utc = F.when(c("_offm") == 0, local).otherwise(F.timestamp_add("MINUTE", -c("_offm"), local))
     raw = F.when(c("format").isNull() | c("_bad"), F.lit(None).cast("timestamp_ntz")).otherwise(utc)
     lo, hi = ts.window_bounds(as_of, max_days)
     keep = (c("_ts") >= F.lit(lo).cast("timestamp_ntz")) & (c("_ts") <= F.lit(hi).cast("timestamp_ntz"))
