@@ -30,6 +30,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = build_session(f"local[{cpus}]", int(cpus), driver_memory=os.environ.get("BENCH_MEM", "16g"))
+    for kv in filter(None, os.environ.get("BENCH_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     names = [n for n in HEADLINE if n in QUERIES]
     QUERIES["service_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
