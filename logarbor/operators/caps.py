@@ -1,20 +1,41 @@
 """Line cap and entry cap: the first N lines / entries in file order.
 
-Both are exact and distributed: positions come from the two-level numbering in
-``sequence`` (no single-task limit, no driver collect).
+Exact and distributed, without shuffling the rows:
+
+1. rows per chunk (hash aggregate with map-side partial counts; tiny output),
+2. prefix sums over the chunk table in (file_path, block_start, chunk) order,
+3. join the chunk offsets back (AQE broadcasts them when their runtime size allows).
+   Chunks that end before the cap are kept whole, chunks that start after it are
+   dropped, and only the rows of chunks that straddle the cap (at most one) are
+   numbered with a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logarbor.operators.sequence import number_rows
+from logarbor.operators.sequence import CHUNK_KEY, chunk_window, with_chunk
+
+
+def first_rows(df: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of ``df`` in (file_path, block_start, line_seq) order."""
+    rows = with_chunk(df)
+    counts = rows.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*CHUNK_KEY).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.select(*CHUNK_KEY, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+               .filter(F.col("_off") < limit))
+    tagged = rows.join(offsets, list(CHUNK_KEY))
+    whole = tagged.filter(F.col("_off") + F.col("_n") <= limit)
+    straddle = tagged.filter(F.col("_off") + F.col("_n") > limit)
+    straddle = (straddle.withColumn("_rn", F.row_number().over(chunk_window()))
+                .filter(F.col("_off") + F.col("_rn") <= limit).drop("_rn"))
+    return whole.unionByName(straddle).drop("_n", "_off", "chunk")
 
 
 def apply_line_cap(lines: DataFrame, max_lines: int) -> DataFrame:
-    return number_rows(lines, "_line_no").filter(F.col("_line_no") <= max_lines).drop("_line_no")
+    return first_rows(lines, max_lines)
 
 
 def apply_entry_cap(entries: DataFrame, max_entries: int) -> DataFrame:
-    return number_rows(entries, "_entry_no").filter(F.col("_entry_no") <= max_entries).drop("_entry_no")
+    return first_rows(entries, max_entries)

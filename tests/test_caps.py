@@ -1,0 +1,27 @@
+from logarbor.operators.caps import first_rows
+from logarbor.operators.sequence import number_rows
+
+SCHEMA = "value string, file_path string, block_start bigint, line_seq bigint"
+
+
+def _rows(spark):
+    rows = []
+    for f in ("a.log", "b.log"):
+        for i in range(17):
+            rows.append((f"{f}-{i}", f, (i // 5) * 1000, 10_000 + i))  # blocks of 5, ids rising per block
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_first_rows_any_cut(spark):
+    df = _rows(spark)
+    ordered = [f"{f}-{i}" for f in ("a.log", "b.log") for i in range(17)]
+    for cap in (1, 4, 5, 6, 17, 18, 30, 34, 100):
+        got = sorted(r.value for r in first_rows(df, cap).collect())
+        assert got == sorted(ordered[:cap]), cap
+
+
+def test_number_rows_positions(spark):
+    df = _rows(spark)
+    got = {r.value: r.pos for r in number_rows(df, "pos").collect()}
+    ordered = [f"{f}-{i}" for f in ("a.log", "b.log") for i in range(17)]
+    assert got == {v: i + 1 for i, v in enumerate(ordered)}
