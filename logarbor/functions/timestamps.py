@@ -107,6 +107,11 @@ def iso_parts(date: Column, frac: Column, offset: Column, z: Column, boff: Colum
     }
 
 
+def ntz_literal(value: datetime) -> Column:
+    """A TIMESTAMP_NTZ literal from its wall-clock text: independent of any time zone setting."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def window_bounds(as_of: datetime, max_days: int) -> tuple[datetime, datetime]:
     """Day window [as_of - max_days, as_of + 1 day], both inclusive."""
     return as_of - timedelta(days=max_days), as_of + timedelta(days=1)

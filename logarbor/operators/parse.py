@@ -160,7 +160,7 @@ def _timestamp_columns(as_of, max_days: int) -> tuple[Column, Column]:
     utc = F.when(c("_offm") == 0, local).otherwise(F.timestamp_add("MINUTE", -c("_offm"), local))
     raw = F.when(c("format").isNull() | c("_bad"), F.lit(None).cast("timestamp_ntz")).otherwise(utc)
     lo, hi = ts.window_bounds(as_of, max_days)
-    keep = (c("_ts") >= F.lit(lo).cast("timestamp_ntz")) & (c("_ts") <= F.lit(hi).cast("timestamp_ntz"))
+    keep = (c("_ts") >= ts.ntz_literal(lo)) & (c("_ts") <= ts.ntz_literal(hi))
     return F.explode(F.array(raw)).alias("_ts"), F.when(keep, c("_ts")).alias("timestamp")
 
 

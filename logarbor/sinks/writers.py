@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logarbor.operators.export_frames import csv_frame
-from logarbor.functions.timestamps import window_bounds
+from logarbor.functions.timestamps import ntz_literal, window_bounds
 from logarbor.options import AnalyzerOptions
 
 
@@ -34,8 +34,7 @@ def read_landed(spark: SparkSession, path: str, opts: AnalyzerOptions | None = N
     if opts is not None:
         lo, hi = window_bounds(opts.as_of, opts.max_days)
         df = df.filter((F.col("log_date") >= F.lit(lo.date())) & (F.col("log_date") <= F.lit(hi.date())))
-        df = df.filter((F.col("timestamp") >= F.lit(lo).cast("timestamp_ntz"))
-                       & (F.col("timestamp") <= F.lit(hi).cast("timestamp_ntz")))
+        df = df.filter((F.col("timestamp") >= ntz_literal(lo)) & (F.col("timestamp") <= ntz_literal(hi)))
     return df
 
 
