@@ -4,7 +4,8 @@ An independent formulation in plain SQL: the lens renders ``events`` as log
 lines with the same text as the Spark lens, the lines are parsed with RE2
 patterns per format (first match wins via CASE), years come from candidate
 timestamps / LAG / running SUM, and each check selects the same columns.
-The lens is ASCII, so RE2's ASCII classes agree with the Unicode ones.
+The events lens is ASCII and the documents lens has non-ASCII text only in the
+message ('.+'), so RE2's ASCII classes agree with the Unicode ones there.
 """
 
 from __future__ import annotations
@@ -57,6 +58,20 @@ lens AS (
 )"""
 
 
+def _doc_lens() -> str:
+    two = "lpad(CAST({x} AS VARCHAR), 2, '0')"
+    return f"""
+lens AS (
+  SELECT doc_id AS line_seq,
+    'Jan ' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, ' ') || ' '
+    || {two.format(x='doc_id % 24')} || ':' || {two.format(x='(doc_id // 24) % 60')} || ':'
+    || {two.format(x='(doc_id // 1440) % 60')}
+    || ' docs ' || source || '[' || CAST(doc_id AS VARCHAR) || ']: '
+    || trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g')) AS line
+  FROM documents
+)"""
+
+
 def _ts(y: str, m: str, d: str, hh: str, mi: str, ss: str, us: str) -> str:
     return (f"CASE WHEN {hh} < 24 AND {mi} < 60 AND {ss} < 60 THEN "
             f"try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', {y}, {m}, {d}, {hh}, {mi}, {ss}) AS TIMESTAMP)"
@@ -64,7 +79,8 @@ def _ts(y: str, m: str, d: str, hh: str, mi: str, ss: str, us: str) -> str:
 
 
 def entries_sql(shift: int = 0, max_days: int = 45, year_mode: str = "rollback", base_year: int = 2024,
-                error_mode: str = "word", max_lines: int | None = None, max_entries: int | None = None) -> str:
+                error_mode: str = "word", max_lines: int | None = None, max_entries: int | None = None,
+                source: str = "events") -> str:
     """A WITH-chain that ends in relations ``classified`` (all lines) and ``entries``."""
     cap = f"WHERE line_seq IN (SELECT line_seq FROM lens ORDER BY line_seq LIMIT {max_lines})" if max_lines else ""
     error_text = (f"regexp_matches(message, '{RE_ERROR_WORDS}')" if error_mode == "word" else
@@ -94,7 +110,8 @@ yr AS (
   SELECT p.*, CASE WHEN p.route = 'bsd' THEN b.year ELSE p.yy END AS year
   FROM parts p LEFT JOIN bsd_years b USING (line_seq)
 )"""
-    return f"""WITH {_lens(shift)},
+    lens_cte = _lens(shift) if source == "events" else _doc_lens()
+    return f"""WITH {lens_cte},
 capped AS (SELECT * FROM lens {cap}),
 routed AS (
   SELECT line_seq, line,
@@ -212,12 +229,12 @@ def _cluster_pattern() -> str:
             "ELSE message END")
 
 
-def _tree_rows(limit: int, mode: str, trunc: int) -> str:
+def _tree_rows(limit: int, mode: str, trunc: int, source: str = "events") -> str:
     if mode == "full":
         body = "message"
     else:
         body = f"CASE WHEN length(message) > {trunc} THEN substr(message, 1, {trunc}) || '...' ELSE message END"
-    return entries_sql() + f""",
+    return entries_sql(source=source) + f""",
 nodes AS (SELECT log_date, service, count(*) AS n, count(*) FILTER (WHERE is_error) AS errors
           FROM entries GROUP BY log_date, service),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY log_date, service ORDER BY timestamp, line_seq) AS rn
@@ -322,4 +339,10 @@ tn AS (SELECT log_date, service, n, errors, greatest(n - 5, 0) AS overflow, erro
     q["csv_frame"] = E + (f"SELECT {_iso_text('timestamp')} AS \"Timestamp\", service AS \"Service\", "
                           f"coalesce(level, '') AS \"Level\", coalesce(host, '') AS \"Host\", "
                           f"coalesce(pid, '') AS \"PID\", message AS \"Message\" FROM entries")
+    D = entries_sql(source="documents")
+    q["doc_entries"] = D + (f"SELECT line_seq, {_t('timestamp')} AS timestamp, service, pid, is_error, "
+                            f"length(message) AS msg_chars, message FROM entries")
+    q["doc_tree_rows"] = _tree_rows(5, "truncate", 80, source="documents")
+    q["doc_error_clusters_by_service"] = D + (f"SELECT service, {_cluster_pattern()} AS pattern, count(*) AS n "
+                                              f"FROM entries WHERE is_error GROUP BY 1, 2")
     return q

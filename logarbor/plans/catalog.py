@@ -19,7 +19,7 @@ from logarbor.operators.export_frames import csv_frame
 from logarbor.operators.parse import classify, parse, to_entries
 from logarbor.functions.errors import severity
 from logarbor.options import AnalyzerOptions
-from logarbor.sources.lens import lens
+from logarbor.sources.lens import documents_lens, lens
 
 # Fixed values of the checks: the lens instant and window.
 AS_OF = datetime(2024, 1, 31, 0, 0, 0)
@@ -280,3 +280,32 @@ def q_error_clusters_by_service(spark, sf_dir):
 @query("csv_frame")
 def q_csv_frame(spark, sf_dir):
     return csv_frame(_entries(spark, sf_dir))
+
+
+# ---- long texts: the documents lens ------------------------------------------------------
+
+def _doc_entries(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK_OPTS) -> DataFrame:
+    return parse(documents_lens(spark, sf_dir), opts)
+
+
+@query("doc_entries")
+def q_doc_entries(spark, sf_dir):
+    e = _doc_entries(spark, sf_dir)
+    return as_text_times(e.select("line_seq", "timestamp", "service", "pid", "is_error",
+                                  F.length("message").alias("msg_chars"), "message"))
+
+
+@query("doc_tree_rows")
+def q_doc_tree_rows(spark, sf_dir):
+    return as_text_times(tree.tree_rows(_doc_entries(spark, sf_dir), CHECK_OPTS))
+
+
+@query("doc_tree_rows_wrapped")
+def q_doc_tree_rows_wrapped(spark, sf_dir):
+    opts = CHECK_OPTS.replace(wrap_lines=True)
+    return as_text_times(tree.tree_rows(_doc_entries(spark, sf_dir, opts), opts))
+
+
+@query("doc_error_clusters_by_service")
+def q_doc_error_clusters_by_service(spark, sf_dir):
+    return clusters.error_clusters_by_service(_doc_entries(spark, sf_dir))

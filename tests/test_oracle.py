@@ -48,3 +48,29 @@ def test_wrapped_tree_rows(spark):
     full = E.queries()["tree_rows_full"](spark, SF).filter("kind = 'entry'").count()
     assert len(entries) == full
     assert all(len(r.text) <= 40 + 8 for r in rows if r.kind == "wrap")
+
+
+def test_doc_wrapped_rows_brute_force(spark):
+    """Wrapped tree rows of the documents lens against textwrap over the same entries."""
+    import textwrap
+    from collections import defaultdict
+
+    entries = E.queries()["doc_entries"](spark, SF).collect()
+    nodes = defaultdict(list)
+    for r in entries:
+        nodes[(r.timestamp[:10], r.service)].append(r)
+    width = max(40, 80 - 8 - 8 - 3)
+    want = Counter()
+    for rows in nodes.values():
+        rows.sort(key=lambda r: (r.timestamp, r.line_seq))
+        shown = rows[:5]
+        for rn, r in enumerate(shown, 1):
+            last = rn == min(len(rows), 5)
+            head = ("│   └── " if last else "│   ├── ") + "[" + r.timestamp[11:19] + "] "
+            pieces = textwrap.wrap(r.message, width=width)
+            want[("entry", head + pieces[0])] += 1
+            for p in pieces[1:]:
+                want[("wrap", "│   " + ("       " if last else "│      ") + p)] += 1
+    got = Counter((r.kind, r.text) for r in E.queries()["doc_tree_rows_wrapped"](spark, SF).collect()
+                  if r.kind in ("entry", "wrap"))
+    assert got == want
