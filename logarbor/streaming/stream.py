@@ -67,6 +67,19 @@ def daily_counts(entries: DataFrame, opts: AnalyzerOptions) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors")))
 
 
+def daily_clusters(entries: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """Error clusters per (day, service, pattern) with a watermark of max_days.
+
+    State of a day is dropped once the watermark passes it, so the state stays
+    bounded by the window even when messages keep producing new patterns
+    (``running_clusters`` keeps every pattern forever).
+    """
+    return (entries.filter(F.col("is_error")).withWatermark("event_time", f"{opts.max_days} days")
+            .groupBy(F.window("event_time", "1 day").alias("day"), "service",
+                     error_pattern(F.col("message")).alias("pattern"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def write_entries(entries: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
                   available_now: bool = True) -> StreamingQuery:
     """File sink (parquet or csv) with a checkpoint; exactly-once per micro-batch."""

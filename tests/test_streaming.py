@@ -40,3 +40,23 @@ def test_running_counts_equal_batch(spark, tmp_path):
     got = {r.key: r.n for r in spark.sql("SELECT * FROM svc_counts").collect()}
     batch = parse(read_lines(spark, str(src)), OPTS).groupBy("service").count().collect()
     assert got == {r.service: r["count"] for r in batch}
+
+
+def test_daily_clusters_equal_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from logarbor.operators.clusters import error_pattern
+    from logarbor.streaming.stream import daily_clusters
+
+    src = tmp_path / "in"
+    _write_files(src)
+    stream = stream_entries(spark, str(src), OPTS, max_files_per_trigger=1)
+    q = (daily_clusters(stream, OPTS).writeStream.outputMode("update").format("memory")
+         .queryName("day_clusters").option("checkpointLocation", str(tmp_path / "ck3"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(str(r.day.start.date()), r.service, r.pattern): r.n
+           for r in spark.sql("SELECT * FROM day_clusters").collect()}
+    batch = (parse(read_lines(spark, str(src)), OPTS).filter("is_error")
+             .groupBy(F.to_date("timestamp").alias("d"), "service", error_pattern(F.col("message")).alias("p"))
+             .count().collect())
+    assert got == {(str(r.d), r.service, r.p): r["count"] for r in batch}
