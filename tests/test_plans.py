@@ -37,3 +37,15 @@ def test_scan_prunes_columns(spark):
     df = summary.service_counts(parse(lens(spark, SF), OPTS))
     p = _plan(df)
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in p
+
+
+def test_tree_rows_limits_before_the_shuffle(spark):
+    from logarbor.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = QUERIES["tree_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "row_number(), 5, Partial" in p and "row_number(), 5, Final" in p
+    assert p.count("HashAggregate") >= 2  # partial + final node totals
+    assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
