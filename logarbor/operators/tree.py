@@ -13,6 +13,8 @@ gives the printed report.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,38 +71,29 @@ def _row(kind: str, rn: Column, part: Column, text: Column) -> Column:
                     text.alias("text"))
 
 
-def tree_rows(entries: DataFrame, opts: AnalyzerOptions, nodes: DataFrame | None = None) -> DataFrame:
-    """The rendered report (see module doc). Display mode from opts: full, wrap or truncate.
-
-    One pass per side: node totals (hash aggregate, plus a small per-day window
-    that marks the first service of each day) and the first N entries per node
-    (WindowGroupLimit, plus window counts over those N rows). One join, then a
-    single explode emits every row kind, so the entries are read once per side.
-    """
-    limit = opts.max_lines_per_service
-    nodes = node_counts(entries) if nodes is None else nodes
+@lru_cache(maxsize=None)
+def _tree_columns(limit: int, mode: str, truncate_length: int) -> tuple[Column, Column, Column, tuple[Column, ...]]:
+    """Column expressions of the tree report for one display setting (built once, reused)."""
     day = Window.partitionBy("log_date").orderBy("service")
-    nodes = nodes.withColumn("_first_of_day", F.row_number().over(day) == 1)
-    node_all = Window.partitionBy(*NODE)
-    shown = first_n(entries, limit).withColumn("_shown_err", F.count_if(F.col("is_error")).over(node_all))
-    rows = shown.join(nodes, list(NODE))
+    first_of_day = (F.row_number().over(day) == 1).alias("_first_of_day")
+    shown_err = F.count_if(F.col("is_error")).over(Window.partitionBy(*NODE)).alias("_shown_err")
 
     n, rn = F.col("n"), F.col("rn")
     is_last = rn == F.least(n, F.lit(limit))
     prefix = F.when(is_last, F.lit(ENTRY_LAST)).otherwise(F.lit(ENTRY_MID))
     head = F.concat(prefix, F.lit("["), F.date_format("timestamp", "HH:mm:ss"), F.lit("] "), _level_indicator())
     zero = F.lit(0)
-    if opts.show_full_lines:
+    if mode == "full":
         entry_rows = F.array(_row("entry", rn, zero, F.concat(head, F.col("message"))))
-    elif opts.wrap_lines:
+    elif mode == "wrap":
         # width = max(40, truncate - len(prefix) - len("HH:MM:SS") - len(level indicator) - 3)
-        width = F.greatest(F.lit(40), F.lit(opts.truncate_length - len(ENTRY_MID) - 8 - 3)
+        width = F.greatest(F.lit(40), F.lit(truncate_length - len(ENTRY_MID) - 8 - 3)
                            - F.length(_level_indicator()))
         cont = F.concat(F.lit(CONT_HEAD), F.when(is_last, F.lit(CONT_LAST)).otherwise(F.lit(CONT_MID)))
         entry_rows = F.transform(_wrap(F.col("message"), width), lambda line, i: F.when(
             i == 0, _row("entry", rn, i, F.concat(head, line))).otherwise(_row("wrap", rn, i, F.concat(cont, line))))
     else:
-        entry_rows = F.array(_row("entry", rn, zero, F.concat(head, truncate(F.col("message"), opts.truncate_length))))
+        entry_rows = F.array(_row("entry", rn, zero, F.concat(head, truncate(F.col("message"), truncate_length))))
 
     first = rn == 1
     errors, over_err = F.col("errors"), F.col("errors") - F.col("_shown_err")
@@ -114,10 +107,27 @@ def tree_rows(entries: DataFrame, opts: AnalyzerOptions, nodes: DataFrame | None
         F.lit(")")))
     extra = F.array(F.when(first & F.col("_first_of_day"), date_row), F.when(first, service_row),
                     F.when(first & (n > limit), overflow_row))
-    out = rows.select("log_date", "service", F.explode(F.concat(F.filter(extra, lambda x: x.isNotNull()),
-                                                                entry_rows)).alias("r"))
-    return out.select("log_date", F.when(F.col("r.kind") != "date", F.col("service")).alias("service"),
-                      "r.kind", "r.rn", "r.part", "r.text")
+    rows = F.explode(F.concat(F.filter(extra, lambda x: x.isNotNull()), entry_rows)).alias("r")
+    final = (F.col("log_date"), F.when(F.col("r.kind") != "date", F.col("service")).alias("service"),
+             F.col("r.kind"), F.col("r.rn"), F.col("r.part"), F.col("r.text"))
+    return first_of_day, shown_err, rows, final
+
+
+def tree_rows(entries: DataFrame, opts: AnalyzerOptions, nodes: DataFrame | None = None) -> DataFrame:
+    """The rendered report (see module doc). Display mode from opts: full, wrap or truncate.
+
+    One pass per side: node totals (hash aggregate, plus a small per-day window
+    that marks the first service of each day) and the first N entries per node
+    (WindowGroupLimit, plus window counts over those N rows). One join, then a
+    single explode emits every row kind, so the entries are read once per side.
+    """
+    limit = opts.max_lines_per_service
+    mode = "full" if opts.show_full_lines else "wrap" if opts.wrap_lines else "truncate"
+    first_of_day, shown_err, rows, final = _tree_columns(limit, mode, opts.truncate_length)
+    nodes = node_counts(entries) if nodes is None else nodes
+    nodes = nodes.select("*", first_of_day)
+    shown = first_n(entries, limit).select("*", shown_err)
+    return shown.join(nodes, list(NODE)).select("log_date", "service", rows).select(*final)
 
 
 def report_order(rows: DataFrame) -> DataFrame:
