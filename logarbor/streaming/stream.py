@@ -4,8 +4,11 @@
     counts  = running_counts(entries, "service")                   # update-mode counters
     q = write_entries(entries, "/out/entries", checkpoint, "parquet")
 
-The same column functions as the batch parse run per micro-batch. Only the
-row-local ``rollback`` year works on a stream (the other modes need file order).
+The same column functions as the batch parse run per micro-batch. ``stream_entries``
+takes the row-local ``rollback`` year. The file-order modes (``transition``,
+``sequential``) run through ``write_entries_in_file_order``. The file source hands
+each new file whole to one micro-batch, and year state is per file, so every
+micro-batch runs the batch two-level algorithm (chunk windows) on its files.
 Event time for watermarks is ``event_time`` (TIMESTAMP, session zone UTC),
 because watermarks refuse TIMESTAMP_NTZ; the day window doubles as lateness
 bound: ``withWatermark("event_time", "<max_days> days")``.
@@ -80,6 +83,36 @@ def daily_clusters(entries: DataFrame, opts: AnalyzerOptions) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def _raw_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                      F.col("_metadata.file_block_start").cast("bigint").alias("block_start"))
+
+
+def write_entries_in_file_order(spark: SparkSession, folder: str, path: str, checkpoint: str,
+                                opts: AnalyzerOptions, max_files_per_trigger: int | None = None,
+                                available_now: bool = True) -> StreamingQuery:
+    """Entries of a growing folder with any year mode, appended as Parquet under ``path``.
+
+    Each micro-batch numbers its lines at the scan (file order inside each block)
+    and runs ``parse`` with the options as given; the batch id makes reruns of a
+    failed micro-batch overwrite their own output folder (idempotent).
+    """
+    from logarbor.operators.parse import parse
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        lines = batch.select(F.make_valid_utf8("value").alias("value"), "file_path", "block_start",
+                             F.monotonically_increasing_id().alias("line_seq"))
+        (parse(lines, opts).write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+
+    w = (_raw_lines(spark, folder, max_files_per_trigger).writeStream.foreachBatch(run)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def write_entries(entries: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
                   available_now: bool = True) -> StreamingQuery:
     """File sink (parquet or csv) with a checkpoint; exactly-once per micro-batch."""

@@ -60,3 +60,23 @@ def test_daily_clusters_equal_batch(spark, tmp_path):
              .groupBy(F.to_date("timestamp").alias("d"), "service", error_pattern(F.col("message")).alias("p"))
              .count().collect())
     assert got == {(str(r.d), r.service, r.p): r["count"] for r in batch}
+
+
+def test_file_order_year_modes_on_a_stream(spark, tmp_path):
+    from logarbor.streaming.stream import write_entries_in_file_order
+    src = tmp_path / "in"
+    src.mkdir()
+    dec_jan = ["Dec 30 10:00:00 h s: a", "Dec 31 11:00:00 h s: b", "2024-01-01T00:00:00Z h s: iso",
+               "Jan  1 09:00:00 h s: c", "Jan  2 10:00:00 h s: d"]
+    for k in range(3):
+        (src / f"f{k}.log").write_text("\n".join(dec_jan[k:] + dec_jan[:k]) + "\n")
+    for mode in ("sequential", "transition"):
+        opts = OPTS.replace(year_mode=mode, base_year=2023)
+        out = tmp_path / f"out_{mode}"
+        q = write_entries_in_file_order(spark, str(src), str(out), str(tmp_path / f"ck_{mode}"), opts,
+                                        max_files_per_trigger=1)
+        q.awaitTermination()
+        got = sorted(spark.read.parquet(str(out)).select("file_path", "timestamp", "message").collect())
+        batch = sorted(parse(read_lines(spark, str(src)), opts).select("file_path", "timestamp", "message").collect())
+        assert got == batch, mode
+        assert len(got) > 5
