@@ -23,9 +23,16 @@ def write_csv(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("quote", '"').option("escape", '"').csv(path))
 
 
-def land_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by log_date: later day windows prune whole partitions."""
-    entries.write.mode(mode).partitionBy("log_date").parquet(path)
+def land_entries(entries: DataFrame, path: str, mode: str = "overwrite",
+                 max_records_per_file: int = 5_000_000) -> None:
+    """Parquet partitioned by log_date: later day windows prune whole partitions.
+
+    No shuffle: each task sorts its own rows by (log_date, service), so it keeps one
+    file open at a time and its row groups carry tight service min/max statistics.
+    A hot day is never pulled into one task (no repartition by date).
+    """
+    (entries.sortWithinPartitions("log_date", "service", "timestamp").write.mode(mode)
+     .option("maxRecordsPerFile", max_records_per_file).partitionBy("log_date").parquet(path))
 
 
 def read_landed(spark: SparkSession, path: str, opts: AnalyzerOptions | None = None) -> DataFrame:
