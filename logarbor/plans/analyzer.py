@@ -159,8 +159,8 @@ class LogAnalyzer:
     def export_json(self, path: str) -> None:
         writers.write_json_report(self.json_report(), self.error_clusters_by_service(), path)
 
-    def export_csv(self, path: str) -> None:
-        writers.write_csv(self.entries, path)
+    def export_csv(self, path: str, ordered: bool = True) -> None:
+        writers.write_csv(self.entries, path, ordered=ordered)
 
     def land(self, path: str) -> None:
         writers.land_entries(self.entries, path)

@@ -12,12 +12,16 @@ from logarbor.functions.timestamps import ntz_literal, window_bounds
 from logarbor.options import AnalyzerOptions
 
 
-def write_csv(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(entries: DataFrame, path: str, mode: str = "overwrite", ordered: bool = True) -> None:
     """Header Timestamp,Service,Level,Host,PID,Message; NULLs as ''; rows in file order.
 
-    The global sort makes part files follow each other in file order.
+    ``ordered``: a global (range-partitioned) sort makes the part files follow each
+    other in file order. That is the one full shuffle of the export; pass False when
+    the order does not matter.
     """
-    frame = csv_frame(entries, keep_order_columns=True).orderBy("file_path", "block_start", "line_seq")
+    frame = csv_frame(entries, keep_order_columns=True)
+    if ordered:
+        frame = frame.orderBy("file_path", "block_start", "line_seq")
     (frame.drop("file_path", "block_start", "line_seq").write.mode(mode)
      .option("header", True).option("emptyValue", "").option("nullValue", "")
      .option("quote", '"').option("escape", '"').csv(path))
