@@ -292,7 +292,7 @@ def _doc_entries(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK
 def q_doc_entries(spark, sf_dir):
     e = _doc_entries(spark, sf_dir)
     return as_text_times(e.select("line_seq", "timestamp", "service", "pid", "is_error",
-                                  F.length("message").alias("msg_chars"), "message"))
+                                  F.length("message").cast("bigint").alias("msg_chars"), "message"))
 
 
 @query("doc_tree_rows")
