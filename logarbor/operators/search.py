@@ -47,8 +47,7 @@ def tail(df: DataFrame, k: int) -> DataFrame:
 
 def error_hits(entries: DataFrame, service: str | None = None, k: int = 10, width: int = 100) -> DataFrame:
     """Last k errors rendered as '<ts> [<service>] <message[:width]>...'."""
-    last = tail(entries.filter(F.col("is_error") & (F.lit(service).isNull() | (F.col("service") == service))
-                               if service else F.col("is_error")), k)
+    last = tail(find_errors(entries, service), k)
     return last.select(*TIME_ORDER, hit_line(F.col("timestamp"), F.col("service"), None,
                                              F.col("message"), width).alias("text"))
 

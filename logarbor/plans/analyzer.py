@@ -73,6 +73,10 @@ class LogAnalyzer:
     def top_services(self, k: int = 5) -> DataFrame:
         return summary.top_k(summary.service_counts(self.entries, self.nodes), k)
 
+    def top_services_text(self, k: int = 5) -> DataFrame:
+        """The summary line 'svc (1,234), other (99)' of the k most frequent services."""
+        return summary.top_services_text(self.top_services(k))
+
     def level_distribution(self) -> DataFrame:
         return summary.ordered(summary.level_distribution(self.entries))
 

@@ -61,3 +61,13 @@ def test_metamorphic_sums(spark):
     assert all(min(r.n, 5) + r.overflow == r.n for r in nodes)
     shown = a.tree_rows().filter("kind = 'entry'").count()
     assert shown == sum(min(r.n, 5) for r in nodes)
+
+
+def test_search_views(spark):
+    a = LogAnalyzer(lens(spark, SF), OPTS)
+    errs = a.find_errors().collect()
+    last = a.last_errors(k=10).collect()
+    assert [r.line_seq for r in last] == [r.line_seq for r in errs[-10:]]
+    assert all(r.text.endswith("...") for r in last)
+    top = a.top_services_text(3).first().top_services
+    assert top.count("(") == 3
