@@ -14,17 +14,17 @@ def _time_order(desc: bool = False) -> list[Column]:
     return [F.desc(c) if desc else F.asc(c) for c in TIME_ORDER]
 
 
-def find_errors(entries: DataFrame, service: str | None = None) -> DataFrame:
-    """Error entries, optionally of one exact service, in time order (ties: file order)."""
+def errors_of(entries: DataFrame, service: str | None = None) -> DataFrame:
+    """Error entries, optionally of one exact service (unordered)."""
     out = entries.filter(F.col("is_error"))
     if service:
         out = out.filter(F.col("service") == service)
-    return out.orderBy(*_time_order())
+    return out
 
 
-def filter_logs(entries: DataFrame, service_pattern: str | None = None, level: str | None = None,
-                message_contains: str | None = None) -> DataFrame:
-    """AND of the given criteria (empty or None = absent), in time order.
+def matching(entries: DataFrame, service_pattern: str | None = None, level: str | None = None,
+             message_contains: str | None = None) -> DataFrame:
+    """AND of the given criteria (empty or None = absent), unordered.
 
     service_pattern   regex *search* in the service name
     level             exact, case-sensitive level
@@ -37,7 +37,18 @@ def filter_logs(entries: DataFrame, service_pattern: str | None = None, level: s
         out = out.filter(F.col("level") == level)
     if message_contains:
         out = out.filter(F.lower("message").contains(message_contains.lower()))
-    return out.orderBy(*_time_order())
+    return out
+
+
+def find_errors(entries: DataFrame, service: str | None = None) -> DataFrame:
+    """Error entries, optionally of one exact service, in time order (ties: file order)."""
+    return errors_of(entries, service).orderBy(*_time_order())
+
+
+def filter_logs(entries: DataFrame, service_pattern: str | None = None, level: str | None = None,
+                message_contains: str | None = None) -> DataFrame:
+    """``matching`` in time order (ties: file order)."""
+    return matching(entries, service_pattern, level, message_contains).orderBy(*_time_order())
 
 
 def tail(df: DataFrame, k: int) -> DataFrame:
@@ -47,12 +58,12 @@ def tail(df: DataFrame, k: int) -> DataFrame:
 
 def error_hits(entries: DataFrame, service: str | None = None, k: int = 10, width: int = 100) -> DataFrame:
     """Last k errors rendered as '<ts> [<service>] <message[:width]>...'."""
-    last = tail(find_errors(entries, service), k)
+    last = tail(errors_of(entries, service), k)
     return last.select(*TIME_ORDER, hit_line(F.col("timestamp"), F.col("service"), None,
                                              F.col("message"), width).alias("text"))
 
 
 def match_hits(matches: DataFrame, k: int = 20, width: int = 80) -> DataFrame:
-    """Last k matches rendered as '<ts> [<service>] <level or N/A>: <message[:width]>...'."""
+    """Last k of ``matches`` (pass the unordered ``matching`` frame) rendered as '<ts> [<service>] <level or N/A>: <message[:width]>...'."""
     return tail(matches, k).select(*TIME_ORDER, hit_line(F.col("timestamp"), F.col("service"), F.col("level"),
                                                          F.col("message"), width).alias("text"))

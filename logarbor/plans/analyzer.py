@@ -100,7 +100,7 @@ class LogAnalyzer:
         return search.error_hits(self.entries, service, k)
 
     def last_matches(self, k: int = 20, **criteria) -> DataFrame:
-        return search.match_hits(self.filter_logs(**criteria), k)
+        return search.match_hits(search.matching(self.entries, **criteria), k)
 
     def parse_quality(self) -> DataFrame:
         return quality.parse_quality(self.classified())

@@ -175,7 +175,7 @@ def q_tail_errors(spark, sf_dir):
 
 @query("tail_matches")
 def q_tail_matches(spark, sf_dir):
-    matches = search.filter_logs(_entries(spark, sf_dir), message_contains="click")
+    matches = search.matching(_entries(spark, sf_dir), message_contains="click")
     return search.match_hits(matches, k=20).select("line_seq", "text")
 
 

@@ -49,3 +49,10 @@ def test_tree_rows_limits_before_the_shuffle(spark):
     assert "row_number(), 5, Partial" in p and "row_number(), 5, Final" in p
     assert p.count("HashAggregate") >= 2  # partial + final node totals
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
+
+
+def test_last_k_has_no_global_sort(spark):
+    from logarbor.plans.catalog import QUERIES
+    for name in ("tail_errors", "tail_matches"):
+        p = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p, name
