@@ -1,4 +1,3 @@
-import shutil
 from datetime import datetime
 
 from logarbor.operators.parse import parse
