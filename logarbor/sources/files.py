@@ -97,18 +97,35 @@ def read_xz_lines(spark: SparkSession, paths: list[str], decode: str = "replace"
     return df.select("path", "content").mapInArrow(_xz_batches(decode), LINES_SCHEMA)
 
 
+UNSPLITTABLE = (".gz", ".xz")
+
+
 def read_lines(spark: SparkSession, paths: str | Iterable[str], decode: str = "replace",
                max_file_size_mb: int | None = None) -> DataFrame:
-    """Lines of all files under ``paths`` (files, folders or globs), any supported codec."""
+    """Lines of all files under ``paths`` (files, folders or globs), any supported codec.
+
+    Plain and bzip2 files split into blocks and are parsed where they are read.
+    gzip and xz archives are decoded by one task each; their lines are then
+    hash-spread once, so one large archive does not leave its parsing to one core.
+    """
     files = [r.path for r in list_files(spark, paths).select("path").collect()]
-    text = [p for p in files if not p.endswith(".xz")]
+    splittable = [p for p in files if not p.endswith(UNSPLITTABLE)]
+    gz = [p for p in files if p.endswith(".gz")]
     xz = [p for p in files if p.endswith(".xz")]
+    wide = spark.sparkContext.defaultParallelism
     parts = []
-    if text:
-        parts.append(read_text_lines(spark, text, decode, max_file_size_mb))
+    if splittable:
+        parts.append(read_text_lines(spark, splittable, decode, max_file_size_mb))
+    archives = []
+    if gz:
+        archives.append(read_text_lines(spark, gz, decode, max_file_size_mb))
     if xz:
-        parts.append(read_xz_lines(spark, xz, decode, max_file_size_mb))
+        archives.append(read_xz_lines(spark, xz, decode, max_file_size_mb))
+    for a in archives:
+        parts.append(a.repartition(wide, "file_path", "line_seq"))
     if not parts:
         return spark.createDataFrame([], LINES_SCHEMA)
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return spread(out)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out if archives else spread(out)
