@@ -2,7 +2,7 @@
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries": {name: sec}, "sf", ...}.
 Each query runs fully through Spark's ``noop`` sink (no driver collect); the
-best of $BENCH_REPEATS runs is kept after one warm-up run.
+best of $BENCH_REPEATS (default 3) runs is kept after one warm-up run.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEADLINE = ("entries", "service_counts", "summary", "level_distribution", "hourl
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = build_session(f"local[{cpus}]", int(cpus), driver_memory=os.environ.get("BENCH_MEM", "16g"))
     for kv in filter(None, os.environ.get("BENCH_CONF", "").split(",")):
         k, v = kv.split("=", 1)
