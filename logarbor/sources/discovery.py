@@ -9,6 +9,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from logarbor.sources.files import list_files
@@ -39,8 +40,11 @@ def candidates(spark: SparkSession, base_dir: str, as_of: datetime,
 
 def latest_log(spark: SparkSession, base_dir: str, as_of: datetime,
                names: tuple[str, ...] = DEFAULT_LOG_NAMES) -> str | None:
-    """Path of the most recently modified candidate (None when there is none)."""
-    row = candidates(spark, base_dir, as_of, names).agg(F.max_by("path", "modificationTime").alias("p")).first()
+    """Path of the most recently modified candidate (None when there is none or the folder is missing)."""
+    try:
+        row = candidates(spark, base_dir, as_of, names).agg(F.max_by("path", "modificationTime").alias("p")).first()
+    except AnalysisException:
+        return None
     return row.p if row else None
 
 

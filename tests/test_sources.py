@@ -89,3 +89,9 @@ def test_discovery_latest_and_rotations(spark, tmp_path):
     assert latest_log(spark, str(tmp_path), as_of).endswith("syslog.1.gz")
     assert sorted(p.rsplit("/", 1)[1] for p in rotation_set(spark, str(tmp_path), "syslog", as_of)) == \
         ["syslog", "syslog-20240105", "syslog.1", "syslog.1.gz"]
+
+
+def test_latest_log_missing_folder(spark, tmp_path):
+    assert latest_log(spark, str(tmp_path / "nope"), datetime(2024, 1, 5)) is None
+    (tmp_path / "empty").mkdir()
+    assert latest_log(spark, str(tmp_path / "empty"), datetime(2024, 1, 5)) is None
