@@ -19,12 +19,18 @@ def node_counts(entries: DataFrame) -> DataFrame:
     )
 
 
-def summary(entries: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """One row: total_entries, unique_services, date_min, date_max, days_with_logs, error_count."""
+def summary(entries: DataFrame, nodes: DataFrame | None = None, approx: bool = False) -> DataFrame:
+    """One row: total_entries, unique_services, date_min, date_max, days_with_logs, error_count.
+
+    ``approx=True`` counts services with a HyperLogLog sketch (approx_count_distinct):
+    exact counting already runs on the small node table, so this only matters when
+    a log has millions of distinct service names.
+    """
     nodes = node_counts(entries) if nodes is None else nodes
+    services = F.approx_count_distinct("service") if approx else F.count_distinct("service")
     return nodes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_entries"),
-        F.count_distinct("service").alias("unique_services"),
+        services.alias("unique_services"),
         F.min("log_date").alias("date_min"),
         F.max("log_date").alias("date_max"),
         F.count_distinct("log_date").alias("days_with_logs"),

@@ -71,3 +71,9 @@ def test_search_views(spark):
     assert all(r.text.endswith("...") for r in last)
     top = a.top_services_text(3).first().top_services
     assert top.count("(") == 3
+
+
+def test_summary_approx_services(spark):
+    from logarbor.operators.summary import summary
+    e = LogAnalyzer(lens(spark, SF), OPTS).entries
+    assert summary(e, approx=True).first().unique_services == summary(e).first().unique_services
