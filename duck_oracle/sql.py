@@ -307,6 +307,23 @@ def oracle_queries() -> dict[str, str]:
                         f"{_d('min(log_date)')} AS date_min, {_d('max(log_date)')} AS date_max, "
                         f"count(DISTINCT log_date) AS days_with_logs, "
                         f"count(*) FILTER (WHERE is_error) AS error_count FROM entries")
+    q["summary_lines"] = E + """,
+sm AS (SELECT count(*) AS total, count(DISTINCT service) AS svc, min(log_date) AS dmin, max(log_date) AS dmax,
+              count(DISTINCT log_date) AS days, count(*) FILTER (WHERE is_error) AS errs FROM entries),
+sc AS (SELECT service, count(*) AS n FROM entries GROUP BY service ORDER BY n DESC, service LIMIT 5),
+lv AS (SELECT upper(level) AS key, count(*) AS n FROM entries WHERE level IS NOT NULL GROUP BY 1)
+SELECT 0::BIGINT AS line_no, 'Summary:' AS text
+UNION ALL SELECT 1, '  Total entries: ' || format('{:,}', total) FROM sm
+UNION ALL SELECT 2, '  Unique services: ' || svc FROM sm
+UNION ALL SELECT 3, '  Date range: ' || coalesce(strftime(dmin, '%Y-%m-%d'), '') || ' to '
+                    || coalesce(strftime(dmax, '%Y-%m-%d'), '') FROM sm
+UNION ALL SELECT 4, '  Days with logs: ' || days FROM sm
+UNION ALL SELECT 5, '  Error count: ' || format('{:,}', errs) FROM sm
+UNION ALL SELECT 6, '  Top services: ' || coalesce((SELECT string_agg(service || ' (' || format('{:,}', n) || ')', ', '
+                    ORDER BY n DESC, service) FROM sc), '')
+UNION ALL SELECT 7, '  Level distribution:' WHERE (SELECT count(*) FROM lv) > 0
+UNION ALL SELECT 7 + row_number() OVER (ORDER BY n DESC, key), '    ' || key || ': ' || format('{:,}', n) FROM lv
+"""
     q["unique_services"] = E + "SELECT DISTINCT service FROM entries"
     q["date_range"] = E + (f"SELECT {_d('min(log_date)')} AS date_min, {_d('max(log_date)')} AS date_max, "
                            f"count(DISTINCT log_date) AS days_with_logs FROM entries")

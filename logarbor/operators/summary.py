@@ -7,7 +7,7 @@ a hot service or day only grows one partial counter per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,34 @@ def top_services_text(top: DataFrame) -> DataFrame:
     return top.agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(F.negative("n").alias("o"), F.col("key"), item.alias("t")))),
         lambda s: s["t"]), ", ").alias("top_services"))
+
+
+def summary_lines(entries: DataFrame, nodes: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """The text summary report as ordered lines (line_no, text), counts with thousands separators.
+
+    Summary:, totals, services, date range, days, errors, top-k services, and the level
+    distribution (count descending, level ascending on ties) when any entry has a level.
+    Every part is a one-row or small aggregate; the lines are a union of them.
+    """
+    nodes = node_counts(entries) if nodes is None else nodes
+    num = lambda c: F.format_number(F.col(c), 0)
+    line = lambda no, text: F.struct(F.lit(no).alias("line_no"), text.alias("text"))
+    head = summary(entries, nodes).select(F.explode(F.array(
+        line(0, F.lit("Summary:")),
+        line(1, F.concat(F.lit("  Total entries: "), num("total_entries"))),
+        line(2, F.concat(F.lit("  Unique services: "), F.col("unique_services").cast("string"))),
+        line(3, F.concat(F.lit("  Date range: "), F.coalesce(F.col("date_min").cast("string"), F.lit("")),
+                         F.lit(" to "), F.coalesce(F.col("date_max").cast("string"), F.lit("")))),
+        line(4, F.concat(F.lit("  Days with logs: "), F.col("days_with_logs").cast("string"))),
+        line(5, F.concat(F.lit("  Error count: "), num("error_count"))),
+    )).alias("l")).select("l.*")
+    top = top_services_text(top_k(service_counts(entries, nodes), k)).select(
+        F.lit(6).alias("line_no"), F.concat(F.lit("  Top services: "), F.coalesce("top_services", F.lit(""))).alias("text"))
+    levels = level_distribution(entries)
+    ranked = levels.select(
+        (F.lit(7) + F.row_number().over(Window.orderBy(F.desc("n"), F.asc("key")))).alias("line_no"),
+        F.concat(F.lit("    "), F.col("key"), F.lit(": "), num("n")).alias("text"))
+    level_head = levels.agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 0).select(
+        F.lit(7).alias("line_no"), F.lit("  Level distribution:").alias("text"))
+    return (head.unionByName(top).unionByName(level_head).unionByName(ranked)
+            .select(F.col("line_no").cast("bigint").alias("line_no"), "text"))

@@ -192,6 +192,11 @@ def q_summary(spark, sf_dir):
     return as_text_times(summary.summary(_entries(spark, sf_dir)))
 
 
+@query("summary_lines")
+def q_summary_lines(spark, sf_dir):
+    return summary.summary_lines(_entries(spark, sf_dir))
+
+
 @query("unique_services")
 def q_unique_services(spark, sf_dir):
     return summary.unique_services(_entries(spark, sf_dir))
