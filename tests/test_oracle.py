@@ -74,3 +74,16 @@ def test_doc_wrapped_rows_brute_force(spark):
     got = Counter((r.kind, r.text) for r in E.queries()["doc_tree_rows_wrapped"](spark, SF).collect()
                   if r.kind in ("entry", "wrap"))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["entries", "year_transition", "summary_lines"])
+def test_ansi_off_same_results(spark, con, name):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = E.queries()[name](spark, SF)
+        s_rows, s_cols = _rows(df.columns, df.collect())
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    cur = con.execute(E.oracle_sql()[name])
+    d_rows, d_cols = _rows([c[0] for c in cur.description], cur.fetchall())
+    assert (s_cols, s_rows) == (d_cols, d_rows)
