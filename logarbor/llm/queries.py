@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.llm import packing
+from logarbor.llm import bpe_chunks, packing, simhash
 from logarbor.llm.tools import table
 
 
@@ -23,8 +23,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "sequence_id", "offset", "bins", "bound")
 
 
+def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_chunks.encode(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
+    "op10_simhash_vantage_point": op10_simhash_vantage_point,
 }
 
 ORACLE: dict[str, str] = {}
