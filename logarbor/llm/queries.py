@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.llm import bpe_chunks, packing, simhash
+from logarbor.llm import bpe_chunks, packing, pii, simhash
 from logarbor.llm.tools import table
 
 
@@ -23,6 +23,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "sequence_id", "offset", "bins", "bound")
 
 
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(count(k) for k in range(pii.BASE_KINDS)), F.sha2(pii.span_text("base"), 256).alias("base_sha256"),
+                        pii.span_text("spans").alias("spans"))
+
+
 def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_chunks.encode(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
@@ -37,6 +46,7 @@ def op10_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_pii_disclosure": op8_pii_disclosure,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_simhash_vantage_point": op10_simhash_vantage_point,
 }
