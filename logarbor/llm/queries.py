@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.llm import bpe_chunks, packing, pii, simhash
+from logarbor.llm import bpe_chunks, lz_fingerprint, packing, pii, simhash, toxicity
 from logarbor.llm.tools import table
 
 
@@ -17,12 +17,20 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return packing.pack_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32",
                                               "sequence_id", "offset", "bins", "bound")
 
 
+def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: int):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
@@ -45,7 +53,9 @@ def op10_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lz_phrases": op2_lz_phrases,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_nb_ngram_toxicity": op5_nb_ngram_toxicity,
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_simhash_vantage_point": op10_simhash_vantage_point,
