@@ -5,8 +5,10 @@ On labelled text each slot gets the ratio r = log((p/|p|) / (q/|q|)) of its smoo
 counts in toxic and clean documents; a logistic regression is fitted on the features
 scaled by r. A score is the sigmoid of the sum of r * v over a text's slots.
 
-The fit uses at most ``max_rows`` labelled documents (those of least hash), so it is
-one bounded task; the model is a fixed 4 MB. Scoring is one pass without a shuffle
+The fit uses at most ``max_rows`` labelled documents (those of least hash). They are
+halved by a checksum of the text and each half gives a model; a text is scored by the
+model of the half it is not in, so a wrong label is not remembered for its own text.
+A fit is a bounded task, a model a fixed 4 MB. Scoring is one pass without a shuffle
 over every whole text, in blocks, so memory does not grow with a text's length.
 
 Nulls: a null text scores as an empty one; labels that are null or not 0 or 1, or
@@ -17,6 +19,7 @@ of one class only, every text gets the prior and is not toxic unless all labels
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 6000      # labelled documents the fit may use
+MAX_ROWS = 12000     # labelled documents the fit may use
 ORDERS = (4, 5)
 SLOT_BITS = 20
 SMOOTHING = 1.0
-EPOCHS = 6
+MIN_DOCUMENTS = 10   # labelled documents an n-gram must stand in: rarer ones only let the fit remember single texts
+EPOCHS = 3
 RATE = 0.02
-DECAY = 1e-4
+DECAY = 1e-3
 BLOCK = 1 << 18      # code points hashed at once
 
 
@@ -82,6 +86,8 @@ def fit_rows(texts: list[str | None], labels: np.ndarray, seed: int = 0) -> Mode
     for own, y in zip(x, labels):
         (p if y else q)[own] += 1
     r = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+    if len(x) > 10 * MIN_DOCUMENTS:
+        r[p + q - 2 * SMOOTHING < MIN_DOCUMENTS] = 0
     v, seen = np.zeros_like(r), np.full(1 << SLOT_BITS, 1e-6, dtype=np.float32)
     bias, bias_seen = 0.0, 1e-6
     rng = np.random.default_rng(seed)
@@ -98,14 +104,20 @@ def fit_rows(texts: list[str | None], labels: np.ndarray, seed: int = 0) -> Mode
     return Model((r * v).astype(np.float32), float(bias))
 
 
-def score_text(text: str | None, model: Model) -> float:
+def half(text: str | None) -> int:
+    return zlib.crc32((text or "").encode()) % 2
+
+
+def score_text(text: str | None, models: list[Model]) -> float:
+    """Score by the model of the half that ``text`` is not in."""
+    model = models[1 - half(text)]
     z = float(model.weights[slots(text)].sum(dtype=np.float64)) + model.bias
     return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
 # ---------------------------------------------------------------- on tables
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, seed: int = 0) -> Model:
-    """Model from at most ``max_rows`` of the labelled documents; ``labels`` has doc_id and toxic."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, seed: int = 0) -> list[Model]:
+    """Models of the two halves of at most ``max_rows`` labelled documents; ``labels`` has doc_id and toxic."""
     marked = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id")
               .agg(F.max("toxic").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
@@ -116,17 +128,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, seed: i
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         model = fit_rows(pdf["text"].tolist(), pdf["label"].to_numpy(), seed)
-        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+        return pd.DataFrame({"half": pdf["half"].iloc[:1], "weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    got = texts.groupBy(F.lit(0)).applyInPandas(train, "weights binary, bias double").collect()
-    if not got:
-        return fit_rows([], np.empty(0, dtype=int))
-    return Model(np.frombuffer(bytes(got[0]["weights"]), dtype=np.float32), got[0]["bias"])
+    got = {r["half"]: Model(np.frombuffer(bytes(r["weights"]), dtype=np.float32), r["bias"])
+           for r in texts.withColumn("half", (F.crc32(F.encode("text", "utf-8")) % 2).cast("int")).groupBy("half")
+           .applyInPandas(train, "half int, weights binary, bias double").collect()}
+    any_ = next(iter(got.values()), None) or fit_rows([], np.empty(0, dtype=int))
+    return [got.get(0, any_), got.get(1, any_)]
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
+def score(docs: DataFrame, models: list[Model], text: str = "text") -> Column:
     """Column with the score (0 to 1) of each row's whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -142,6 +155,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every document, learnt from the labels outside the held-out fold."""
-    model = fit(docs, labels.where(~held_out()), **options)
-    return (docs.select("doc_id", held_out().alias("held_out"), score(docs, model).alias("score"))
+    models = fit(docs, labels.where(~held_out()), **options)
+    return (docs.select("doc_id", held_out().alias("held_out"), score(docs, models).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
