@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.llm import bpe_chunks, lz_fingerprint, packing, pii, simhash, toxicity
+from logarbor.llm import bpe_chunks, lz_fingerprint, packing, pii, simhash, topk, toxicity
 from logarbor.llm.tools import table
 
 
@@ -27,6 +27,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "sequence_id", "offset", "bins", "bound")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,10 +60,28 @@ def op10_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lz_phrases": op2_lz_phrases,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_nb_ngram_toxicity": op5_nb_ngram_toxicity,
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_simhash_vantage_point": op10_simhash_vantage_point,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_exact_top_k": """
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM kept q JOIN kept c ON c.r <> q.r
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
