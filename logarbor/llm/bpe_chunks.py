@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logarbor.llm.tools import TwoGenerations
+
 MASK_BITS = 9           # a cut every 2**9 bytes, about
 WINDOW = 16             # bytes that decide a cut
 WORDS_KEPT = 150_000    # words in a generation
@@ -35,28 +37,6 @@ CHUNK_BYTES_KEPT = 16 << 20  # bytes of chunks in a generation
 FLUSH_BYTES = 4 << 20   # text returned at once
 
 
-class _TwoGenerations(dict):
-    """A dict of recent keys and an older one; filling the first drops the second. ``cost`` counts up to ``limit``."""
-
-    def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit, self.cost, self.older = limit, 0, {}
-
-    def find(self, key):
-        got = self.get(key)
-        if got is None and (got := self.older.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value, cost: int = 1) -> None:
-        if self.cost >= self.limit:
-            self.older = dict(self)
-            self.clear()
-            self.cost = 0
-        self[key] = value
-        self.cost += cost
-
-
 def cut_positions(data: np.ndarray, mask_bits: int = MASK_BITS, window: int = WINDOW) -> np.ndarray:
     """Byte positions after which a chunk ends: a rolling hash of the last ``window`` bytes hits the mask.
 
@@ -89,8 +69,8 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mask_bits = mask_bits
-        self.words = _TwoGenerations(WORDS_KEPT)
-        self.chunks = _TwoGenerations(CHUNK_BYTES_KEPT)
+        self.words = TwoGenerations(WORDS_KEPT)
+        self.chunks = TwoGenerations(CHUNK_BYTES_KEPT)
         self.blank_safe = self._drops_blanks()
         self.reused = self.encoded = 0
 

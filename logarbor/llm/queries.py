@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.llm import bpe_chunks, lz_fingerprint, packing, pii, simhash, topk, toxicity
+from logarbor.llm import (bpe_chunks, lz_fingerprint, packing, perspectives, pii, simhash, token_counts, topk,
+                          toxicity, warc_fixity)
 from logarbor.llm.tools import table
 
 
@@ -17,6 +18,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages against a damaged replica: some records altered, cut short, lost, or added."""
+    pages = table(spark, sf_dir, "pages")
+    good = warc_fixity.index(pages)
+    bad_html = (F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.col("html")))
+                .when(F.col("page_id") % 103 == 7, F.substring("html", 1, 40)).otherwise(F.col("html")))
+    # the replica's records keep their places; what they hold is hashed from its own bytes
+    held = pages.withColumn("bad", bad_html).select(
+        "page_id", F.sha2(warc_fixity.record_text(html="bad"), 256).alias("held"))
+    copy = (good.join(held, "page_id").where(F.col("page_id") % 101 != 11)
+            .select("archive", "page_id", "offset", "length", F.col("held").alias("digest")))
+    added = good.where(F.col("page_id") % 107 == 13).select(
+        "archive", "page_id", (F.col("offset") + 1).alias("offset"), "length", "digest")
+    archives, damages = warc_fixity.audit(good, copy.unionByName(added))
+    return archives.join(damages, "archive", "left").select(
+        "archive", "root_a", "root_b", "offset", "page_id", "length", "kind")
+
+
 def op2_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -36,6 +55,14 @@ def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: int):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
@@ -58,16 +85,87 @@ def op10_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merkle_fixity": op1_merkle_fixity,
     "op2_lz_phrases": op2_lz_phrases,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_nb_ngram_toxicity": op5_nb_ngram_toxicity,
+    "op6_trie_token_counts": op6_trie_token_counts,
+    "op7_perspective_rotation": op7_perspective_rotation,
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_simhash_vantage_point": op10_simhash_vantage_point,
 }
 
+_TREE = """
+{x}_leaf AS (
+    SELECT archive, "offset" // 65536 AS leaf,
+           sha256(string_agg("offset" || ':' || digest, ',' ORDER BY "offset", digest)) AS h
+    FROM {x} GROUP BY ALL
+), {x}_inner AS (
+    SELECT archive, leaf // 16 AS n, sha256(string_agg(leaf || ':' || h, ',' ORDER BY leaf)) AS h
+    FROM {x}_leaf GROUP BY ALL
+), {x}_root AS (
+    SELECT archive, sha256(string_agg(n || ':' || h, ',' ORDER BY n)) AS h FROM {x}_inner GROUP BY archive
+)"""
+
 ORACLE: dict[str, str] = {
+    "op1_merkle_fixity": """
+WITH page AS (
+    SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), bodies AS (
+    SELECT *, CASE WHEN page_id % 97 = 5 THEN '~' || html WHEN page_id % 103 = 7 THEN substr(html, 1, 40)
+              ELSE html END AS bad FROM page
+), records AS (
+    SELECT page_id,
+        'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+        || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+        || html || chr(13) || chr(10) || chr(13) || chr(10) AS good,
+        'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+        || chr(13) || chr(10) || 'Content-Length: ' || strlen(bad) || chr(13) || chr(10) || chr(13) || chr(10)
+        || bad || chr(13) || chr(10) || chr(13) || chr(10) AS bad
+    FROM bodies
+), placed AS (
+    SELECT page_id // 1000 AS archive, page_id, strlen(good) AS length, sha256(good) AS good, sha256(bad) AS bad,
+        CAST(coalesce(sum(strlen(good)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+    FROM records
+), a AS (
+    SELECT archive, page_id, "offset", length, good AS digest FROM placed
+), b AS (
+    SELECT archive, page_id, "offset", length, bad AS digest FROM placed WHERE page_id % 101 <> 11
+    UNION ALL
+    SELECT archive, page_id, "offset" + 1, length, good FROM placed WHERE page_id % 107 = 13
+), """ + _TREE.format(x="a") + "," + _TREE.format(x="b") + """, damage AS (
+    SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a."offset", b."offset") AS "offset",
+           coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.length, b.length) AS length,
+           CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'altered' END AS kind
+    FROM a FULL JOIN b ON a.archive = b.archive AND a."offset" = b."offset"
+    WHERE a.digest IS DISTINCT FROM b.digest
+)
+SELECT coalesce(x.archive, y.archive) AS archive, x.h AS root_a, y.h AS root_b, d."offset", d.page_id,
+       d.length, d.kind
+FROM a_root x FULL JOIN b_root y ON x.archive = y.archive
+LEFT JOIN damage d ON d.archive = coalesce(x.archive, y.archive)""",
+    "op7_perspective_rotation": """
+WITH m AS (
+    SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+           replace(coalesce(text, ''), '<|', '< |') AS text
+    FROM conversations
+), p AS (
+    SELECT DISTINCT conv_id, role AS participant FROM m WHERE role <> 'system'
+), parts AS (
+    SELECT m.conv_id, participant, CAST(floor(turn / 64) AS BIGINT) AS segment, turn, role, text,
+        '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = participant THEN 'assistant'
+            ELSE 'user name=' || regexp_replace(role, '[[:space:]]+', '_', 'g') END || chr(10) AS head,
+        text || '<|im_end|>' || chr(10) AS body, CAST(role = participant AS INTEGER) AS own
+    FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
+)
+SELECT conv_id, participant, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_messages,
+       CAST(sum(own) AS BIGINT) AS n_own,
+       string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+       string_agg(length(head) || ':0,' || length(body) || ':' || own, ',' ORDER BY turn, role, text) AS mask
+FROM parts GROUP BY conv_id, participant, segment""",
     "op4_exact_top_k": """
 WITH kept AS (
     SELECT row_number() OVER () AS r, vec_id,

@@ -32,3 +32,25 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint on ``df`` if its counted ``rows`` are within ``BROADCAST_ROWS``; else ``df``."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+class TwoGenerations(dict):
+    """A dict of recent keys and an older one; filling the first drops the second. ``cost`` counts up to ``limit``."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.cost, self.older = limit, 0, {}
+
+    def find(self, key):
+        got = self.get(key)
+        if got is None and (got := self.older.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value, cost: int = 1) -> None:
+        if self.cost >= self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.cost = 0
+        self[key] = value
+        self.cost += cost
