@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logarbor.llm.tools import written
+from logarbor.llm.tools import row_keys, small, written
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -185,22 +185,27 @@ def revealing_terms(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPO
             .select("entity", "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("kind"), "share"))
 
 
-def find_spans(docs: DataFrame, *, window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
-               remove_at: float = REMOVE_AT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, ``base`` and ``spans`` (base and added), arrays of (start, kind, end) by start, kind."""
-    scanned = scan(docs, window=window, keep=keep)
-    reveal = written(revealing_terms(docs, scanned, support=support, generalise_at=generalise_at,
-                                     remove_at=remove_at))
-    added = (scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
-             .join(reveal, ["entity", "term"])
-             .groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
-             .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added")))
+def _added(docs: DataFrame, scanned: DataFrame, **thresholds) -> DataFrame:
+    """(row, start, kind, end): occurrences of revealing terms in the contexts of their entities."""
+    reveal = written(revealing_terms(docs, scanned, **thresholds))
+    return (scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
+            .join(reveal, ["entity", "term"])
+            .groupBy("row", "start", "end").agg(F.max("kind").alias("kind")))
+
+
+def find_spans(docs: DataFrame, *, window: int = WINDOW, **thresholds) -> DataFrame:
+    """doc_id, ``base`` and ``spans`` (base and added), arrays of (start, kind, end) by start, then kind.
+
+    ``thresholds``: support, generalise_at, remove_at of ``revealing_terms``.
+    """
+    scanned = scan(docs, window=window)
+    added = _added(docs, scanned, **thresholds).groupBy("row").agg(
+        F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     ordered = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
                                                      s["end"].alias("end")))
     return (scanned.join(added, "row", "left").withColumn("base", F.array_sort(ordered))
-            .withColumn("spans", F.when(F.col("added").isNull(), F.col("base"))
-                        .otherwise(F.array_sort(F.concat("base", "added"))))
-            .drop("row", "contexts", "added"))
+            .select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base"))
+                    .otherwise(F.array_sort(F.concat("base", "added"))).alias("spans")))
 
 
 def span_text(spans: str) -> Column:
@@ -210,28 +215,35 @@ def span_text(spans: str) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def apply_spans(text: str | None, spans) -> str | None:
-    """The text with each span replaced by its kind's mark; of overlapping base spans, the union by the first's mark."""
-    if text is None or spans is None or not len(spans):
-        return text
+def apply_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each (start, kind, end) replaced by its kind's mark; overlapping spans by the first one's."""
     out, at = [], 0
-    for s in spans:
-        if s["end"] <= at:
+    for start, kind, end in sorted(spans):
+        if end <= at:
             continue
-        out.append(text[at:max(at, s["start"])])
-        if s["start"] >= at:
-            out.append(MARKS[s["kind"]])
-        at = s["end"]
+        if start >= at:
+            out += (text[at:start], MARKS[kind])
+        at = end
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, **options) -> DataFrame:
+def sanitise(docs: DataFrame, *, window: int = WINDOW, **thresholds) -> DataFrame:
     """``docs`` with the columns it has, all spans replaced in ``text``, and ``n_chars`` (if any) counted anew."""
-    @F.pandas_udf("string")
-    def replace(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([apply_spans(t, s) for t, s in zip(text, spans)], dtype=object)
+    keyed, names = row_keys(docs)
+    scanned = scan(keyed, window=window, keep=tuple(names))
+    spans = written(_added(docs, scanned, **thresholds).join(scanned.select("row", *names), "row"))
+    added = spans.groupBy(*names).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
 
-    out = find_spans(docs, keep=tuple(docs.columns), **options).withColumn("text", replace("text", "spans"))
+    @F.pandas_udf("string")
+    def replace(text: pd.Series, added: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else apply_spans(
+            t, base_spans(t) + [(s["start"], s["kind"], s["end"]) for s in (() if a is None else a)])
+            for t, a in zip(text, added)], dtype=object)
+
+    (mark,) = [n for n in ("added", "added_", "added__") if n not in docs.columns][:1]
+    joined = keyed.join(small(added.withColumnRenamed("added", mark), spans.count()), names, "left")
+    clean = replace(F.col("text").cast("string"), mark)
+    out = joined.select(*(clean.alias(c) if c == "text" else F.col(c) for c in docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    return out

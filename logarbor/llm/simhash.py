@@ -27,11 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logarbor.llm.components import components
-from logarbor.llm.tools import written
+from logarbor.llm.tools import row_keys, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -63,15 +63,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), one row per row of ``docs``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+    """doc_id, the columns ``keep``, and fp (the fingerprint's bits as a signed long), one row per row of ``docs``."""
+    @F.pandas_udf("bigint")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts))
+                         .view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), *keep, of(F.col("text").cast("string")).alias("fp"))
 
 
 # ---------------------------------------------------------------- vantage-point tree
@@ -199,14 +198,32 @@ def near_links(classes: DataFrame, *, bits: int = MAX_BITS, shard_classes: int =
             .groupBy("shard").applyInPandas(link, "a bigint, b bigint"))
 
 
-def near_groups(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS, seed: int = SEED,
-                shard_classes: int = SHARD_CLASSES) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``."""
-    fps = written(fingerprints(docs, shingle=shingle, seed=seed))
+def _grouped(fps: DataFrame, bits: int, shard_classes: int) -> DataFrame:
+    """``fps`` with ``root`` (a key of the group) and ``component_id``."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stars = components(near_links(classes, bits=bits, shard_classes=shard_classes))
     rooted = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     labels = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(labels, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(rooted.join(labels, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_groups(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS, seed: int = SEED,
+                shard_classes: int = SHARD_CLASSES) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs``."""
+    fps = written(fingerprints(docs, shingle=shingle, seed=seed))
+    return _grouped(fps, bits, shard_classes).select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS, seed: int = SEED,
+                      shard_classes: int = SHARD_CLASSES) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id (a null one only if the group has no other)."""
+    keyed, names = row_keys(docs)
+    fps = written(fingerprints(keyed, *names, shingle=shingle, seed=seed))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), *names))
+    keep = _grouped(fps, bits, shard_classes).groupBy("root").agg(first.alias("row")).select(
+        *(f"row.{n}" for n in names))
+    # of repeated rows one; the window runs on the join's own partitioning
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    kept = keyed.join(keep, names)
+    return kept.select(*docs.columns, nth.alias(names[0])).where(F.col(names[0]) == 1).select(*docs.columns)

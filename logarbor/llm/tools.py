@@ -29,6 +29,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two 64-bit hashes of (doc_id, text), under names it does not use; equal for repeated rows alone.
+
+    They join what was computed from a row back to it without a second copy of the text.
+    """
+    used = {c.lower() for c in df.columns}
+    names = []
+    for k in range(2):
+        name = f"row_key_{k}"
+        while name in used:
+            name += "_"
+        names.append(name)
+    return df.withColumns({names[0]: F.xxhash64("doc_id", "text"), names[1]: F.xxhash64("text", "doc_id")}), names
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint on ``df`` if its counted ``rows`` are within ``BROADCAST_ROWS``; else ``df``."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
