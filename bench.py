@@ -21,7 +21,7 @@ from logarbor.session import build_session  # noqa: E402
 
 HEADLINE = ("entries", "service_counts", "summary", "level_distribution", "hourly_distribution",
             "tree_rows", "tree_nodes", "error_clusters", "error_clusters_by_service", "find_errors",
-            "filter_combined", "tail_errors", "year_sequential", "year_transition", "entry_cap",
+            "filter_combined", "tail_errors", "year_sequential", "year_transition",
             "parse_quality", "csv_frame", "doc_entries", "doc_tree_rows", "summary_lines")
 
 

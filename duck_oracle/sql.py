@@ -79,10 +79,9 @@ def _ts(y: str, m: str, d: str, hh: str, mi: str, ss: str, us: str) -> str:
 
 
 def entries_sql(shift: int = 0, max_days: int = 45, year_mode: str = "rollback", base_year: int = 2024,
-                error_mode: str = "word", max_lines: int | None = None, max_entries: int | None = None,
+                error_mode: str = "word",
                 source: str = "events") -> str:
     """A WITH-chain that ends in relations ``classified`` (all lines) and ``entries``."""
-    cap = f"WHERE line_seq IN (SELECT line_seq FROM lens ORDER BY line_seq LIMIT {max_lines})" if max_lines else ""
     error_text = (f"regexp_matches(message, '{RE_ERROR_WORDS}')" if error_mode == "word" else
                   "(" + " OR ".join(f"contains(lower(message), '{w}')"
                                     for w in ("error", "failed", "failure", "exception", "critical", "panic")) + ")")
@@ -112,12 +111,11 @@ yr AS (
 )"""
     lens_cte = _lens(shift) if source == "events" else _doc_lens()
     return f"""WITH {lens_cte},
-capped AS (SELECT * FROM lens {cap}),
 routed AS (
   SELECT line_seq, line,
     CASE WHEN length(line) >= 15 AND substr(line, 1, 3) IN ('Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec') THEN 'bsd'
          WHEN length(line) >= 15 AND regexp_matches(line, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'iso' END AS route
-  FROM capped
+  FROM lens
 ),
 fmt AS (
   SELECT *,
@@ -190,7 +188,7 @@ entries1 AS (
   FROM entries0
 ),
 entries AS (
-  SELECT * FROM entries1 {f"WHERE line_seq IN (SELECT line_seq FROM entries1 ORDER BY line_seq LIMIT {max_entries})" if max_entries else ""}
+  SELECT * FROM entries1
 )
 """
 
@@ -280,8 +278,6 @@ def oracle_queries() -> dict[str, str]:
     q["year_transition"] = _by_seq(shift=15, year_mode="transition", base_year=2023)
     q["year_sequential"] = _by_seq(shift=15, year_mode="sequential", base_year=2023)
     q["day_window"] = _by_seq(max_days=7)
-    q["line_cap"] = _by_seq(max_lines=4000)
-    q["entry_cap"] = _by_seq(max_entries=3000)
     q["errors_word"] = E + "SELECT line_seq, is_error FROM entries"
     q["errors_substring"] = entries_sql(error_mode="substring") + "SELECT line_seq, is_error FROM entries"
     q["find_errors"] = _hits("is_error")

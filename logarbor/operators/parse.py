@@ -209,19 +209,10 @@ def to_entries(classified: DataFrame, opts: AnalyzerOptions) -> DataFrame:
 
 
 def classify(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """All lines after the line cap, each with its format and timestamp (NULL: no entry)."""
-    from logarbor.operators.caps import apply_line_cap
-
-    if opts.max_lines is not None:
-        lines = apply_line_cap(lines, opts.max_lines)
+    """All lines, each with its format and timestamp (NULL: no entry)."""
     return assign_timestamps(match_lines(lines, opts), opts)
 
 
 def parse(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """lines -> entries (see ENTRY_COLUMNS); entry cap applied when set."""
-    from logarbor.operators.caps import apply_entry_cap
-
-    entries = to_entries(classify(lines, opts), opts)
-    if opts.max_entries is not None:
-        entries = apply_entry_cap(entries, opts.max_entries)
-    return entries
+    """lines -> entries (see ENTRY_COLUMNS)."""
+    return to_entries(classify(lines, opts), opts)

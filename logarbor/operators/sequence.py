@@ -23,16 +23,3 @@ def with_chunk(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 def chunk_window() -> Window:
     return Window.partitionBy(*CHUNK_KEY).orderBy("line_seq")
-
-
-def number_rows(df: DataFrame, out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Adds ``out``: 1-based position of each row in (file_path, block_start, line_seq) order,
-    counted across all files (file_path ascending)."""
-    df = with_chunk(df, chunk_rows)
-    df = df.withColumn("_rn", F.row_number().over(chunk_window()))
-    counts = df.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(*CHUNK_KEY).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*CHUNK_KEY, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_off"))
-    return (df.join(offsets, list(CHUNK_KEY))
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_rn", "_off", "chunk"))

@@ -44,9 +44,6 @@ class AnalyzerOptions:
     formats          active line formats, tried in FORMAT_ORDER
     error_mode       word (whole-word, default) | substring
     offsets          utc: timestamps with a UTC offset become UTC wall clock; drop: no entry
-    max_lines        line cap per run (None = off), counted in file order
-    max_entries      entry cap per run (None = off), first entries in file order
-    max_file_size_mb skip files larger than this on disk (None = off)
     decode           replace: bad UTF-8 -> U+FFFD; ignore: bad bytes removed
     """
 
@@ -61,9 +58,6 @@ class AnalyzerOptions:
     formats: tuple[str, ...] = FORMAT_ORDER
     error_mode: str = "word"
     offsets: str = "utc"
-    max_lines: int | None = None
-    max_entries: int | None = None
-    max_file_size_mb: int | None = None
     decode: str = "replace"
 
     def __post_init__(self) -> None:
@@ -82,10 +76,6 @@ class AnalyzerOptions:
             raise ValueError("at least one format is required")
         # keep the try order fixed whatever order the caller listed
         object.__setattr__(self, "formats", tuple(f for f in FORMAT_ORDER if f in self.formats))
-        for name in ("max_lines", "max_entries", "max_file_size_mb"):
-            value = getattr(self, name)
-            if value is not None and value < 1:
-                raise ValueError(f"{name} must be positive or None")
 
     @property
     def year(self) -> int:

@@ -38,7 +38,7 @@ class LogAnalyzer:
     @classmethod
     def from_paths(cls, spark: SparkSession, paths, options: AnalyzerOptions | None = None) -> "LogAnalyzer":
         options = options or AnalyzerOptions()
-        lines = read_lines(spark, paths, options.decode, options.max_file_size_mb)
+        lines = read_lines(spark, paths, options.decode)
         return cls(lines, options, source=paths if isinstance(paths, str) else ",".join(paths))
 
     # ---- data -----------------------------------------------------------------

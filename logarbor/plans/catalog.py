@@ -40,8 +40,12 @@ def as_text_times(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _lines(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    return lens(spark, sf_dir, shift, partitions=spark.sparkContext.defaultParallelism)
+
+
 def _entries(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK_OPTS, shift: int = 0) -> DataFrame:
-    return parse(lens(spark, sf_dir, shift), opts)
+    return parse(_lines(spark, sf_dir, shift), opts)
 
 
 def _seq_ts(df: DataFrame) -> DataFrame:
@@ -81,12 +85,12 @@ def q_entries_levels(spark, sf_dir):
 
 @query("format_counts")
 def q_format_counts(spark, sf_dir):
-    return quality.format_counts(classify(lens(spark, sf_dir), CHECK_OPTS))
+    return quality.format_counts(classify(_lines(spark, sf_dir), CHECK_OPTS))
 
 
 @query("parse_quality")
 def q_parse_quality(spark, sf_dir):
-    return quality.parse_quality(classify(lens(spark, sf_dir), CHECK_OPTS))
+    return quality.parse_quality(classify(_lines(spark, sf_dir), CHECK_OPTS))
 
 
 @query("year_rollback")
@@ -111,16 +115,6 @@ def q_day_window(spark, sf_dir):
     return _seq_ts(_entries(spark, sf_dir, CHECK_OPTS.replace(max_days=7)))
 
 
-@query("line_cap")
-def q_line_cap(spark, sf_dir):
-    return _seq_ts(_entries(spark, sf_dir, CHECK_OPTS.replace(max_lines=4000)))
-
-
-@query("entry_cap")
-def q_entry_cap(spark, sf_dir):
-    return _seq_ts(_entries(spark, sf_dir, CHECK_OPTS.replace(max_entries=3000)))
-
-
 # ---- predicates and searches ----------------------------------------------
 
 @query("errors_word")
@@ -290,7 +284,7 @@ def q_csv_frame(spark, sf_dir):
 # ---- long texts: the documents lens ------------------------------------------------------
 
 def _doc_entries(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK_OPTS) -> DataFrame:
-    return parse(documents_lens(spark, sf_dir), opts)
+    return parse(documents_lens(spark, sf_dir, partitions=spark.sparkContext.defaultParallelism), opts)
 
 
 @query("doc_entries")

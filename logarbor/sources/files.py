@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.sources.partitioning import spread
-
 LINES_SCHEMA = "value string, file_path string, block_start bigint, line_seq bigint"
 XZ_BATCH_LINES = 8192
-MB = 1024 * 1024
+# File names that do not end in .xz (Hadoop globs have no plain negation).
+NOT_XZ = "{*[!z],*[!x]z,*[!.]xz,z,xz}"
 
 
 def list_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
@@ -36,22 +35,17 @@ def list_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
             .select("path", "modificationTime", "length"))
 
 
-def _decode(value, decode: str):
+def decoded(value, decode: str):
     fixed = F.make_valid_utf8(value)
     return F.replace(fixed, F.lit("\ufffd"), F.lit("")) if decode == "ignore" else fixed
 
 
-def read_text_lines(spark: SparkSession, paths: list[str], decode: str = "replace",
-                    max_file_size_mb: int | None = None) -> DataFrame:
-    """Plain / gzip / bzip2 files (one scan); see module doc."""
-    df = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(paths)
-    df = df.select("value", F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_block_start").alias("block_start"),
-                   F.col("_metadata.file_size").alias("_size"))
-    if max_file_size_mb is not None:
-        df = df.filter(F.col("_size") <= F.lit(max_file_size_mb * MB))
-    return df.select(_decode(F.col("value"), decode).alias("value"), "file_path",
-                     F.col("block_start").cast("bigint").alias("block_start"),
+def read_text_lines(spark: SparkSession, paths: list[str], decode: str = "replace") -> DataFrame:
+    """Plain / gzip / bzip2 files under ``paths`` (one scan); a damaged or missing file fails the job."""
+    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", NOT_XZ)
+          .option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").text(paths))
+    return df.select(decoded(F.col("value"), decode).alias("value"), F.col("_metadata.file_path").alias("file_path"),
+                     F.col("_metadata.file_block_start").cast("bigint").alias("block_start"),
                      F.monotonically_increasing_id().alias("line_seq"))
 
 
@@ -73,59 +67,34 @@ def _xz_batches(decode: str):
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 seq = 0
                 values: list[str] = []
-                try:
-                    with io.TextIOWrapper(lzma.open(io.BytesIO(content)), encoding="utf-8", errors=errors,
-                                          newline=None) as fh:
-                        for line in fh:
-                            values.append(line[:-1] if line.endswith("\n") else line)
-                            if len(values) >= XZ_BATCH_LINES:
-                                yield flush(values, path, seq)
-                                seq += len(values)
-                                values = []
-                except (lzma.LZMAError, EOFError):
-                    pass  # corrupt or truncated archive: keep the lines read so far
+                with io.TextIOWrapper(lzma.open(io.BytesIO(content)), encoding="utf-8", errors=errors,
+                                      newline=None) as fh:
+                    for line in fh:  # a damaged or truncated archive raises
+                        values.append(line[:-1] if line.endswith("\n") else line)
+                        if len(values) >= XZ_BATCH_LINES:
+                            yield flush(values, path, seq)
+                            seq += len(values)
+                            values = []
                 if values:
                     yield flush(values, path, seq)
     return run
 
 
-def read_xz_lines(spark: SparkSession, paths: list[str], decode: str = "replace",
-                  max_file_size_mb: int | None = None) -> DataFrame:
-    df = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(paths)
-    if max_file_size_mb is not None:
-        df = df.filter(F.col("length") <= F.lit(max_file_size_mb * MB))
+def read_xz_lines(spark: SparkSession, paths: list[str], decode: str = "replace") -> DataFrame:
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xz")
+          .option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").load(paths))
     return df.select("path", "content").mapInArrow(_xz_batches(decode), LINES_SCHEMA)
 
 
-UNSPLITTABLE = (".gz", ".xz")
-
-
 def read_lines(spark: SparkSession, paths: str | Iterable[str], decode: str = "replace",
-               max_file_size_mb: int | None = None) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """Lines of all files under ``paths`` (files, folders or globs), any supported codec.
 
-    Plain and bzip2 files split into blocks and are parsed where they are read.
-    gzip and xz archives are decoded by one task each; their lines are then
-    hash-spread once, so one large archive does not leave its parsing to one core.
+    Two readers, each with a file name filter, so no path list passes the driver.
+    Plain and bzip2 files split into blocks and lines are parsed where they are read,
+    without a shuffle. gzip and xz archives are decoded by one task each; where few
+    huge archives hold the log, ``partitions`` deals their lines out before parsing.
     """
-    files = [r.path for r in list_files(spark, paths).select("path").collect()]
-    splittable = [p for p in files if not p.endswith(UNSPLITTABLE)]
-    gz = [p for p in files if p.endswith(".gz")]
-    xz = [p for p in files if p.endswith(".xz")]
-    wide = spark.sparkContext.defaultParallelism
-    parts = []
-    if splittable:
-        parts.append(read_text_lines(spark, splittable, decode, max_file_size_mb))
-    archives = []
-    if gz:
-        archives.append(read_text_lines(spark, gz, decode, max_file_size_mb))
-    if xz:
-        archives.append(read_xz_lines(spark, xz, decode, max_file_size_mb))
-    for a in archives:
-        parts.append(a.repartition(wide, "file_path", "line_seq"))
-    if not parts:
-        return spark.createDataFrame([], LINES_SCHEMA)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out if archives else spread(out)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    out = read_text_lines(spark, paths, decode).unionByName(read_xz_lines(spark, paths, decode))
+    return out.repartition(partitions, "file_path", "line_seq") if partitions else out

@@ -19,8 +19,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.sources.partitioning import spread
-
 # Service per event type.
 SERVICES = (("error", "kernel"), ("click", "nginx"), ("view", "web.ui"),
             ("signup", "auth-d"), ("purchase", "shop/pay"))
@@ -86,9 +84,10 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lens(spark: SparkSession, sf_dir: str, shift_days: int = 0,
-         chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
-    # spread the narrow event rows (not the rendered text) so rendering runs on every core
-    return lens_lines(spread(read_events(spark, sf_dir), ("event_id",)), shift_days, chunk_lines)
+         chunk_lines: int = DEFAULT_CHUNK_LINES, partitions: int | None = None) -> DataFrame:
+    """``partitions`` deals the narrow event rows (not the rendered text) out: the driver's table is one row group."""
+    events = read_events(spark, sf_dir)
+    return lens_lines(events.repartition(partitions, "event_id") if partitions else events, shift_days, chunk_lines)
 
 
 # ---- documents: long texts as log lines --------------------------------------------
@@ -115,6 +114,6 @@ def document_lines(documents: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES)
         d.cast("bigint").alias("line_seq"))
 
 
-def documents_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_lens(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return document_lines(spread(docs, ("doc_id",)))
+    return document_lines(docs.repartition(partitions, "doc_id") if partitions else docs)

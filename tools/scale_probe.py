@@ -21,7 +21,6 @@ from logarbor.operators.parse import parse  # noqa: E402
 from logarbor.plans.catalog import CHECK_OPTS  # noqa: E402
 from logarbor.session import build_session  # noqa: E402
 from logarbor.sources.lens import lens_lines, read_events  # noqa: E402
-from logarbor.sources.partitioning import spread  # noqa: E402
 
 
 def main() -> None:
@@ -29,7 +28,7 @@ def main() -> None:
     cpus = int(sys.argv[3]) if len(sys.argv) > 3 else 8
     spark = build_session(f"local[{cpus}]", cpus, driver_memory="16g")
     ev = read_events(spark, sf_dir)
-    ev = spread(ev, ("event_id",)).select(
+    ev = ev.repartition(8, "event_id").select(
         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_c"), *ev.columns)
     ev = ev.withColumn("event_id", F.col("event_id") * k + F.col("_c")).drop("_c")
     lines = lens_lines(ev)
