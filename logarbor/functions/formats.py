@@ -95,7 +95,7 @@ def _journald(g: Group) -> str:
 
 
 def _rainerscript_enhanced(g: Group) -> str:
-    return (g("date", DATE) + "T" + g("clock", CLOCK) + r"\." + g("tail", DIGITS + OFFSET_TAIL)
+    return (g("date", DATE) + "T" + g("clock", CLOCK) + r"\." + g("tail", r"\d" + OFFSET_TAIL)
             + WS + "+" + g("host", NONWS + "+") + WS + "+" + g("svc", NONWS + "+?")
             + r"(?:\[" + g("pid", DIGITS) + r"\])?:?" + WS + "+"
             + r"(?:\[" + g("level", LEVEL_WORD) + r"\]" + WS + "+)?" + g("msg", MSG) + "$")
@@ -110,12 +110,12 @@ class LineFormat:
 
 
 CATALOG = (
-    LineFormat("with_level", "bsd", _with_level, "Syslog line with a [LEVEL] token"),
-    LineFormat("traditional", "bsd", _traditional, "Basic syslog format"),
-    LineFormat("traditional_simple", "bsd", _traditional_simple, "Simple syslog format"),
-    LineFormat("iso8601", "iso", _iso8601, "ISO 8601 timestamp format"),
-    LineFormat("journald", "iso", _journald, "Journald-style format"),
-    LineFormat("rainerscript_enhanced", "iso", _rainerscript_enhanced, "RainerScript enhanced format"),
+    LineFormat("with_level", "bsd", _with_level, "month, day, clock; [LEVEL] before the message"),
+    LineFormat("traditional", "bsd", _traditional, "month, day, clock; optional fraction and pid"),
+    LineFormat("traditional_simple", "bsd", _traditional_simple, "month, day, clock; no fraction, no pid"),
+    LineFormat("iso8601", "iso", _iso8601, "ISO date and clock; optional Z or offset"),
+    LineFormat("journald", "iso", _journald, "ISO date with a + offset; pid required"),
+    LineFormat("rainerscript_enhanced", "iso", _rainerscript_enhanced, "ISO date with fraction and offset; optional [LEVEL]"),
 )
 BY_NAME = {f.name: f for f in CATALOG}
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logarbor.functions.text import words
+from logarbor.functions.text import WS_CLASS, py_strip
 
 CLUSTER_WORDS = 3
 
 
 def error_pattern(message: Column) -> Column:
     """First three words joined by one blank plus '...' when there are more, else the whole message."""
-    w = words(message)
+    w = F.split(py_strip(message), "(?U)" + WS_CLASS + "+", CLUSTER_WORDS + 1)  # the rest of a long text stays whole
     return F.when(F.size(w) > CLUSTER_WORDS,
                   F.concat(F.array_join(F.slice(w, 1, CLUSTER_WORDS), " "), F.lit("..."))).otherwise(message)
 

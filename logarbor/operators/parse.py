@@ -146,14 +146,14 @@ def _with_parts(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
 PART_COLUMNS = ("_y", "_mo", "_d", "_hh", "_mi", "_ss", "_us", "_offm", "_bad")
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def _rollback_year(as_of) -> Column:
     c = F.col
     return F.when(c("route") == "bsd", ts.rollback_year(as_of, c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"),
                                                        c("_us"))).otherwise(c("_y")).alias("_year")
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def _timestamp_columns(as_of, max_days: int) -> tuple[Column, Column]:
     c = F.col
     local = ts.make_ts(c("_year"), c("_mo"), c("_d"), c("_hh"), c("_mi"), c("_ss"), c("_us"))

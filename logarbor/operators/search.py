@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logarbor.functions.text import hit_line
 
-TIME_ORDER = ("timestamp", "file_path", "line_seq")
+TIME_ORDER = ("timestamp", "file_path", "block_start", "line_seq")
 
 
 def _time_order(desc: bool = False) -> list[Column]:
@@ -41,13 +41,12 @@ def matching(entries: DataFrame, service_pattern: str | None = None, level: str
 
 
 def time_ordered(rows: DataFrame) -> DataFrame:
-    """Global time order (ties: file order).
+    """Global time order (ties: file order): one range-partitioned sort.
 
-    A range-partitioned sort samples its input in a separate pass. The filtered rows
-    are hash-shuffled first, so that pass reads the (much smaller) shuffle output
-    instead of parsing every line of the source again.
+    The sort samples its input in a pass of its own. On landed entries that is a
+    pruned Parquet scan; for repeated searches land the entries first.
     """
-    return rows.repartition("file_path", "line_seq").orderBy(*_time_order())
+    return rows.orderBy(*_time_order())
 
 
 def find_errors(entries: DataFrame, service: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Aggregations over entries: node counts, summary row, distributions, top services.
 
-Everything small is derived from one pre-aggregated table of (log_date, service)
-nodes, so the entry stream is hashed once with map-side partial aggregation;
-a hot service or day only grows one partial counter per task.
+Each is one hash aggregation of the entries with map-side partial counts; a hot
+service or day only grows one partial counter per task. Reports of several parts
+derive all of them from one table of cells (day, hour, service, level).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logarbor.session import checkpoint_dir
+
 
 def node_counts(entries: DataFrame) -> DataFrame:
     """(log_date, service, n, errors): entries and errors per tree node."""
@@ -19,6 +21,31 @@ def node_counts(entries: DataFrame) -> DataFrame:
     )
 
 
+def cell_counts(entries: DataFrame) -> DataFrame:
+    """(log_date, hour_bucket, service, level, n, errors), level upper-cased: all of the summary derives from it."""
+    return entries.groupBy("log_date", "hour_bucket", "service", F.upper("level").alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_error")).alias("errors"))
+
+
+def materialised(cells: DataFrame) -> DataFrame:
+    """The small cell table, computed once and kept in the checkpoint folder."""
+    checkpoint_dir(cells.sparkSession)
+    return cells.checkpoint()
+
+
+def nodes_of(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("log_date", "service").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+
+
+def levels_of(cells: DataFrame) -> DataFrame:
+    return (cells.filter(F.col("level").isNotNull()).groupBy(F.col("level").alias("key"))
+            .agg(F.sum("n").alias("n")))
+
+
+def hours_of(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(F.col("hour_bucket").alias("key")).agg(F.sum("n").alias("n"))
+
+
 def summary(entries: DataFrame, nodes: DataFrame | None = None, approx: bool = False) -> DataFrame:
     """One row: total_entries, unique_services, date_min, date_max, days_with_logs, error_count.
 
@@ -40,7 +67,8 @@ def summary(entries: DataFrame, nodes: DataFrame | None = None, approx: bool = F
 
 def service_counts(entries: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(key, n) per service."""
-    nodes = node_counts(entries) if nodes is None else nodes
+    if nodes is None:
+        return entries.groupBy(F.col("service").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return nodes.groupBy(F.col("service").alias("key")).agg(F.sum("n").cast("bigint").alias("n"))
 
 
@@ -67,13 +95,11 @@ def top_k(dist: DataFrame, k: int = 5) -> DataFrame:
 
 def unique_services(entries: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """The distinct service set, one row per service."""
-    nodes = node_counts(entries) if nodes is None else nodes
-    return nodes.select("service").distinct()
+    return (entries if nodes is None else nodes).select("service").distinct()
 
 
 def date_range(entries: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    nodes = node_counts(entries) if nodes is None else nodes
-    return nodes.agg(F.min("log_date").alias("date_min"), F.max("log_date").alias("date_max"),
+    return (entries if nodes is None else nodes).agg(F.min("log_date").alias("date_min"), F.max("log_date").alias("date_max"),
                      F.count_distinct("log_date").alias("days_with_logs"))
 
 
@@ -85,16 +111,18 @@ def top_services_text(top: DataFrame) -> DataFrame:
         lambda s: s["t"]), ", ").alias("top_services"))
 
 
-def summary_lines(entries: DataFrame, nodes: DataFrame | None = None, k: int = 5) -> DataFrame:
+def summary_lines(entries: DataFrame, cells: DataFrame | None = None, k: int = 5) -> DataFrame:
     """The text summary report as ordered lines (line_no, text), counts with thousands separators.
 
     Summary:, totals, services, date range, days, errors, top-k services, and the level
     distribution (count descending, level ascending on ties) when any entry has a level.
-    Every part is a one-row or small aggregate; the lines are a union of them.
+    The entries are read once, into the cell table; the lines are a union of small aggregates of it.
     """
-    nodes = node_counts(entries) if nodes is None else nodes
+    cells = materialised(cell_counts(entries)) if cells is None else cells
+    nodes = nodes_of(cells)
     num = lambda c: F.format_number(F.col(c), 0)
     line = lambda no, text: F.struct(F.lit(no).alias("line_no"), text.alias("text"))
+    # The report's line labels.
     head = summary(entries, nodes).select(F.explode(F.array(
         line(0, F.lit("Summary:")),
         line(1, F.concat(F.lit("  Total entries: "), num("total_entries"))),
@@ -106,7 +134,7 @@ def summary_lines(entries: DataFrame, nodes: DataFrame | None = None, k: int = 5
     )).alias("l")).select("l.*")
     top = top_services_text(top_k(service_counts(entries, nodes), k)).select(
         F.lit(6).alias("line_no"), F.concat(F.lit("  Top services: "), F.coalesce("top_services", F.lit(""))).alias("text"))
-    levels = level_distribution(entries)
+    levels = levels_of(cells)
     ranked = levels.select(
         (F.lit(7) + F.row_number().over(Window.orderBy(F.desc("n"), F.asc("key")))).alias("line_no"),
         F.concat(F.lit("    "), F.col("key"), F.lit(": "), num("n")).alias("text"))

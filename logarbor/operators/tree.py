@@ -3,8 +3,8 @@
 first N entries per (log_date, service) node come from ``row_number() <= N``
 (planned as WindowGroupLimit: a partial top-N per task before the shuffle, so a
 hot node ships at most N rows per task). Node totals come from the hash
-aggregate of ``summary.node_counts``; both sides are partitioned by the node key,
-so joining them moves no further data.
+aggregate of ``summary.node_counts``, which is small; for the mark of a day's first
+service it is partitioned by day once more.
 
 Rows: (log_date, service, kind, rn, part, text); kind in date / service /
 entry / wrap / overflow. Sorting by (log_date, service NULLS FIRST, rn, part)
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logarbor.functions.text import truncate
+from logarbor.operators.search import TIME_ORDER
 from logarbor.operators.summary import node_counts
 from logarbor.options import AnalyzerOptions
 
 NODE = ("log_date", "service")
+NODE_SALTS = 32
 TREE_COLUMNS = ("log_date", "service", "kind", "rn", "part", "text")
 
 # Tree connectors of the report.
@@ -37,12 +39,20 @@ CONT_HEAD = "│   "
 
 
 def node_window() -> Window:
-    return Window.partitionBy(*NODE).orderBy("timestamp", "file_path", "line_seq")
+    return Window.partitionBy(*NODE).orderBy(*TIME_ORDER)
 
 
 def first_n(entries: DataFrame, n: int) -> DataFrame:
-    """The first n entries of each node in time order, with ``rn`` 1..n."""
-    return entries.withColumn("rn", F.row_number().over(node_window())).filter(F.col("rn") <= n)
+    """The first n entries of each node in time order, with ``rn`` 1..n.
+
+    Every task offers n rows of a hot node. They meet first in ``NODE_SALTS`` parts of the
+    node, so the task that ranks the node reads n rows a part, not n rows a task.
+    """
+    salt = F.pmod(F.xxhash64("file_path", "block_start", "line_seq"), F.lit(NODE_SALTS))
+    part = Window.partitionBy(*NODE, "_salt").orderBy(*TIME_ORDER)
+    some = entries.withColumn("_salt", salt).withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= n)
+    return (some.drop("_salt", "rn").withColumn("rn", F.row_number().over(node_window()))
+            .filter(F.col("rn") <= n))
 
 
 def tree_nodes(entries: DataFrame, n: int, nodes: DataFrame | None = None) -> DataFrame:

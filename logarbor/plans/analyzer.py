@@ -1,77 +1,111 @@
-"""The analyzer: one object that reads a log, parses it once and answers the reports.
+"""The analyzer: one object that reads a log and answers the reports.
 
     analyzer = LogAnalyzer.from_paths(spark, ["/logs/syslog", "/logs/syslog.1.gz"], AnalyzerOptions(...))
+    analyzer = LogAnalyzer.from_latest(spark, "/var/log")          # the newest log of the folder
     analyzer.tree_rows()          # date -> service -> first N entries -> overflow
     analyzer.summary()            # totals, services, date range, days, errors
     analyzer.find_errors("sshd")  # errors in time order
     analyzer.filter_logs(service_pattern="ssh.*", level="ERROR")
-    analyzer.export_json(path); analyzer.export_csv(path); analyzer.land(path)
+    analyzer.export_json(path); analyzer.export_csv(path)
+    analyzer.land(path)           # entries as Parquet; then, for many reports:
+    LogAnalyzer.from_landed(spark, path, options)
 
-Entries are persisted (memory and disk) on first use so the reports share one
-parse; the persisted blocks are recomputed from lineage if an executor is lost.
-For runs whose reports come days apart, ``land`` writes them as Parquet instead.
+Nothing is cached behind the caller's back: a report on a log reads the columns and
+rows it needs. For several reports, land once and read the landed entries, where day
+windows prune partitions and every report reads only its columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
 from logarbor.functions.formats import BY_NAME
 from logarbor.operators import clusters, quality, search, summary, tree
 from logarbor.operators.parse import classify, parse
-from logarbor.operators.plugins import run_plugins
+from logarbor.operators.plugins import Plugin, registered
 from logarbor.options import AnalyzerOptions
 from logarbor.sinks import writers
+from logarbor.sources.discovery import latest_log, rotation_set
 from logarbor.sources.files import read_lines
 
+REPORT_ROWS = 10  # rows of a plugin's result shown in the JSON document and the summary; all rows go beside it
+
 
 class LogAnalyzer:
-    def __init__(self, lines: DataFrame, options: AnalyzerOptions | None = None, source: str | None = None):
+    """``plugins``: name -> plugin for this analyzer; the registered ones when not given."""
+
+    def __init__(self, lines: DataFrame | None, options: AnalyzerOptions | None = None, source: str | None = None,
+                 plugins: dict[str, Plugin] | None = None, landed: DataFrame | None = None):
         self.options = options or AnalyzerOptions()
         self.lines = lines
         self.source = source
-        self._entries: DataFrame | None = None
-        self._nodes: DataFrame | None = None
+        self.plugins = registered() if plugins is None else dict(plugins)
+        self._landed = landed
 
     @classmethod
-    def from_paths(cls, spark: SparkSession, paths, options: AnalyzerOptions | None = None) -> "LogAnalyzer":
+    def from_paths(cls, spark: SparkSession, paths, options: AnalyzerOptions | None = None,
+                   partitions: int | None = None, **kw) -> "LogAnalyzer":
         options = options or AnalyzerOptions()
-        lines = read_lines(spark, paths, options.decode)
-        return cls(lines, options, source=paths if isinstance(paths, str) else ",".join(paths))
+        lines = read_lines(spark, paths, options.decode, partitions)
+        return cls(lines, options, source=paths if isinstance(paths, str) else ",".join(paths), **kw)
+
+    @classmethod
+    def from_latest(cls, spark: SparkSession, base_dir: str, options: AnalyzerOptions | None = None,
+                    **kw) -> "LogAnalyzer":
+        """The most recently changed log of a folder."""
+        options = options or AnalyzerOptions()
+        path = latest_log(spark, base_dir, options.as_of)
+        if path is None:
+            raise FileNotFoundError(f"no log found under {base_dir}")
+        return cls.from_paths(spark, path, options, **kw)
+
+    @classmethod
+    def from_rotations(cls, spark: SparkSession, base_dir: str, name: str, options: AnalyzerOptions | None = None,
+                       **kw) -> "LogAnalyzer":
+        """One log with all its rotations."""
+        options = options or AnalyzerOptions()
+        paths = rotation_set(spark, base_dir, name, options.as_of)
+        if not paths:
+            raise FileNotFoundError(f"no {name} found under {base_dir}")
+        return cls.from_paths(spark, paths, options, **kw)
+
+    @classmethod
+    def from_landed(cls, spark: SparkSession, path: str, options: AnalyzerOptions | None = None,
+                    **kw) -> "LogAnalyzer":
+        """Entries written by ``land``, within the day window of the options."""
+        options = options or AnalyzerOptions()
+        return cls(None, options, source=path, landed=writers.read_landed(spark, path, options), **kw)
 
     # ---- data -----------------------------------------------------------------
     @property
     def entries(self) -> DataFrame:
-        if self._entries is None:
-            self._entries = parse(self.lines, self.options).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._entries
+        return parse(self.lines, self.options) if self._landed is None else self._landed
 
     @property
     def nodes(self) -> DataFrame:
-        if self._nodes is None:
-            self._nodes = summary.node_counts(self.entries).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._nodes
+        return summary.node_counts(self.entries)
 
     def classified(self) -> DataFrame:
+        if self.lines is None:
+            raise ValueError("landed entries keep no unparsed lines: quality needs the log itself")
         return classify(self.lines, self.options)
 
     # ---- reports --------------------------------------------------------------
     def tree_rows(self) -> DataFrame:
-        return tree.report_order(tree.tree_rows(self.entries, self.options, self.nodes))
+        return tree.report_order(tree.tree_rows(self.entries, self.options))
 
     def tree_nodes(self) -> DataFrame:
-        return tree.tree_nodes(self.entries, self.options.max_lines_per_service, self.nodes)
+        return tree.tree_nodes(self.entries, self.options.max_lines_per_service)
 
     def summary(self) -> DataFrame:
-        return summary.summary(self.entries, self.nodes)
+        return summary.summary(self.entries)
 
     def service_counts(self) -> DataFrame:
-        return summary.ordered(summary.service_counts(self.entries, self.nodes))
+        return summary.ordered(summary.service_counts(self.entries))
 
     def top_services(self, k: int = 5) -> DataFrame:
-        return summary.top_k(summary.service_counts(self.entries, self.nodes), k)
+        return summary.top_k(summary.service_counts(self.entries), k)
 
     def top_services_text(self, k: int = 5) -> DataFrame:
         """The summary line 'svc (1,234), other (99)' of the k most frequent services."""
@@ -109,7 +143,22 @@ class LogAnalyzer:
         return quality.format_counts(self.classified())
 
     def plugin_results(self) -> dict[str, dict[str, DataFrame]]:
-        return run_plugins(self.entries)
+        entries = self.entries
+        return {name: plugin(entries) for name, plugin in self.plugins.items()}
+
+    def summary_lines(self) -> DataFrame:
+        """The text summary (line_no, text), followed by the first rows of every plugin's results."""
+        lines = summary.summary_lines(self.entries)
+        for i, (name, results) in enumerate(sorted(self.plugin_results().items()), 1):
+            for j, (result, rows) in enumerate(sorted(results.items())):
+                at = F.lit(i * 1_000_000 + j * 1_000)
+                head = rows.sparkSession.range(1).select(at.cast("bigint").alias("line_no"),
+                                                         F.lit(f"  {name} {result}:").alias("text"))
+                shown = rows.limit(REPORT_ROWS).select(F.to_json(F.struct(*rows.columns)).alias("json"))
+                body = shown.select((at + 1 + F.monotonically_increasing_id()).cast("bigint").alias("line_no"),
+                                    F.concat(F.lit("    "), "json").alias("text"))
+                lines = lines.unionByName(head).unionByName(body)
+        return lines
 
     # ---- exports ---------------------------------------------------------------
     def parser_info(self) -> dict:
@@ -118,35 +167,38 @@ class LogAnalyzer:
                 "pattern_descriptions": [BY_NAME[f].description for f in fmts]}
 
     def json_report(self) -> DataFrame:
-        """One-row document: metadata, summary, service/level/hour stats (ordered), top error patterns."""
+        """One-row bounded document: metadata, summary, levels, hours, and the first rows of every plugin's results.
+
+        What grows with the log (services, all plugin rows) is written beside it by ``export_json``.
+        """
         o = self.options
         info = self.parser_info()
-        nodes = self.nodes
+        cells = summary.materialised(summary.cell_counts(self.entries))
 
         def pairs(dist: DataFrame, name: str) -> DataFrame:
             return dist.agg(F.sort_array(F.collect_list(F.struct(F.negative("n").alias("_o"), "key", "n")))
                             .alias("_a")).select(F.transform("_a", lambda s: F.struct(
                                 s["key"].alias("key"), s["n"].alias("count"))).alias(name))
 
-        summ = nodes.agg(
+        summ = summary.nodes_of(cells).agg(
             F.struct(
                 F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_entries"),
-                F.sort_array(F.collect_set("service")).alias("unique_services"),
+                F.count_distinct("service").alias("unique_services"),
                 F.array(F.date_format(F.min("log_date"), "yyyy-MM-dd"),
                         F.date_format(F.max("log_date"), "yyyy-MM-dd")).alias("date_range"),
                 F.count_distinct("log_date").alias("days_with_logs"),
                 F.coalesce(F.sum("errors"), F.lit(0)).cast("bigint").alias("error_count"),
             ).alias("summary"))
-        svc = pairs(summary.service_counts(self.entries, nodes), "service_stats")
-        lvl = pairs(summary.level_distribution(self.entries), "level_stats")
-        hrs = pairs(summary.hourly_distribution(self.entries), "hourly_distribution")
-        top = clusters.error_clusters(self.entries, 10).agg(F.sort_array(F.collect_list(
-            F.struct(F.negative("n").alias("_o"), "pattern", "n"))).alias("_a")).select(
-            F.transform("_a", lambda s: F.struct(s["pattern"].alias("pattern"), s["n"].alias("count")))
-            .alias("top_error_patterns"))
+        parts = [pairs(summary.levels_of(cells), "level_stats"), pairs(summary.hours_of(cells), "hourly_distribution")]
+        plugins = {}
+        for i, (name, results) in enumerate(self.plugin_results().items()):
+            for j, (result, rows) in enumerate(results.items()):
+                column = f"_p{i}_{j}"
+                plugins.setdefault(name, {})[result] = column
+                parts.append(rows.limit(REPORT_ROWS).agg(F.collect_list(F.struct(*rows.columns)).alias(column)))
         # every part is a one-row aggregate: joining them on a constant key builds the document
         doc = summ.withColumn("_k", F.lit(1))
-        for part in (svc, lvl, hrs, top):
+        for part in parts:
             doc = doc.join(part.withColumn("_k", F.lit(1)), "_k")
         meta = F.struct(
             F.lit(writers.exported_at()).alias("exported_at"),
@@ -156,21 +208,19 @@ class LogAnalyzer:
                      F.array(*[F.lit(x) for x in info["pattern_types"]]).alias("pattern_types"),
                      F.array(*[F.lit(x) for x in info["pattern_descriptions"]]).alias("pattern_descriptions"))
             .alias("parser_info"))
-        return doc.select(meta.alias("metadata"), "summary", "service_stats", "level_stats",
-                          "hourly_distribution",
-                          F.struct(F.struct("top_error_patterns").alias("ErrorClusterPlugin")).alias("plugin_results"))
+        shown = [F.struct(*(F.col(c).alias(result) for result, c in results.items())).alias(name)
+                 for name, results in plugins.items()]
+        return doc.select(meta.alias("metadata"), "summary", "level_stats", "hourly_distribution",
+                          *([F.struct(*shown).alias("plugin_results")] if shown else []))
 
     def export_json(self, path: str) -> None:
-        writers.write_json_report(self.json_report(), self.error_clusters_by_service(), path)
+        tables = {"service_stats": summary.service_counts(self.entries)}
+        tables |= {f"plugins/{name}/{result}": rows for name, results in self.plugin_results().items()
+                   for result, rows in results.items()}
+        writers.write_json_report(self.json_report(), tables, path)
 
     def export_csv(self, path: str, ordered: bool = True) -> None:
         writers.write_csv(self.entries, path, ordered=ordered)
 
     def land(self, path: str) -> None:
         writers.land_entries(self.entries, path)
-
-    def unpersist(self) -> None:
-        for df in (self._entries, self._nodes):
-            if df is not None:
-                df.unpersist()
-        self._entries = self._nodes = None

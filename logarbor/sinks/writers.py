@@ -12,6 +12,11 @@ from logarbor.functions.timestamps import ntz_literal, window_bounds
 from logarbor.options import AnalyzerOptions
 
 
+# Same text from batch and stream: nothing trimmed, quotes doubled, empty fields empty.
+CSV_OPTIONS = {"header": "true", "emptyValue": "", "nullValue": "", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv(entries: DataFrame, path: str, mode: str = "overwrite", ordered: bool = True) -> None:
     """Header Timestamp,Service,Level,Host,PID,Message; NULLs as ''; rows in file order.
 
@@ -22,20 +27,18 @@ def write_csv(entries: DataFrame, path: str, mode: str = "overwrite", ordered: b
     frame = csv_frame(entries, keep_order_columns=True)
     if ordered:
         frame = frame.orderBy("file_path", "block_start", "line_seq")
-    (frame.drop("file_path", "block_start", "line_seq").write.mode(mode)
-     .option("header", True).option("emptyValue", "").option("nullValue", "")
-     .option("quote", '"').option("escape", '"').csv(path))
+    frame.drop("file_path", "block_start", "line_seq").write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def land_entries(entries: DataFrame, path: str, mode: str = "overwrite",
                  max_records_per_file: int = 5_000_000) -> None:
     """Parquet partitioned by log_date: later day windows prune whole partitions.
 
-    No shuffle: each task sorts its own rows by (log_date, service), so it keeps one
-    file open at a time and its row groups carry tight service min/max statistics.
-    A hot day is never pulled into one task (no repartition by date).
+    The rebalance hint brings a day's rows together, adaptive execution merges small days
+    and splits large ones, so a hot day is many tasks and a quiet one is one file. Each
+    task sorts its rows, so row groups carry tight service min/max statistics.
     """
-    (entries.sortWithinPartitions("log_date", "service", "timestamp").write.mode(mode)
+    (entries.hint("rebalance", F.col("log_date")).sortWithinPartitions("log_date", "service", "timestamp").write.mode(mode)
      .option("maxRecordsPerFile", max_records_per_file).partitionBy("log_date").parquet(path))
 
 
@@ -49,11 +52,12 @@ def read_landed(spark: SparkSession, path: str, opts: AnalyzerOptions | None = N
     return df
 
 
-def write_json_report(report: DataFrame, service_errors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``report``: one bounded document; ``service_errors``: one JSON line per (service, pattern),
-    written in parallel next to it (its size grows with the variety of error messages)."""
+def write_json_report(report: DataFrame, tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """``report``: one bounded document; ``tables``: folder -> rows that grow with the log, written
+    in parallel beside it as JSON lines."""
     report.coalesce(1).write.mode(mode).json(f"{path}/report")
-    service_errors.write.mode(mode).json(f"{path}/service_errors")
+    for folder, rows in tables.items():
+        rows.write.mode(mode).json(f"{path}/{folder}")
 
 
 def exported_at() -> str:

@@ -10,8 +10,14 @@ takes the row-local ``rollback`` year. The file-order modes (``transition``,
 each new file whole to one micro-batch, and year state is per file, so every
 micro-batch runs the batch two-level algorithm (chunk windows) on its files.
 Event time for watermarks is ``event_time`` (TIMESTAMP, session zone UTC),
-because watermarks refuse TIMESTAMP_NTZ; the day window doubles as lateness
-bound: ``withWatermark("event_time", "<max_days> days")``.
+because watermarks refuse TIMESTAMP_NTZ. The day window spans ``max_days`` + 1 days
+and a day's group ends a day after it began, so the lateness bound is ``max_days`` + 2
+days: no entry inside the window is ever late.
+
+Streams cannot number lines, so ``stream_entries`` has no ``line_seq``; entries whose file
+order matters (tree, last-k) are written by ``write_entries_in_file_order``, whose
+micro-batches number them. Bad UTF-8 follows ``opts.decode``. ``.xz`` files have no
+streaming codec and are left out.
 """
 
 from __future__ import annotations
@@ -23,25 +29,34 @@ from pyspark.sql.streaming import StreamingQuery
 from logarbor.operators.clusters import error_pattern
 from logarbor.operators.parse import assign_timestamps, match_lines, to_entries
 from logarbor.options import AnalyzerOptions
+from logarbor.sinks.writers import CSV_OPTIONS
+from logarbor.sources.files import NOT_XZ, decoded
 
 
-def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text")
+def _raw_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.format("text").option("pathGlobFilter", NOT_XZ)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.load(folder)
-    return df.select(F.make_valid_utf8("value").alias("value"),
-                     F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_block_start").cast("bigint").alias("block_start"),
-                     F.lit(0).cast("bigint").alias("line_seq"))
+    return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                      F.col("_metadata.file_block_start").cast("bigint").alias("block_start"))
+
+
+def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None,
+                 decode: str = "replace") -> DataFrame:
+    return _raw_lines(spark, folder, max_files_per_trigger).withColumn("value", decoded(F.col("value"), decode))
+
+
+def lateness(opts: AnalyzerOptions) -> str:
+    return f"{opts.max_days + 2} days"
 
 
 def stream_entries(spark: SparkSession, folder: str, opts: AnalyzerOptions,
                    max_files_per_trigger: int | None = None) -> DataFrame:
     if opts.year_mode != "rollback":
         raise ValueError("streams support year_mode='rollback' only")
-    lines = stream_lines(spark, folder, max_files_per_trigger)
-    entries = to_entries(assign_timestamps(match_lines(lines, opts), opts), opts)
+    lines = stream_lines(spark, folder, max_files_per_trigger, opts.decode)
+    lines = lines.withColumn("line_seq", F.lit(0).cast("bigint"))  # only for the parser's column list
+    entries = to_entries(assign_timestamps(match_lines(lines, opts), opts), opts).drop("line_seq")
     return entries.withColumn("event_time", F.col("timestamp").cast("timestamp"))
 
 
@@ -64,33 +79,25 @@ def running_clusters(entries: DataFrame) -> DataFrame:
 
 
 def daily_counts(entries: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Per (day, service) counts with a watermark of max_days: finished days are emitted once (append)."""
-    return (entries.withWatermark("event_time", f"{opts.max_days} days")
+    """Per (day, service) counts with a watermark past the day window: finished days are emitted once (append)."""
+    return (entries.withWatermark("event_time", lateness(opts))
             .groupBy(F.window("event_time", "1 day").alias("day"), "service")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors")))
 
 
 def daily_clusters(entries: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Error clusters per (day, service, pattern) with a watermark of max_days.
+    """Error clusters per (day, service, pattern) with a watermark past the day window.
 
     State of a day is dropped once the watermark passes it, so the state stays
     bounded by the window even when messages keep producing new patterns
     (``running_clusters`` keeps every pattern forever).
     """
-    return (entries.filter(F.col("is_error")).withWatermark("event_time", f"{opts.max_days} days")
+    return (entries.filter(F.col("is_error")).withWatermark("event_time", lateness(opts))
             .groupBy(F.window("event_time", "1 day").alias("day"), "service",
                      error_pattern(F.col("message")).alias("pattern"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _raw_lines(spark: SparkSession, folder: str, max_files_per_trigger: int | None) -> DataFrame:
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file_path"),
-                                      F.col("_metadata.file_block_start").cast("bigint").alias("block_start"))
-
-
 def write_entries_in_file_order(spark: SparkSession, folder: str, path: str, checkpoint: str,
                                 opts: AnalyzerOptions, max_files_per_trigger: int | None = None,
                                 available_now: bool = True) -> StreamingQuery:
@@ -98,14 +105,16 @@ def write_entries_in_file_order(spark: SparkSession, folder: str, path: str, che
 
     Each micro-batch numbers its lines at the scan (file order inside each block)
     and runs ``parse`` with the options as given; the batch id makes reruns of a
-    failed micro-batch overwrite their own output folder (idempotent).
+    failed micro-batch overwrite their own output folder (idempotent). Inside a batch
+    the folders are days, so ``read_landed`` prunes by day window.
     """
     from logarbor.operators.parse import parse
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.select(F.make_valid_utf8("value").alias("value"), "file_path", "block_start",
+        lines = batch.select(decoded(F.col("value"), opts.decode).alias("value"), "file_path", "block_start",
                              F.monotonically_increasing_id().alias("line_seq"))
-        (parse(lines, opts).write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+        entries = parse(lines, opts)
+        entries.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch={batch_id}")
 
     w = (_raw_lines(spark, folder, max_files_per_trigger).writeStream.foreachBatch(run)
          .option("checkpointLocation", checkpoint))
@@ -122,7 +131,7 @@ def write_entries(entries: DataFrame, path: str, checkpoint: str, fmt: str = "pa
         frame = csv_frame(frame)
     w = frame.writeStream.format(fmt).option("checkpointLocation", checkpoint).option("path", path)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_OPTIONS)
     w = w.outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

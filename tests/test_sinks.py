@@ -3,6 +3,8 @@ import glob
 import json
 from datetime import datetime
 
+import pytest
+
 from logarbor.plans.analyzer import LogAnalyzer
 from logarbor.options import AnalyzerOptions
 from logarbor.sinks.writers import read_landed
@@ -33,14 +35,88 @@ def test_json_report(spark, tmp_path):
     doc = json.loads(open(doc_file).read())
     s = a.summary().first()
     assert doc["summary"]["total_entries"] == s.total_entries
-    assert len(doc["summary"]["unique_services"]) == s.unique_services
+    assert doc["summary"]["unique_services"] == s.unique_services
     assert doc["summary"]["date_range"] == [str(s.date_min), str(s.date_max)]
-    counts = [x["count"] for x in doc["service_stats"]]
-    assert counts == sorted(counts, reverse=True) and sum(counts) == s.total_entries
+    services = [json.loads(x) for f in glob.glob(str(tmp_path / "rep" / "service_stats" / "part-*.json"))
+                for x in open(f)]
+    assert len(services) == s.unique_services and sum(x["n"] for x in services) == s.total_entries
+    levels = [x["count"] for x in doc["level_stats"]]
+    assert levels == sorted(levels, reverse=True)
     assert sum(x["count"] for x in doc["hourly_distribution"]) == s.total_entries
     assert len(doc["plugin_results"]["ErrorClusterPlugin"]["top_error_patterns"]) <= 10
     assert doc["metadata"]["parser_info"]["patterns_loaded"] == 6
-    assert glob.glob(str(tmp_path / "rep" / "service_errors" / "part-*.json"))
+    assert glob.glob(str(tmp_path / "rep" / "plugins" / "ErrorClusterPlugin" / "service_errors" / "part-*.json"))
+
+
+def test_every_plugin_of_the_analyzer_is_exported(spark, tmp_path):
+    def mine(entries):
+        return {"hosts": entries.groupBy("host").count()}
+
+    a = LogAnalyzer(lens(spark, SF), OPTS, plugins={"Mine": mine})
+    a.export_json(str(tmp_path / "rep"))
+    (doc_file,) = glob.glob(str(tmp_path / "rep" / "report" / "part-*.json"))
+    doc = json.loads(open(doc_file).read())
+    assert list(doc["plugin_results"]) == ["Mine"] and len(doc["plugin_results"]["Mine"]["hosts"]) <= 10
+    rows = [json.loads(x) for f in glob.glob(str(tmp_path / "rep" / "plugins" / "Mine" / "hosts" / "part-*.json"))
+            for x in open(f)]
+    assert sum(x["count"] for x in rows) == a.entries.count()
+    text = [r.text for r in a.summary_lines().orderBy("line_no").collect()]
+    assert text[0] == "Summary:" and "  Mine hosts:" in text and text.index("  Mine hosts:") > 6
+    assert "Mine" not in LogAnalyzer(lens(spark, SF), OPTS).plugins
+
+
+def test_csv_reads_back_exactly(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from logarbor.sinks.writers import write_csv
+
+    messages = ["ends in nul\x00", "bell\x07", ' "say ""hi"", ok" ', "", "  blanks  ", "a,b", "back\\slash\\"]
+    rows = [(m, i) for i, m in enumerate(messages)]
+    entries = spark.createDataFrame(rows, "message string, line_seq bigint").select(
+        F.lit("2024-01-02 03:04:05").cast("timestamp_ntz").alias("timestamp"), F.lit("svc").alias("service"),
+        F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("host"),
+        F.lit(None).cast("string").alias("pid"), "message", F.lit("f").alias("file_path"),
+        F.lit(0).cast("bigint").alias("block_start"), "line_seq")
+    write_csv(entries, str(tmp_path / "csv"))
+    got = []
+    for f in sorted(glob.glob(str(tmp_path / "csv" / "part-*.csv"))):
+        with open(f, newline="") as fh:
+            got += [r[5] for r in list(csv.reader(fh))[1:]]
+    assert got == messages
+
+
+def test_reports_on_landed_entries(spark, tmp_path):
+    a = LogAnalyzer(lens(spark, SF), OPTS)
+    a.land(str(tmp_path / "landed"))
+    b = LogAnalyzer.from_landed(spark, str(tmp_path / "landed"), OPTS)
+    assert b.tree_rows().collect() == a.tree_rows().collect()
+    key = ["timestamp", "service", "level", "message", "line_seq"]
+    assert b.find_errors().select(key).collect() == a.find_errors().select(key).collect()
+    plan = b.find_errors().select("timestamp", "service")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "raw_line" not in plan
+    narrow = b.service_counts()._jdf.queryExecution().executedPlan().toString()
+    assert "message" not in narrow
+    with pytest.raises(ValueError):
+        b.parse_quality()
+
+
+def test_reports_come_in_their_order(spark):
+    a = LogAnalyzer(lens(spark, SF), OPTS)
+    for dist in (a.service_counts(), a.level_distribution(), a.hourly_distribution()):
+        rows = [(r.n, r.key) for r in dist.collect()]
+        assert rows == sorted(rows, key=lambda r: (-r[0], r[1])) and len(rows) > 3
+    tree = [(str(r.log_date), r.service or "", r.rn, r.part) for r in a.tree_rows().collect()]
+    assert tree == sorted(tree) and tree[0][1] == ""
+    for found in (a.find_errors(), a.filter_logs(service_pattern="n")):
+        rows = [(r.timestamp, r.file_path, r.block_start, r.line_seq) for r in found.collect()]
+        assert rows == sorted(rows) and len(rows) > 20
+
+
+def test_summary_reads_the_entries_once(spark):
+    from logarbor.operators import summary
+    e = LogAnalyzer(lens(spark, SF), OPTS).entries
+    plan = summary.summary_lines(e)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan  # the cell table is already there
+    assert "regexp_replace" in summary.cell_counts(e)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_landing_prunes_partitions(spark, tmp_path):

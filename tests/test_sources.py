@@ -105,3 +105,21 @@ def test_latest_log_missing_folder(spark, tmp_path):
     assert latest_log(spark, str(tmp_path / "nope"), datetime(2024, 1, 5)) is None
     (tmp_path / "empty").mkdir()
     assert latest_log(spark, str(tmp_path / "empty"), datetime(2024, 1, 5)) is None
+
+
+def test_analyzer_finds_its_log(spark, tmp_path):
+    from logarbor.plans.analyzer import LogAnalyzer
+
+    _write(tmp_path / "syslog", ("\n".join(TEN) + "\n").encode())
+    _write(tmp_path / "syslog.1", ("\n".join(TEN[:4]) + "\n").encode())
+    _write(tmp_path / "messages.1.gz", ("\n".join(TEN[:2]) + "\n").encode(), gzip.open)
+    now = time.time()
+    for i, n in enumerate(("syslog.1", "messages.1.gz", "syslog")):
+        os.utime(tmp_path / n, (now + i, now + i))
+    a = LogAnalyzer.from_latest(spark, str(tmp_path), OPTS)
+    assert a.source.endswith("syslog") and a.entries.count() == 10
+    assert LogAnalyzer.from_rotations(spark, str(tmp_path), "syslog", OPTS).entries.count() == 14
+    with pytest.raises(FileNotFoundError):
+        LogAnalyzer.from_latest(spark, str(tmp_path / "nope"), OPTS)
+    with pytest.raises(FileNotFoundError):
+        LogAnalyzer.from_rotations(spark, str(tmp_path), "secure", OPTS)

@@ -1,9 +1,10 @@
+import time
 from datetime import datetime
 
 from logarbor.operators.parse import parse
 from logarbor.options import AnalyzerOptions
 from logarbor.sources.files import read_lines
-from logarbor.streaming.stream import running_counts, stream_entries, write_entries
+from logarbor.streaming.stream import running_counts, stream_entries, write_entries, write_entries_in_file_order
 
 OPTS = AnalyzerOptions(as_of=datetime(2024, 1, 31), max_days=45)
 LINES = [f"Jan {i % 28 + 1:2d} 1{i % 10}:00:00 web{i % 3} svc{i % 4}[{i}]: message {'error' if i % 5 == 0 else 'ok'} {i}"
@@ -79,3 +80,77 @@ def test_file_order_year_modes_on_a_stream(spark, tmp_path):
         batch = sorted(parse(read_lines(spark, str(src)), opts).select("file_path", "timestamp", "message").collect())
         assert got == batch, mode
         assert len(got) > 5
+        assert list(out.glob("batch=*/log_date=*"))
+
+
+def test_no_entry_of_the_day_window_is_late(spark, tmp_path):
+    """The newest file comes first; the oldest day of the window still counts."""
+    from pyspark.sql import functions as F
+    from logarbor.streaming.stream import daily_counts
+
+    src = tmp_path / "in"
+    src.mkdir()
+    opts = AnalyzerOptions(as_of=datetime(2024, 1, 31, 12), max_days=7)
+    for k, line in enumerate(("Feb  1 11:00:00 h s: new", "Jan 30 10:00:00 h s: mid", "Jan 24 13:00:00 h s: old",
+                              "Feb  1 11:30:00 h s: last")):
+        (src / f"f{k}.log").write_text(line + "\n")
+        time.sleep(0.05)
+    stream = stream_entries(spark, str(src), opts, max_files_per_trigger=1)
+    q = (daily_counts(stream, opts).writeStream.outputMode("update").format("memory").queryName("late_days")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {}
+    for r in spark.sql("SELECT * FROM late_days").collect():
+        got[str(r.day.start.date())] = max(r.n, got.get(str(r.day.start.date()), 0))
+    batch = parse(read_lines(spark, str(src)), opts).groupBy(F.to_date("timestamp").alias("d")).count().collect()
+    assert got == {str(r.d): r["count"] for r in batch} and "2024-01-24" in got
+
+
+def test_running_views_equal_batch(spark, tmp_path):
+    from logarbor.operators.clusters import error_clusters_by_service
+    from logarbor.streaming.stream import running_clusters, running_errors
+
+    src = tmp_path / "in"
+    _write_files(src)
+    batch = parse(read_lines(spark, str(src)), OPTS)
+    wanted = {
+        "level": (lambda e: running_counts(e, "level"), batch.where("level IS NOT NULL").selectExpr("upper(level) AS key")
+                  .groupBy("key").count()),
+        "hour": (lambda e: running_counts(e, "hour_bucket"), batch.groupBy("hour_bucket").count()),
+        "errors": (running_errors, batch.selectExpr("count(*)", "count_if(is_error)")),
+        "clusters": (running_clusters, error_clusters_by_service(batch)),
+    }
+    for name, (view, want) in wanted.items():
+        stream = stream_entries(spark, str(src), OPTS, max_files_per_trigger=1)
+        q = (view(stream).writeStream.outputMode("complete").format("memory").queryName(f"run_{name}")
+             .option("checkpointLocation", str(tmp_path / f"ck_{name}")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        got = sorted(tuple(r) for r in spark.sql(f"SELECT * FROM run_{name}").collect())
+        assert got == sorted(tuple(r) for r in want.collect()), name
+
+
+def test_csv_stream_writes_what_the_batch_writes(spark, tmp_path):
+    import glob
+    from logarbor.sinks.writers import write_csv
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.log").write_text('Jan  5 10:00:00 h s: "say "hi", ok"\nJan  5 10:00:01 h s[1]: a,b\\ c\n')
+    q = write_entries(stream_entries(spark, str(src), OPTS), str(tmp_path / "out"), str(tmp_path / "ck"), "csv")
+    q.awaitTermination()
+    write_csv(parse(read_lines(spark, str(src)), OPTS), str(tmp_path / "batch"))
+    text = lambda d: sorted(x for f in glob.glob(str(tmp_path / d / "part-*.csv")) for x in open(f))
+    assert text("out") == text("batch") and len(text("out")) == 3
+
+
+def test_streamed_lines_keep_their_order_and_decoding(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.log").write_bytes(b"".join(b"Jan  5 10:00:00 h s: n%d \xff\n" % i for i in range(50)))
+    (src / "b.log.xz").write_bytes(b"not text")
+    opts = OPTS.replace(decode="ignore")
+    assert "line_seq" not in stream_entries(spark, str(src), opts).columns
+    q = write_entries_in_file_order(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), opts)
+    q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("file_path", "block_start", "line_seq").collect()
+    assert [r.message for r in rows] == [f"n{i}" for i in range(50)]
