@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from logarbor.llm.tools import small
 
 SIGNATURE = 128
-RANGE_IDS = 512
+RANGE_IDS = 128
 RANGES_PER_BLOCK = 4096
 LAST_RANGE = (1 << 62)
 _BASE = 0x9E3779B97F4A7C15
