@@ -66,12 +66,113 @@ lens AS (
     'Jan ' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, ' ') || ' '
     || {two.format(x='doc_id % 24')} || ':' || {two.format(x='(doc_id // 24) % 60')} || ':'
     || {two.format(x='(doc_id // 1440) % 60')}
-    || ' docs ' || source || '[' || CAST(doc_id AS VARCHAR) || ']: '
+    || ' docs ' || source || '[' || CAST(doc_id AS VARCHAR) || ']: ' || CASE WHEN doc_id % 4 = 0 THEN '[ERROR] ' ELSE '' END
     || trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g')) AS line
   FROM documents
 )"""
 
 
+# RE2 patterns of the two other ISO formats.
+RE_JOURNALD = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(\+\d{4})\s+([\w\-.]+)\s+(\w+)\[(\d+)\]:\s*(.+)$"
+RE_RAINER = (r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})\.(\d[\d+,\-./:]+)\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:?\s+"
+             r"(?:\[(\w+)\]\s+)?(.+)$")
+
+
+def mixed_sql(offsets: str = "utc", simple: bool = False) -> str:
+    """WITH-chain over the mixed lens ending in ``classified`` (all lines) and ``entries``."""
+    pid = "'[' || event_id || ']'"
+    iso = "strftime(ts, '%Y-%m-%d') || 'T' || strftime(ts, '%H:%M:%S')"
+    millis = "strftime(ts, '%g')"
+    pick = "(['{}','{}','{}','{}'])[event_id % 4 + 1]"
+    plus = pick.format("+0000", "+0130", "+0545", "+2359")
+    blank = pick.format("+0000", "+0130", "-0500", "+0545")
+    colon = pick.format("+00:00", "+01:30", "-05:00", "+05:45")
+    x = lambda g: (f"CASE format WHEN 'iso8601' THEN regexp_extract(line, '{RE_ISO}', {g[0]}) "
+                   f"WHEN 'journald' THEN regexp_extract(line, '{RE_JOURNALD}', {g[1]}) "
+                   f"WHEN 'rainerscript_enhanced' THEN regexp_extract(line, '{RE_RAINER}', {g[2]}) "
+                   f"ELSE regexp_extract(line, '{RE_SIMPLE}', {g[3]}) END")
+    bsd_name = "traditional_simple" if simple else "traditional"
+    has_off = "off <> ''"
+    bad = ("(length(frac) > 6 OR (format = 'rainerscript_enhanced' AND frac = '') OR (z <> '' AND off <> '')"
+           + (f" OR {has_off}" if offsets == "drop" else "") + ")")
+    iso_formats = "" if simple else f"""
+         WHEN regexp_matches(line, '{RE_ISO}') THEN 'iso8601'
+         WHEN regexp_matches(line, '{RE_JOURNALD}') THEN 'journald'
+         WHEN regexp_matches(line, '{RE_RAINER}') THEN 'rainerscript_enhanced'"""
+    return f"""WITH ev AS (
+  SELECT *, CASE event_type WHEN 'error' THEN 'kernel' WHEN 'click' THEN 'nginx' WHEN 'view' THEN 'web.ui'
+              WHEN 'signup' THEN 'auth-d' WHEN 'purchase' THEN 'shop/pay' END AS svc,
+         'host' || CAST(user_id % 8 AS VARCHAR) || ' ' AS host0,
+         'user ' || CAST(user_id AS VARCHAR) || ' ' || event_type || ' props ' || props AS m
+  FROM events
+),
+lens AS (
+  SELECT event_id AS line_seq, CASE event_id % 10
+    WHEN 0 THEN {iso} || {plus} || ' ' || host0 || translate(svc, '.-/', '___') || {pid} || ': ' || m
+    WHEN 1 THEN {iso} || '.' || strftime(ts, '%f') || {colon} || ' ' || host0 || svc || {pid} || ': ['
+         || (['ERROR','WARN','INFO','CRIT','DEBUG','FATAL'])[event_id % 6 + 1] || '] ' || m
+    WHEN 2 THEN {iso} || '.' || {millis} || {blank} || ' ' || host0 || svc || ' ' || m
+    WHEN 3 THEN strftime(ts, '%Y-%m-%d') || ' ' || strftime(ts, '%H:%M:%S') || ' ' || host0 || svc || ': ' || m
+    WHEN 4 THEN '  ' || {iso} || '.' || {millis} || ' ' || host0 || svc || {pid} || ':  ' || m || '   '
+    WHEN 5 THEN {iso} || '.' || {millis} || '  ' || {blank} || ' ' || host0 || svc || ': ' || m
+    WHEN 6 THEN CASE event_id % 3 WHEN 0 THEN {iso} || '.' || strftime(ts, '%f') || '12 ' || host0 || svc || ': ' || m
+         WHEN 1 THEN strftime(ts, '%Y-%m-%d') || 'T10:00:60 ' || host0 || svc || ': ' || m
+         ELSE '2023-02-29T' || strftime(ts, '%H:%M:%S') || ' ' || host0 || svc || ': ' || m END
+    WHEN 7 THEN strftime(ts, '%b') || ' ' || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || ' ' || strftime(ts, '%H:%M:%S')
+         || ' ' || host0 || svc || ': ' || m
+    WHEN 8 THEN {iso} || 'Z +0100 ' || host0 || svc || ': ' || m
+    ELSE {iso} || '.' || strftime(ts, '%f') || '789+01:00 ' || host0 || svc || ': ' || m END AS raw
+  FROM ev
+),
+fmt AS (
+  SELECT line_seq, trim(raw) AS line,
+    CASE WHEN substr(line, 1, 1) BETWEEN 'A' AND 'Z'
+              THEN CASE WHEN regexp_matches(line, '{RE_SIMPLE}') THEN '{bsd_name}' END{iso_formats} END AS format
+  FROM lens
+),
+fields AS (
+  SELECT *, {x((1, 1, 1, 0))} AS date_s, {x((2, 2, 2, 3))} AS clock, {x((6, 4, 4, 4))} AS host,
+    {x((7, 5, 5, 5))} AS service, {x((9, 7, 8, 6))} AS msg,
+    CASE format WHEN 'iso8601' THEN regexp_extract(line, '{RE_ISO}', 8)
+         WHEN 'journald' THEN regexp_extract(line, '{RE_JOURNALD}', 6)
+         WHEN 'rainerscript_enhanced' THEN regexp_extract(line, '{RE_RAINER}', 6) END AS pid,
+    CASE format WHEN 'rainerscript_enhanced' THEN regexp_extract(line, '{RE_RAINER}', 7) END AS level,
+    CASE format WHEN 'iso8601' THEN regexp_extract(line, '{RE_ISO}', 3)
+         WHEN 'rainerscript_enhanced' THEN regexp_extract(regexp_extract(line, '{RE_RAINER}', 3),
+              '^([0-9]{{1,6}})(?:[+-][0-9]{{2}}:?[0-9]{{2}})?$', 1) ELSE '' END AS frac,
+    CASE format WHEN 'iso8601' THEN regexp_extract(line, '{RE_ISO}', 5)
+         WHEN 'journald' THEN regexp_extract(line, '{RE_JOURNALD}', 3)
+         WHEN 'rainerscript_enhanced' THEN replace(regexp_extract(regexp_extract(line, '{RE_RAINER}', 3),
+              '^[0-9]{{1,6}}([+-][0-9]{{2}}:?[0-9]{{2}})?$', 1), ':', '') ELSE '' END AS off,
+    CASE format WHEN 'iso8601' THEN regexp_extract(line, '{RE_ISO}', 4) ELSE '' END AS z
+  FROM fmt
+),
+stamped AS (
+  SELECT *, CASE
+    WHEN format IS NULL OR {bad} THEN NULL
+    WHEN format = '{bsd_name}' THEN coalesce(
+      CASE WHEN try_strptime('2024 ' || substr(line, 1, 15), '%Y %b %d %H:%M:%S') <= {AS_OF}
+           THEN try_strptime('2024 ' || substr(line, 1, 15), '%Y %b %d %H:%M:%S') END,
+      try_strptime('2023 ' || substr(line, 1, 15), '%Y %b %d %H:%M:%S'))
+    WHEN CAST(substr(clock, 7, 2) AS INT) < 60 THEN
+      try_cast(date_s || ' ' || clock AS TIMESTAMP) + to_microseconds(CAST(rpad(frac, 6, '0') AS INT))
+      - to_minutes(CASE WHEN off = '' THEN 0 ELSE (CASE WHEN off[1] = '-' THEN -1 ELSE 1 END)
+                   * (CAST(substr(off, 2, 2) AS INT) * 60 + CAST(substr(off, 4, 2) AS INT)) END) END AS ts0
+  FROM fields
+),
+classified AS (
+  SELECT *, CASE WHEN ts0 >= {AS_OF} - INTERVAL 45 DAY AND ts0 <= {AS_OF} + INTERVAL 1 DAY THEN ts0 END AS ts
+  FROM stamped
+)
+"""
+
+
+def _mixed_rows(fmt: str, **kw) -> str:
+    return mixed_sql(**kw) + f"""SELECT line_seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, host, service,
+      nullif(pid, '') AS pid, nullif(level, '') AS level, trim(msg) AS message, line AS raw_line
+    FROM classified WHERE ts IS NOT NULL AND format = '{fmt}'"""
+
+
 def _ts(y: str, m: str, d: str, hh: str, mi: str, ss: str, us: str) -> str:
     return (f"CASE WHEN {hh} < 24 AND {mi} < 60 AND {ss} < 60 THEN "
             f"try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', {y}, {m}, {d}, {hh}, {mi}, {ss}) AS TIMESTAMP)"
@@ -278,6 +379,13 @@ def oracle_queries() -> dict[str, str]:
     q["year_transition"] = _by_seq(shift=15, year_mode="transition", base_year=2023)
     q["year_sequential"] = _by_seq(shift=15, year_mode="sequential", base_year=2023)
     q["day_window"] = _by_seq(max_days=7)
+    q["entries_journald"] = _mixed_rows("journald")
+    q["entries_rainerscript"] = _mixed_rows("rainerscript_enhanced")
+    q["entries_offsets"] = _mixed_rows("iso8601")
+    q["entries_simple"] = _mixed_rows("traditional_simple", simple=True)
+    counts = ("SELECT CASE WHEN ts IS NOT NULL THEN format END AS format, count(*) AS n FROM classified GROUP BY 1")
+    q["format_counts_mixed"] = mixed_sql() + counts
+    q["offsets_dropped"] = mixed_sql(offsets="drop") + counts
     q["errors_word"] = E + "SELECT line_seq, is_error FROM entries"
     q["errors_substring"] = entries_sql(error_mode="substring") + "SELECT line_seq, is_error FROM entries"
     q["find_errors"] = _hits("is_error")

@@ -3,9 +3,8 @@
 A file is a sequence of lines ordered by (block_start, line_seq). It is cut into
 chunks of contiguous lines: one per (file_path, block_start, line_seq div
 CHUNK_ROWS). Row-level windows run per chunk (bounded partitions, parallel
-even for one huge file or one unsplittable archive); only a table with one row
-per chunk is ordered per file. The chunk table joins back on the chunk key,
-which the row side is already partitioned by, so the rows shuffle once.
+even for one huge file or one unsplittable archive); only the few rows at chunk
+edges are ordered per file.
 """
 
 from __future__ import annotations

@@ -6,7 +6,12 @@ sequential  running year: base year plus every Dec -> Jan (+1) and Jan -> Dec (-
 
 Steps are taken between consecutive BSD-matched lines of one file, including
 lines whose date turns out impossible or falls outside the day window.
-transition/sequential use the two-level chunk scheme of ``sequence``.
+
+The lines themselves are not shuffled for it. Only (chunk, line_seq, month) of the
+BSD lines goes through the per-chunk window of ``sequence``; what remains is the few
+rows where the year steps. They are kept as one array per file in the checkpoint
+folder and looked up by each line at its place: broadcast if counted small, else
+joined on the file.
 """
 
 from __future__ import annotations
@@ -15,8 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logarbor.functions.timestamps import month_number
-from logarbor.operators.sequence import CHUNK_KEY, chunk_window, with_chunk
+from logarbor.operators.sequence import chunk_window, with_chunk
 from logarbor.options import AnalyzerOptions
+from logarbor.session import checkpoint_dir
+
+# Most year steps that are broadcast to the lines.
+BROADCAST_STEPS = 100_000
 
 
 def step(prev: Column, cur: Column) -> Column:
@@ -26,40 +35,43 @@ def step(prev: Column, cur: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
-def with_year_column(rows: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Adds ``year`` to matched lines (NULL for lines that are not BSD-matched).
-
-    Only BSD-matched lines carry a month; other lines ride along in the same
-    window without moving the state, so no separate branch (and no union) is needed.
-    """
-    bsd = F.col("format").isNotNull() & (F.col("route") == "bsd")
-    rows = with_chunk(rows).withColumn("_m", F.when(bsd, month_number(F.col("mon"))))
+def year_steps(rows: DataFrame) -> DataFrame:
+    """(file_path, block_start, line_seq, delta, run): the BSD lines right after a step, and the sum of steps so far."""
+    months = with_chunk(rows.filter(_is_bsd()).select("file_path", "block_start", "line_seq",
+                                                      month_number(F.col("mon")).alias("m")))
     w = chunk_window()
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_prev", F.last("_m", ignorenulls=True).over(before))
-    rows = rows.withColumn("_d", F.when(bsd, step(F.col("_prev"), F.col("_m"))).otherwise(F.lit(0)))
-    rows = rows.withColumn("_run", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    months = months.withColumn("prev", F.lag("m").over(w)).withColumn("next", F.lead("m").over(w))
+    # steps inside chunks, and the first and last line of every chunk, where a step may lie between chunks
+    few = months.filter((step(F.col("prev"), F.col("m")) != 0) | F.col("prev").isNull() | F.col("next").isNull())
+    per_file = Window.partitionBy("file_path").orderBy("block_start", "line_seq")
+    prev = F.coalesce("prev", F.lag("m").over(per_file))
+    steps = few.withColumn("prev", prev).withColumn("delta", step(F.col("prev"), F.col("m"))).filter("delta <> 0")
+    return steps.select("file_path", "block_start", "line_seq", "delta",
+                        F.sum("delta").over(per_file).cast("int").alias("run"))
+
 
-    chunks = rows.filter(bsd).groupBy(*CHUNK_KEY).agg(
-        F.min_by("_m", "line_seq").alias("_first"),
-        F.max_by("_m", "line_seq").alias("_last"),
-        F.sum("_d").alias("_inner"),
-    )
-    per_file = Window.partitionBy("file_path").orderBy("block_start", "chunk")
-    chunks = chunks.withColumn("_prev_last", F.lag("_last").over(per_file))
-    chunks = chunks.withColumn("_edge", step(F.col("_prev_last"), F.col("_first")))
-    chunks = chunks.withColumn(
-        "_before", F.coalesce(F.sum(F.col("_edge") + F.col("_inner")).over(
-            per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    chunks = chunks.select(*CHUNK_KEY, "_prev_last", "_edge", "_before")
+def _is_bsd() -> Column:
+    return F.col("format").isNotNull() & (F.col("route") == "bsd")
 
-    rows = rows.join(chunks, list(CHUNK_KEY), "left")
+
+def with_year_column(rows: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """Adds ``year`` to matched lines (NULL for lines that are not BSD-matched)."""
+    if opts.year_mode not in ("sequential", "transition"):
+        raise ValueError(f"year mode {opts.year_mode!r} needs no window")
+    checkpoint_dir(rows.sparkSession)
+    steps = year_steps(rows).checkpoint()
+    n = steps.count()
     base = F.lit(opts.year)
+    if not n:
+        return rows.withColumn("year", F.when(_is_bsd(), base))
+    files = steps.groupBy("file_path").agg(F.array_sort(F.collect_list(
+        F.struct("block_start", "line_seq", "delta", "run"))).alias("_steps"))
+    rows = rows.join(F.broadcast(files) if n <= BROADCAST_STEPS else files, "file_path", "left")
+    here, seq = F.col("block_start"), F.col("line_seq")
     if opts.year_mode == "sequential":
-        year = base + F.col("_before") + F.col("_edge") + F.col("_run")
-    elif opts.year_mode == "transition":
-        year = base + step(F.coalesce(F.col("_prev"), F.col("_prev_last")), F.col("_m"))
+        past = F.filter("_steps", lambda s: (s["block_start"] < here) | (
+            (s["block_start"] == here) & (s["line_seq"] <= seq)))
+        change = F.get(past, F.size(past) - 1)["run"]
     else:
-        raise ValueError(f"year mode {opts.year_mode!r} needs no window")
-    return rows.withColumn("year", F.when(bsd, year.cast("int"))).drop(
-        "_m", "_prev", "_d", "_run", "_prev_last", "_edge", "_before", "chunk")
+        change = F.get(F.filter("_steps", lambda s: (s["block_start"] == here) & (s["line_seq"] == seq)), 0)["delta"]
+    return rows.withColumn("year", F.when(_is_bsd(), base + F.coalesce(change, F.lit(0)))).drop("_steps")

@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 
 from logarbor.operators import clusters, quality, search, summary, tree
 from logarbor.operators.export_frames import csv_frame
-from logarbor.operators.parse import classify, parse
+from logarbor.operators.parse import classify, parse, to_entries
 from logarbor.functions.errors import severity
 from logarbor.options import AnalyzerOptions
-from logarbor.sources.lens import documents_lens, lens
+from logarbor.sources.lens import documents_lens, lens, mixed_lens
 
 # Fixed values of the checks: the lens instant and window.
 AS_OF = datetime(2024, 1, 31, 0, 0, 0)
@@ -115,6 +115,45 @@ def q_day_window(spark, sf_dir):
     return _seq_ts(_entries(spark, sf_dir, CHECK_OPTS.replace(max_days=7)))
 
 
+def _mixed(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK_OPTS) -> DataFrame:
+    return classify(mixed_lens(spark, sf_dir, partitions=spark.sparkContext.defaultParallelism), opts)
+
+
+def _mixed_entries(spark, sf_dir, fmt: str, opts: AnalyzerOptions = CHECK_OPTS) -> DataFrame:
+    e = to_entries(_mixed(spark, sf_dir, opts), opts).filter(F.col("format") == fmt)
+    return as_text_times(e.select("line_seq", "timestamp", "host", "service", "pid", "level", "message", "raw_line"))
+
+
+@query("entries_journald")
+def q_entries_journald(spark, sf_dir):
+    return _mixed_entries(spark, sf_dir, "journald")
+
+
+@query("entries_rainerscript")
+def q_entries_rainerscript(spark, sf_dir):
+    return _mixed_entries(spark, sf_dir, "rainerscript_enhanced")
+
+
+@query("entries_offsets")
+def q_entries_offsets(spark, sf_dir):
+    return _mixed_entries(spark, sf_dir, "iso8601")
+
+
+@query("entries_simple")
+def q_entries_simple(spark, sf_dir):
+    return _mixed_entries(spark, sf_dir, "traditional_simple", CHECK_OPTS.replace(formats=("traditional_simple",)))
+
+
+@query("format_counts_mixed")
+def q_format_counts_mixed(spark, sf_dir):
+    return quality.format_counts(_mixed(spark, sf_dir))
+
+
+@query("offsets_dropped")
+def q_offsets_dropped(spark, sf_dir):
+    return quality.format_counts(_mixed(spark, sf_dir, CHECK_OPTS.replace(offsets="drop")))
+
+
 # ---- predicates and searches ----------------------------------------------
 
 @query("errors_word")

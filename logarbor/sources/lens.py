@@ -90,6 +90,58 @@ def lens(spark: SparkSession, sf_dir: str, shift_days: int = 0,
     return lens_lines(events.repartition(partitions, "event_id") if partitions else events, shift_days, chunk_lines)
 
 
+# ---- the other line kinds: journald, rainerscript, offsets, odd fractions -------------
+
+# Offsets by event_id % 4 (journald has only '+' ones).
+PLUS_OFFSETS = ("+0000", "+0130", "+0545", "+2359")
+BLANK_OFFSETS = ("+0000", "+0130", "-0500", "+0545")
+COLON_OFFSETS = ("+00:00", "+01:30", "-05:00", "+05:45")
+
+
+@lru_cache(maxsize=None)
+def render_mixed() -> Column:
+    """One event as a line of kind event_id % 10: every ISO layout the parser knows, lines whose time is bad, and a
+    BSD line without fraction and pid."""
+    eid, t = F.col("event_id"), F.col("ts")
+    svc = None
+    for etype, name in SERVICES:
+        hit = F.col("event_type") == etype
+        svc = F.when(hit, F.lit(name)) if svc is None else svc.when(hit, F.lit(name))
+    pid = F.concat(F.lit("["), eid.cast("string"), F.lit("]"))
+    host = F.concat(F.lit("host"), (F.col("user_id") % 8).cast("string"), F.lit(" "))
+    message = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"),
+                       F.lit(" props "), F.col("props"))
+    day, clock = F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "HH:mm:ss")
+    micros, millis = F.date_format(t, "SSSSSS"), F.date_format(t, "SSS")
+    iso = F.concat(day, F.lit("T"), clock)
+    level = F.concat(F.lit("["), _pick(eid % 6, LEVELS), F.lit("] "))
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return (
+        F.when(eid % 10 == 0, c(iso, _pick(eid % 4, PLUS_OFFSETS), " ", host, F.translate(svc, ".-/", "___"), pid,
+                                ": ", message))
+        .when(eid % 10 == 1, c(iso, ".", micros, _pick(eid % 4, COLON_OFFSETS), " ", host, svc, pid, ": ", level,
+                               message))
+        .when(eid % 10 == 2, c(iso, ".", millis, _pick(eid % 4, BLANK_OFFSETS), " ", host, svc, " ", message))
+        .when(eid % 10 == 3, c(day, " ", clock, " ", host, svc, ": ", message))
+        .when(eid % 10 == 4, c("  ", iso, ".", millis, " ", host, svc, pid, ":  ", message, "   "))
+        .when(eid % 10 == 5, c(iso, ".", millis, "  ", _pick(eid % 4, BLANK_OFFSETS), " ", host, svc, ": ", message))
+        .when(eid % 10 == 6, F.when(eid % 3 == 0, c(iso, ".", micros, "12 ", host, svc, ": ", message))
+              .when(eid % 3 == 1, c(day, "T10:00:60 ", host, svc, ": ", message))
+              .otherwise(c("2023-02-29T", clock, " ", host, svc, ": ", message)))
+        .when(eid % 10 == 7, c(F.date_format(t, "MMM"), " ", F.lpad(F.dayofmonth(t).cast("string"), 2, " "), " ", clock,
+                               " ", host, svc, ": ", message))
+        .when(eid % 10 == 8, c(iso, "Z +0100 ", host, svc, ": ", message))
+        .otherwise(c(iso, ".", micros, "789+01:00 ", host, svc, ": ", message))
+    )
+
+
+def mixed_lens(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    events = read_events(spark, sf_dir)
+    events = events.repartition(partitions, "event_id") if partitions else events
+    return events.select(render_mixed().alias("value"), F.lit("mixed").alias("file_path"),
+                         F.lit(0).cast("bigint").alias("block_start"), F.col("event_id").cast("bigint").alias("line_seq"))
+
+
 # ---- documents: long texts as log lines --------------------------------------------
 
 DOCS_FILE = "documents"
@@ -98,7 +150,7 @@ DOCS_FILE = "documents"
 def document_lines(documents: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
     """``documents`` -> ``lines``: one BSD line per document with the whole text as message.
 
-    ``Jan <dd> <HH:MM:SS> docs <source>[<doc_id>]: <text>``; whitespace runs (newlines
+    ``Jan <dd> <HH:MM:SS> docs <source>[<doc_id>]: <text>``, every fourth with an ``[ERROR]`` level; whitespace runs (newlines
     included) become one blank. The clock is arithmetic on doc_id, so both engines agree.
     """
     d = F.col("doc_id")
@@ -107,7 +159,8 @@ def document_lines(documents: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES)
     value = F.concat(
         F.lit("Jan "), F.lpad((d % 28 + 1).cast("string"), 2, " "), F.lit(" "),
         two(d % 24), F.lit(":"), two(F.floor(d / 24) % 60), F.lit(":"), two(F.floor(d / 1440) % 60),
-        F.lit(" docs "), F.col("source"), F.lit("["), d.cast("string"), F.lit("]: "), text)
+        F.lit(" docs "), F.col("source"), F.lit("["), d.cast("string"), F.lit("]: "),
+        F.when(d % 4 == 0, F.lit("[ERROR] ")).otherwise(F.lit("")), text)
     return documents.select(
         value.alias("value"), F.lit(DOCS_FILE).alias("file_path"),
         (F.floor(d / F.lit(chunk_lines)) * F.lit(chunk_lines)).cast("bigint").alias("block_start"),

@@ -59,7 +59,7 @@ def test_doc_wrapped_rows_brute_force(spark):
     nodes = defaultdict(list)
     for r in entries:
         nodes[(r.timestamp[:10], r.service)].append(r)
-    width = max(40, 80 - 8 - 8 - 3)
+    width = 80 - 8 - 8 - 3
     want = Counter()
     for rows in nodes.values():
         rows.sort(key=lambda r: (r.timestamp, r.line_seq))
@@ -67,7 +67,9 @@ def test_doc_wrapped_rows_brute_force(spark):
         for rn, r in enumerate(shown, 1):
             last = rn == min(len(rows), 5)
             head = ("│   └── " if last else "│   ├── ") + "[" + r.timestamp[11:19] + "] "
-            pieces = textwrap.wrap(r.message, width=width)
+            level = "[ERROR] " if r.line_seq % 4 == 0 else ""
+            head += level
+            pieces = textwrap.wrap(r.message, width=max(40, width - len(level)))
             want[("entry", head + pieces[0])] += 1
             for p in pieces[1:]:
                 want[("wrap", "│   " + ("       " if last else "│      ") + p)] += 1

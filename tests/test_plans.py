@@ -56,3 +56,32 @@ def test_last_k_has_no_global_sort(spark):
     for name in ("tail_errors", "tail_matches"):
         p = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p, name
+
+
+def test_years_shuffle_no_lines(spark):
+    """Neither branch of the year modes sends a line's text through an exchange."""
+    from conftest import make_lines
+    from logarbor.operators.parse import match_lines
+    from logarbor.operators.years import year_steps
+
+    lines = make_lines(spark, ["Dec 30 10:00:00 h s: a", "Jan  1 10:00:00 h s: b"] * 5)
+    for mode in ("transition", "sequential"):
+        opts = OPTS.replace(year_mode=mode, base_year=2023)
+        p = parse(lines, opts)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and p.count("hashpartitioning") == 1
+    steps = year_steps(match_lines(lines, opts))._jdf.queryExecution().executedPlan().toString()
+    for line in steps.split("\n"):
+        if "Exchange" in line:
+            assert "raw_line" not in line and "msg" not in line
+
+
+def test_bad_lines_of_digits_take_linear_time(spark):
+    import time
+
+    from conftest import make_lines
+
+    line = "2024-01-05T10:00:00." + "1" * 60_000 + "!"
+    parse(make_lines(spark, [line[:40]]), OPTS).count()
+    t0 = time.time()
+    assert parse(make_lines(spark, [line] * 4), OPTS).count() == 0
+    assert time.time() - t0 < 20
