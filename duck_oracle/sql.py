@@ -328,6 +328,17 @@ def _cluster_pattern() -> str:
             "ELSE message END")
 
 
+SEVERITY = """CASE
+        WHEN level IS NOT NULL THEN CASE upper(level) WHEN 'ERROR' THEN 'red' WHEN 'ERR' THEN 'red'
+             WHEN 'FATAL' THEN 'bold red' WHEN 'WARN' THEN 'yellow' WHEN 'WARNING' THEN 'yellow'
+             WHEN 'INFO' THEN 'green' WHEN 'DEBUG' THEN 'blue' WHEN 'CRIT' THEN 'bold red'
+             WHEN 'CRITICAL' THEN 'bold red' ELSE 'white' END
+        WHEN contains(lower(message), 'error') OR contains(lower(message), 'failed')
+             OR contains(lower(message), 'failure') OR contains(lower(message), 'exception')
+             OR contains(lower(message), 'critical') THEN 'red'
+        ELSE 'white' END"""
+
+
 def _tree_rows(limit: int, mode: str, trunc: int, source: str = "events") -> str:
     if mode == "full":
         body = "message"
@@ -341,19 +352,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY log_date, service ORDER BY
 shown AS (SELECT r.*, nd.n FROM ranked r JOIN nodes nd USING (log_date, service) WHERE rn <= {limit}),
 shown_err AS (SELECT log_date, service, count(*) FILTER (WHERE is_error) AS se FROM shown GROUP BY log_date, service)
 SELECT {_d('log_date')} AS log_date, NULL::VARCHAR AS service, 'date' AS kind, 0::BIGINT AS rn, 0::BIGINT AS part,
-       {_d('log_date')} AS text FROM (SELECT DISTINCT log_date FROM nodes)
+       {_d('log_date')} AS text, NULL::VARCHAR AS severity FROM (SELECT DISTINCT log_date FROM nodes)
 UNION ALL
 SELECT {_d('log_date')}, service, 'service', 0, 0,
-       '├── ' || service || CASE WHEN errors > 0 THEN ' [errors: ' || errors || ']' ELSE '' END FROM nodes
+       '├── ' || service || CASE WHEN errors > 0 THEN ' [errors: ' || errors || ']' ELSE '' END, NULL FROM nodes
 UNION ALL
 SELECT {_d('log_date')}, service, 'entry', rn, 0,
        CASE WHEN rn = least(n, {limit}) THEN '│   └── ' ELSE '│   ├── ' END
        || '[' || strftime(timestamp, '%H:%M:%S') || '] '
-       || CASE WHEN level IS NOT NULL THEN '[' || level || '] ' ELSE '' END || {body} FROM shown
+       || CASE WHEN level IS NOT NULL THEN '[' || level || '] ' ELSE '' END || {body}, {SEVERITY} FROM shown
 UNION ALL
 SELECT {_d('log_date')}, nd.service, 'overflow', {limit + 1}, 0,
        '│   └── ... (' || (n - {limit}) || ' more logs'
-       || CASE WHEN errors - se > 0 THEN ', ' || (errors - se) || ' errors' ELSE '' END || ')'
+       || CASE WHEN errors - se > 0 THEN ', ' || (errors - se) || ' errors' ELSE '' END || ')', NULL
 FROM nodes nd JOIN shown_err s USING (log_date, service) WHERE n > {limit}
 """
 
@@ -398,15 +409,7 @@ def oracle_queries() -> dict[str, str]:
                             f"ORDER BY timestamp DESC, line_seq DESC LIMIT 10")
     q["tail_matches"] = E + (f"SELECT line_seq, {_hit_text(80, True)} AS text FROM entries "
                              f"WHERE contains(lower(message), 'click') ORDER BY timestamp DESC, line_seq DESC LIMIT 20")
-    q["severity"] = E + """SELECT line_seq, CASE
-        WHEN level IS NOT NULL THEN CASE upper(level) WHEN 'ERROR' THEN 'red' WHEN 'ERR' THEN 'red'
-             WHEN 'FATAL' THEN 'bold red' WHEN 'WARN' THEN 'yellow' WHEN 'WARNING' THEN 'yellow'
-             WHEN 'INFO' THEN 'green' WHEN 'DEBUG' THEN 'blue' WHEN 'CRIT' THEN 'bold red'
-             WHEN 'CRITICAL' THEN 'bold red' ELSE 'white' END
-        WHEN contains(lower(message), 'error') OR contains(lower(message), 'failed')
-             OR contains(lower(message), 'failure') OR contains(lower(message), 'exception')
-             OR contains(lower(message), 'critical') THEN 'red'
-        ELSE 'white' END AS severity FROM entries"""
+    q["severity"] = E + f"SELECT line_seq, {SEVERITY} AS severity FROM entries"
     q["summary"] = E + (f"SELECT count(*) AS total_entries, count(DISTINCT service) AS unique_services, "
                         f"{_d('min(log_date)')} AS date_min, {_d('max(log_date)')} AS date_max, "
                         f"count(DISTINCT log_date) AS days_with_logs, "

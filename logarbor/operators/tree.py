@@ -6,7 +6,7 @@ hot node ships at most N rows per task). Node totals come from the hash
 aggregate of ``summary.node_counts``, which is small; for the mark of a day's first
 service it is partitioned by day once more.
 
-Rows: (log_date, service, kind, rn, part, text); kind in date / service /
+Rows: (log_date, service, kind, rn, part, text, severity); kind in date / service /
 entry / wrap / overflow. Sorting by (log_date, service NULLS FIRST, rn, part)
 gives the printed report.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logarbor.functions.errors import severity
 from logarbor.functions.text import truncate
 from logarbor.operators.search import TIME_ORDER
 from logarbor.operators.summary import node_counts
@@ -27,7 +28,7 @@ from logarbor.options import AnalyzerOptions
 
 NODE = ("log_date", "service")
 NODE_SALTS = 32
-TREE_COLUMNS = ("log_date", "service", "kind", "rn", "part", "text")
+TREE_COLUMNS = ("log_date", "service", "kind", "rn", "part", "text", "severity")
 
 # Tree connectors of the report.
 BRANCH = "├── "
@@ -77,8 +78,10 @@ def _level_indicator() -> Column:
 
 
 def _row(kind: str, rn: Column, part: Column, text: Column) -> Column:
+    """``severity`` is set on the lines of an entry, as the report colours them."""
+    shade = severity(F.col("level"), F.col("message")) if kind in ("entry", "wrap") else F.lit(None).cast("string")
     return F.struct(F.lit(kind).alias("kind"), rn.cast("bigint").alias("rn"), part.cast("bigint").alias("part"),
-                    text.alias("text"))
+                    text.alias("text"), shade.alias("severity"))
 
 
 @lru_cache(maxsize=None)
@@ -119,7 +122,7 @@ def _tree_columns(limit: int, mode: str, truncate_length: int) -> tuple[Column,
                     F.when(first & (n > limit), overflow_row))
     rows = F.explode(F.concat(F.filter(extra, lambda x: x.isNotNull()), entry_rows)).alias("r")
     final = (F.col("log_date"), F.when(F.col("r.kind") != "date", F.col("service")).alias("service"),
-             F.col("r.kind"), F.col("r.rn"), F.col("r.part"), F.col("r.text"))
+             F.col("r.kind"), F.col("r.rn"), F.col("r.part"), F.col("r.text"), F.col("r.severity"))
     return first_of_day, shown_err, rows, final
 
 

@@ -38,7 +38,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["log_date", "service", "kind", "rn", "part", "text"]
+    assert df.columns == ["log_date", "service", "kind", "rn", "part", "text", "severity"]
 
 
 def test_wrapped_tree_rows(spark):
