@@ -431,6 +431,11 @@ UNION ALL SELECT 6, '  Top services: ' || coalesce((SELECT string_agg(service ||
 UNION ALL SELECT 7, '  Level distribution:' WHERE (SELECT count(*) FROM lv) > 0
 UNION ALL SELECT 7 + row_number() OVER (ORDER BY n DESC, key), '    ' || key || ': ' || format('{:,}', n) FROM lv
 """
+    q["ranked_distributions"] = E + """,
+dist AS (SELECT 'service' AS kind, service AS key, count(*) AS n FROM entries GROUP BY ALL
+         UNION ALL SELECT 'level', upper(level), count(*) FROM entries WHERE level IS NOT NULL GROUP BY ALL
+         UNION ALL SELECT 'hour', hour_bucket, count(*) FROM entries GROUP BY ALL)
+SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS rank, key, n FROM dist"""
     q["unique_services"] = E + "SELECT DISTINCT service FROM entries"
     q["date_range"] = E + (f"SELECT {_d('min(log_date)')} AS date_min, {_d('max(log_date)')} AS date_max, "
                            f"count(DISTINCT log_date) AS days_with_logs FROM entries")

@@ -88,6 +88,19 @@ def ordered(dist: DataFrame) -> DataFrame:
     return dist.orderBy(F.desc("n"), F.asc("key"))
 
 
+def ranked_distributions(entries: DataFrame) -> DataFrame:
+    """(kind, rank, key, n): the full service, level and hour distributions in their order, from one cell table."""
+    cells = materialised(cell_counts(entries))
+    parts = (("service", service_counts(entries, nodes_of(cells))), ("level", levels_of(cells)),
+             ("hour", hours_of(cells)))
+    both = None
+    for kind, dist in parts:
+        part = dist.select(F.lit(kind).alias("kind"), "key", F.col("n").cast("bigint").alias("n"))
+        both = part if both is None else both.unionByName(part)
+    order = Window.partitionBy("kind").orderBy(F.desc("n"), F.asc("key"))
+    return both.select("kind", F.row_number().over(order).cast("bigint").alias("rank"), "key", "n")
+
+
 def top_k(dist: DataFrame, k: int = 5) -> DataFrame:
     """Top-k keys by count (ties: key ascending). A bounded TakeOrderedAndProject."""
     return ordered(dist).limit(k)

@@ -230,6 +230,11 @@ def q_summary_lines(spark, sf_dir):
     return summary.summary_lines(_entries(spark, sf_dir))
 
 
+@query("ranked_distributions")
+def q_ranked_distributions(spark, sf_dir):
+    return summary.ranked_distributions(_entries(spark, sf_dir))
+
+
 @query("unique_services")
 def q_unique_services(spark, sf_dir):
     return summary.unique_services(_entries(spark, sf_dir))
