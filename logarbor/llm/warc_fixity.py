@@ -16,11 +16,12 @@ An archive or record that only one replica has is reported. Empty replicas agree
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logarbor.llm.tools import written
 
+VERSION = "WARC/1.0\r\n"
 PAGES_PER_ARCHIVE = 1000
 LOOSE_ARCHIVES = 256
 LEAF_BYTES = 1 << 16
@@ -30,7 +31,7 @@ FANOUT = 16
 def record_text(url: str = "url", html: str = "html") -> Column:
     """A WARC response record: header, body, and the two line ends after it."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
-    return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "),
+    return F.concat(F.lit(VERSION), F.lit("WARC-Type: response\r\nWARC-Target-URI: "),
                     F.coalesce(F.col(url).cast("string"), F.lit("")), F.lit("\r\nContent-Length: "),
                     F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
@@ -47,6 +48,42 @@ def index(pages: DataFrame, *, pages_per_archive: int = PAGES_PER_ARCHIVE) -> Da
                           "length", "digest")
 
 
+def write_warc(pages: DataFrame, path: str, *, pages_per_archive: int = PAGES_PER_ARCHIVE) -> None:
+    """One WARC file for each archive, in folders ``archive=<n>``; an archive is one bounded task."""
+    archive = F.coalesce(F.floor(F.col("page_id") / pages_per_archive), F.lit(-1))
+    rows = pages.select(archive.alias("archive"), "page_id", record_text().alias("record"))
+    line = F.col("record").substr(F.lit(1), F.length("record") - 2)  # the writer adds the last line end
+    (rows.repartition("archive").sortWithinPartitions("archive", "page_id").select("archive", line)
+     .write.partitionBy("archive").option("lineSep", "\r\n").text(path))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, offset, length, digest, url, body) of the records in the WARC files under ``path``.
+
+    Files split where a record begins, so a large archive is many tasks. ``archive`` is the file's folder, ``offset``
+    the byte where the record begins; only lengths are ordered per file. A body that holds the version line itself
+    is cut there, which both replicas of a file do alike.
+    """
+    raw = (spark.read.option("recursiveFileLookup", "true").option("lineSep", VERSION).text(path)
+           .select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("archive"),
+                   F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                   F.monotonically_increasing_id().alias("seq")).where("value <> ''"))
+    record = F.concat(F.lit(VERSION), "value")
+    body = F.substring("value", F.instr("value", F.lit("\r\n\r\n")) + 4, F.length("value"))
+    rows = raw.select("archive", "file", "block", "seq", F.octet_length(record).cast("bigint").alias("length"),
+                      F.sha2(record, 256).alias("digest"),
+                      F.regexp_extract("value", r"(?m)^WARC-Target-URI: ([^\r\n]*)", 1).alias("url"),
+                      F.regexp_replace(body, r"\r\n\r\n\z", "").alias("body"))
+    order = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("archive", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"), "length",
+                       "digest", "url", "body")
+
+
+def file_index(records: DataFrame) -> DataFrame:
+    """The record table of ``audit`` from ``read_warc``; its records have no page id."""
+    return records.select("archive", F.lit(None).cast("bigint").alias("page_id"), "offset", "length", "digest")
+
+
 def _node(key: str, value: str) -> Column:
     """Hash of a group's children, 'key:value' in key order."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))

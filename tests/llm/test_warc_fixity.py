@@ -83,3 +83,26 @@ def test_one_replica_is_empty(spark, side):
     assert archives.count() == 1
     assert {r.kind for r in damages.collect()} == {"missing" if side == "a" else "extra"}
     assert damages.count() == 5
+
+
+def test_files_round_trip_and_damage_on_disk(spark, tmp_path):
+    some = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i} é</p>\r\n\r\nend" * 40) for i in range(50)], PAGES)
+    for replica in ("a", "b"):
+        wf.write_warc(some, str(tmp_path / replica), pages_per_archive=20)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # records cross the splits
+    try:
+        a = wf.read_warc(spark, str(tmp_path / "a"))
+        assert sorted((r.url, r.body) for r in a.collect()) == sorted((r.url, r.html) for r in some.collect())
+        want = {(r.offset, r.length, r.digest) for r in wf.index(some, pages_per_archive=20).collect()}
+        assert {(r.offset, r.length, r.digest) for r in a.collect()} == want
+        (file,) = (tmp_path / "b" / "archive=1").glob("part-*")
+        data = bytearray(file.read_bytes())
+        hurt = next(r for r in a.collect() if r.url == "http://h/31")
+        data[hurt.offset + hurt.length - 20] ^= 1
+        file.write_bytes(bytes(data))
+        (tmp_path / "b" / "archive=1" / f".{file.name}.crc").unlink(missing_ok=True)
+        archives, damages = wf.audit(wf.file_index(a), wf.file_index(wf.read_warc(spark, str(tmp_path / "b"))))
+        assert [r.archive for r in archives.where("root_a <> root_b").collect()] == ["archive=1"]
+        assert [(r.offset, r.length, r.kind) for r in damages.collect()] == [(hurt.offset, hurt.length, "altered")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
