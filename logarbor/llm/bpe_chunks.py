@@ -32,7 +32,7 @@ from logarbor.llm.tools import TwoGenerations
 
 MASK_BITS = 9           # a cut every 2**9 bytes, about
 WINDOW = 16             # bytes that decide a cut
-WORDS_KEPT = 150_000    # words in a generation
+WORDS_KEPT = 300_000    # words in a generation
 CHUNK_BYTES_KEPT = 16 << 20  # bytes of chunks in a generation
 FLUSH_BYTES = 4 << 20   # text returned at once
 
@@ -72,6 +72,9 @@ class ChunkEncoder:
         self.words = TwoGenerations(WORDS_KEPT)
         self.chunks = TwoGenerations(CHUNK_BYTES_KEPT)
         self.blank_safe = self._drops_blanks()
+        self.tokens = None
+        if self.tokenizer.decoder is None:
+            self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.reused = self.encoded = 0
 
     def _plain(self, text: str) -> bytes:
@@ -83,59 +86,69 @@ class ChunkEncoder:
         return all(self._plain(a + blank + b) == self._plain(a) + self._plain(b)
                    for a in parts for b in parts for blank in (" ", "\n", "  ", " \n"))
 
-    def _learn(self, words) -> None:
-        new = [w for w in words if self.words.find(w) is None]
+    def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """ids of each word; the new ones are encoded in one call."""
+        ids = {w: self.words.find(w) for w in words}
+        new = [w for w, v in ids.items() if v is None]
         if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.words.put(w, np.array(e.ids, dtype="<u4").tobytes())
-
-    def _word(self, word: bytes) -> bytes:
-        got = self.words.find(word)
-        if got is None:
-            got = self._plain(word.decode())
-            if len(word) <= 256:
-                self.words.put(word, got)
-        return got
-
-    def _chunk(self, chunk: bytes):
-        """(cut word at the start, ids between, cut word at the end); no ids if the chunk has no blank."""
-        got = self.chunks.find(chunk)
-        if got is not None:
-            self.reused += 1
-            return got
-        self.encoded += 1
-        words = chunk.replace(b"\n", b" ").split(b" ")
-        if len(words) == 1:
-            got = (chunk, None, b"")
-        else:
-            inner = words[1:-1]
-            get = self.words.get
-            ids = [get(w) for w in inner]
-            if None in ids:
-                self._learn({w for w, v in zip(inner, ids) if v is None})
-                ids = [get(w) if v is None else v for w, v in zip(inner, ids)]
-                ids = [self._word(w) if v is None else v for w, v in zip(inner, ids)]
-            got = (words[0], b"".join(ids), words[-1])
-        self.chunks.put(chunk, got, len(chunk) + len(got[1] or b"") + 200)
-        return got
+                ids[w] = np.array(e.ids, dtype="<u4").tobytes()
+                if len(w) <= 256:
+                    self.words.put(w, ids[w])
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if not self.blank_safe:
-            return np.frombuffer(self._plain(text), dtype="<u4")
-        data = text.encode()
-        cuts = [0, *cut_positions(np.frombuffer(data, dtype=np.uint8), self.mask_bits).tolist(), len(data)]
-        out, open_word = [], []
-        for i, j in zip(cuts, cuts[1:]):
-            head, ids, tail = self._chunk(data[i:j])
-            open_word.append(head)
-            if ids is not None:
-                out += (self._word(b"".join(open_word)), ids)
-                open_word = [tail]
-        out.append(self._word(b"".join(open_word)))
-        return np.frombuffer(b"".join(out), dtype="<u4")
-
-    def decode(self, ids) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+            return [np.frombuffer(self._plain(t), dtype="<u4") for t in texts]
+        plans = []  # for each text: (word repaired at the join, chunk after it)
+        fresh: dict[bytes, tuple] = {}
+        wanted = set()
+        for text in texts:
+            data = text.encode()
+            cuts = [0, *cut_positions(np.frombuffer(data, dtype=np.uint8), self.mask_bits).tolist(), len(data)]
+            plan, open_word = [], []
+            for i, j in zip(cuts, cuts[1:]):
+                chunk = data[i:j]
+                known = self.chunks.find(chunk) or fresh.get(chunk)
+                if known is None:
+                    self.encoded += 1
+                    words = chunk.replace(b"\n", b" ").split(b" ")
+                    # cut word at the start, words between, cut word at the end; no blank: one cut word
+                    known = (chunk, None, b"") if len(words) == 1 else (words[0], words[1:-1], words[-1])
+                    wanted.update(known[1] or ())
+                    fresh[chunk] = known
+                else:
+                    self.reused += 1
+                open_word.append(known[0])
+                if known[1] is not None:
+                    plan.append((b"".join(open_word), chunk, known))
+                    open_word = [known[2]]
+            plan.append((b"".join(open_word), None, None))
+            wanted.update([p[0] for p in plan])
+            plans.append(plan)
+        ids = self._ids_of(wanted)
+        done = {}
+        for chunk, (head, words, tail) in fresh.items():
+            done[chunk] = (head, None if words is None else b"".join([ids[w] for w in words]), tail)
+            self.chunks.put(chunk, done[chunk], len(chunk) + len(done[chunk][1] or b"") + 200)
+        out = []
+        for plan in plans:
+            parts = []
+            for word, chunk, known in plan:
+                parts.append(ids[word])
+                if chunk is not None:
+                    parts.append(done.get(chunk, known)[1])
+            out.append(np.frombuffer(b"".join(parts), dtype="<u4"))
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        """As the tokenizer's decode with special tokens kept: a file without a decoder joins the tokens by blanks."""
+        if self.tokens is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
 
 
 @lru_cache(maxsize=2)
@@ -151,22 +164,19 @@ def encode(docs: DataFrame, tokenizer_path: str, *, decoded: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer_path)
         for b in batches:
-            start = size = 0
-            ids, texts = [], []
+            start, texts, size = 0, [], 0
             for k, text in enumerate(b.column(1), 1):
-                text = text.as_py() or ""
-                own = coder.encode(text).astype(np.int32)
-                ids.append(own)
-                if decoded:
-                    texts.append(coder.decode(own.tolist()))
-                size += len(text)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
                 if size >= FLUSH_BYTES or k == b.num_rows:
+                    ids = [x.astype(np.int32) for x in coder.encode_many(texts)]
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                     cols = [b.column(0).slice(start, k - start),
                             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
-                    cols += [pa.array(texts, pa.string())] if decoded else []
+                    if decoded:
+                        cols.append(pa.array([coder.decode(x.tolist()) for x in ids], pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, names=names)
-                    start, size, ids, texts = k, 0, [], []
+                    start, texts, size = k, [], 0
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
