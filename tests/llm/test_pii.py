@@ -6,6 +6,7 @@ from collections import defaultdict
 from helpers import DOCS, docs_of, odd_texts, with_clashing_columns, words
 
 from logarbor.llm import pii
+from logarbor.llm.queries import QUERIES
 
 TEXTS = [
     "mail a.b+c@x-1.example.com, and bad@nodot or @x.y or a@b..c or x@y.z@w.v",
@@ -120,3 +121,15 @@ def test_overlapping_spans_and_empty_tables(spark):
     assert pii.sanitise(empty).count() == 0
     same = spark.createDataFrame([(None, "me@a.bc", None, None, 7)] * 2 + [(None, None, None, None, None)], DOCS)
     assert sorted((r.text or "") for r in pii.sanitise(same).collect()) == ["", "[EMAIL]", "[EMAIL]"]
+
+
+def test_query_marks_terms_of_entities_in_one_and_two_documents(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [f"{words(rng, 30)} zephyr writes to spy@hq.example.org today", f"{words(rng, 30)} falcon calls me@one.example.org",
+             f"{words(rng, 30)} falcon calls me@one.example.org"] + [words(rng, 40) + " writes calls today" for _ in range(60)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in QUERIES["op8_pii_disclosure"](spark, str(tmp_path)).collect()}
+    for i, word in ((0, "zephyr"), (1, "falcon"), (2, "falcon")):
+        at = texts[i].index(word)
+        assert f"removed:{at}:{at + len(word)}" in got[i].split(",")
+    assert all(got[i] == "" for i in range(3, len(texts)))
