@@ -7,6 +7,9 @@ and a term reveals PMI(e, t) = log2(N co(e, t) / (df(e) df(t))) of it (Sanchez a
 Batet, C-sanitized). A term whose PMI is at least ``generalise_at`` of the IC is
 generalised, at least ``remove_at`` removed, wherever it stands in that entity's
 context; a pair needs ``support`` documents, so a chance meeting is no evidence.
+With a ``window`` of None the whole document is the context of each entity in it, for
+the counts and for the marks. Entities that stand in the same documents count alike,
+so they are taken together and a text full of entities is no square of pairs.
 
 Counts cover all documents. Term frequencies are counted per task for the words
 that hit a fixed 2**20-bit map of the candidate terms, then summed by an exact join,
@@ -115,28 +118,49 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[
     out = []
     taken = [(s, e) for s, _, e in spans]
     for s, kind, e in spans:
-        value = text[s:e].lower() if kind < 2 else "".join(_DIGIT.findall(text[s:e]))
+        value = _value(text, (s, kind, e))
         for a, b in _near_words(text, s, e, window):
             if not any(a < y and x < b for x, y in taken):
-                out.append({"entity": f"{KINDS[kind]}:{value}", "term": text[a:b].lower(), "start": a, "end": b})
+                out.append({"entity": value, "term": text[a:b].lower(), "start": a, "end": b})
     return out
 
 
 # ---------------------------------------------------------------- corpus passes
-def scan(docs: DataFrame, *, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``row``, the columns of ``keep``, ``base`` spans and ``contexts``, as a written table."""
-    @F.pandas_udf("base array<struct<kind:int,start:bigint,end:bigint>>, "
+def _value(text: str, span: tuple[int, int, int]) -> str:
+    """The entity that a base span names."""
+    s, kind, e = span
+    return f"{KINDS[kind]}:{text[s:e].lower() if kind < 2 else ''.join(_DIGIT.findall(text[s:e]))}"
+
+
+def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Each term of the text that touches no base span, without an entity; ``spans`` by start."""
+    out, ends, at = [], 0, 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            ends = max(ends, spans[at][2])
+            at += 1
+        if ends <= a:
+            out.append({"entity": None, "term": m.group().lower(), "start": a, "end": b})
+    return out
+
+
+def scan(docs: DataFrame, *, window: int | None = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``row``, the columns of ``keep``, ``base`` spans, ``entities`` and ``contexts``, as a written table."""
+    @F.pandas_udf("base array<struct<kind:int,start:bigint,end:bigint>>, entities array<string>, "
                   "contexts array<struct<entity:string,term:string,start:bigint,end:bigint>>")
     def find(text: pd.Series) -> pd.DataFrame:
-        base, near = [], []
+        base, entities, near = [], [], []
         for t in text:
             spans = base_spans(t) if t else []
             base.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
-            near.append(contexts(t, spans, window) if spans else [])
-        return pd.DataFrame({"base": base, "contexts": near})
+            entities.append(sorted({_value(t, s) for s in spans}))
+            near.append((occurrences(t, spans) if window is None else contexts(t, spans, window)) if spans else [])
+        return pd.DataFrame({"base": base, "entities": entities, "contexts": near})
 
     found = docs.select(*keep, find(F.col("text").cast("string")).alias("found"))
-    return written(found.select(F.monotonically_increasing_id().alias("row"), *keep, "found.base", "found.contexts"))
+    return written(found.select(F.monotonically_increasing_id().alias("row"), *keep, "found.base", "found.entities",
+                                "found.contexts"))
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -185,21 +209,49 @@ def revealing_terms(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPO
             .select("entity", "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("kind"), "share"))
 
 
-def _added(docs: DataFrame, scanned: DataFrame, **thresholds) -> DataFrame:
+def _revealed(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
+              remove_at: float = REMOVE_AT) -> DataFrame:
+    """(row, term, kind): the terms that reveal an entity of their row, co-occurrence over whole documents."""
+    n = scanned.count()
+    held = scanned.select("row", F.explode("entities").alias("entity"))
+    # entities of the same documents have the same counts with every term: one group, named by its documents' hashes
+    group = ["df_e", "set_0", "set_1"]
+    groups = held.join(held.groupBy("entity").agg(
+        F.count("*").alias("df_e"), F.bit_xor(F.xxhash64("row")).alias("set_0"),
+        F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("set_1")), "entity").where(F.col("df_e") < n)
+    groups = groups.select("row", *group).distinct()
+    words = written(scanned.select("row", F.explode(F.array_distinct(F.col("contexts.term"))).alias("term")))
+    ic = F.log2(F.lit(float(n)) / F.col("df_e"))
+
+    def share(co: Column) -> Column:
+        return F.log2(co * F.lit(float(n)) / (F.col("df_e") * F.col("df"))) / ic
+
+    # a pair cannot pass if it would not with the most documents it may share
+    met = written(words.join(term_frequencies(docs, words.select("term").distinct()), "term").join(groups, "row")
+                  .where(share(F.least("df_e", "df")) >= generalise_at))
+    pairs = (met.groupBy(*group, "term", "df").agg(F.count("*").alias("co")).where(F.col("co") >= support)
+             .withColumn("share", share(F.col("co"))).where(F.col("share") >= generalise_at)
+             .select(*group, "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("kind")))
+    return met.join(pairs, [*group, "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
+
+
+def _added(docs: DataFrame, scanned: DataFrame, window: int | None, **thresholds) -> DataFrame:
     """(row, start, kind, end): occurrences of revealing terms in the contexts of their entities."""
+    met = scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
+    if window is None:
+        return met.join(_revealed(docs, scanned, **thresholds), ["row", "term"]).select("row", "start", "end", "kind")
     reveal = written(revealing_terms(docs, scanned, **thresholds))
-    return (scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
-            .join(reveal, ["entity", "term"])
+    return (met.join(reveal, ["entity", "term"])
             .groupBy("row", "start", "end").agg(F.max("kind").alias("kind")))
 
 
-def find_spans(docs: DataFrame, *, window: int = WINDOW, **thresholds) -> DataFrame:
+def find_spans(docs: DataFrame, *, window: int | None = WINDOW, **thresholds) -> DataFrame:
     """doc_id, ``base`` and ``spans`` (base and added), arrays of (start, kind, end) by start, then kind.
 
     ``thresholds``: support, generalise_at, remove_at of ``revealing_terms``.
     """
     scanned = scan(docs, window=window)
-    added = _added(docs, scanned, **thresholds).groupBy("row").agg(
+    added = _added(docs, scanned, window, **thresholds).groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     ordered = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
                                                      s["end"].alias("end")))
@@ -227,11 +279,11 @@ def apply_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, *, window: int = WINDOW, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, *, window: int | None = WINDOW, **thresholds) -> DataFrame:
     """``docs`` with the columns it has, all spans replaced in ``text``, and ``n_chars`` (if any) counted anew."""
     keyed, names = row_keys(docs)
     scanned = scan(keyed, window=window, keep=tuple(names))
-    spans = written(_added(docs, scanned, **thresholds).join(scanned.select("row", *names), "row"))
+    spans = written(_added(docs, scanned, window, **thresholds).join(scanned.select("row", *names), "row"))
     added = spans.groupBy(*names).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
 
     @F.pandas_udf("string")

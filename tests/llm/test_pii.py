@@ -133,3 +133,54 @@ def test_query_marks_terms_of_entities_in_one_and_two_documents(spark, tmp_path)
         at = texts[i].index(word)
         assert f"removed:{at}:{at + len(word)}" in got[i].split(",")
     assert all(got[i] == "" for i in range(3, len(texts)))
+
+
+def whole_document_added(texts, support=1, generalise_at=0.8, remove_at=0.95):
+    """Brute force with the whole document as the context: spans added for each text."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    n, df_t, df_e, co, held = len(texts), defaultdict(int), defaultdict(int), defaultdict(int), []
+    for t in texts:
+        t = t or ""
+        spans = reference_spans(t)
+        own = {(k, t[s:e].lower() if k < 2 else "".join(re.findall("[0-9]", t[s:e]))) for s, k, e in spans}
+        free = [(m.group().lower(), *m.span()) for m in term.finditer(t)
+                if not any(m.start() < e and s < m.end() for s, _, e in spans)]
+        held.append((own, free))
+        for w in {w.lower() for w in term.findall(t)}:
+            df_t[w] += 1
+        for e in own:
+            df_e[e] += 1
+            for w in {w for w, _, _ in free}:
+                co[e, w] += 1
+    out = []
+    for own, free in held:
+        added = {}
+        for e in own:
+            for w, a, b in free:
+                if co[e, w] >= support and df_e[e] < n:
+                    share = math.log2(co[e, w] * n / (df_e[e] * df_t[w])) / math.log2(n / df_e[e])
+                    if share >= generalise_at:
+                        added[a, b] = max(added.get((a, b), 0), 5 if share >= remove_at else 4)
+        out.append(sorted((a, k, b) for (a, b), k in added.items()))
+    return out
+
+
+def test_whole_documents_equal_brute_force(spark):
+    texts = corpus()
+    texts.append("first@a.example and second@a.example stand in one text with the plan")
+    texts.append(" ".join(f"user{i}@many.example" for i in range(200)) + " crowd")
+    added = whole_document_added(texts)
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs_of(spark, texts), window=None, support=1).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in got[i]] == sorted(reference_spans(t or "") + added[i])
+    assert {k for a in added for _, k, _ in a} == {4, 5}
+
+
+def test_far_mentions_of_a_revealing_term_are_marked(spark, tmp_path):
+    far = "zephyr writes to spy@hq.example.org " + "and then some more of the usual words " * 5 + "says Zephyr"
+    texts = [far] + ["and then some more of the usual words writes says"] * 60
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in QUERIES["op8_pii_disclosure"](spark, str(tmp_path)).collect()}
+    assert {"removed:0:6", f"removed:{len(far) - 6}:{len(far)}"} <= set(got[0].split(","))
+    (clean, *_) = [r.text for r in pii.sanitise(docs_of(spark, texts), window=None, support=1).orderBy("doc_id").collect()]
+    assert "zephyr" not in clean.lower() and "usual" in clean
