@@ -5,10 +5,11 @@ speaker's as a user with a name, system messages as system. The mask has ones on
 texts and their end marks. DataFrame functions only.
 
 A conversation is cut into segments of ``SEGMENT_TURNS`` turn numbers, so that a huge
-one is many bounded groups; a segment with more than ``MAX_MESSAGES`` rows (turn
-numbers that repeat) is cut further by a hash of the message. A row of the result is
-one segment seen by one participant. Texts are shuffled once, to their segments;
-the participants come from a narrow scan.
+one is many bounded groups; a segment with more than ``MAX_MESSAGES`` messages (turn
+numbers that repeat) is cut further in the order of its messages, so that its parts,
+one after the other, are the whole dialogue. A row of the result is one part of a
+segment seen by one participant. Texts are shuffled once, to their segments (those of
+such large segments are sorted before); the participants come from a narrow scan.
 
 Nulls: a null text is empty, a null role is the speaker 'unknown', a null turn stands
 before turn 0, a null conv_id is one conversation of its own. Repeated rows are one
@@ -19,13 +20,14 @@ result. Markers inside texts are broken up, so no text can forge a message.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logarbor.llm.tools import small
+from logarbor.llm.tools import small, written
 
 SEGMENT_TURNS = 64
 MAX_MESSAGES = 4096
+SORT_ROWS = 65536      # messages of large segments in a sorted partition, about
 SYSTEM_ROLES = ("system",)
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -38,15 +40,37 @@ def _messages(conversations: DataFrame) -> DataFrame:
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
 
 
+def _in_order(messages: DataFrame, rows: int) -> DataFrame:
+    """The distinct messages with ``part``: their position in the order of their segment, div ``MAX_MESSAGES``.
+
+    A position is the one in its sorted partition and the count of the segment's messages in earlier partitions.
+    """
+    keys = ["conv_id", "segment", "turn", "role", "text"]
+    ordered = written(messages.distinct().repartitionByRange(max(1, -(-rows // SORT_ROWS)), *keys)
+                      .sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("pid", F.shiftright("at", 33))
+    earlier = Window.partitionBy("conv_id", "segment").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (ordered.groupBy("conv_id", "segment", "pid").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+            .select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.col("pid").alias("p"),
+                    (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")))
+    runs = written(runs)
+    return (ordered.join(small(runs, runs.count()), F.col("conv_id").eqNullSafe(F.col("c"))
+                         & (F.col("segment") == F.col("s")) & (F.col("pid") == F.col("p")))
+            .withColumn("part", F.floor((F.col("at") + F.col("shift")) / MAX_MESSAGES))
+            .select(*keys, "part"))
+
+
 def _segments(messages: DataFrame) -> DataFrame:
-    """One row for each segment: its messages in order."""
-    sizes = messages.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > MAX_MESSAGES)
-    large = sizes.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"),
-                         F.ceil(F.col("n") / MAX_MESSAGES).alias("parts"))
-    cut = (messages.join(small(large, sizes.count()), F.col("conv_id").eqNullSafe(F.col("c"))
-                         & (F.col("segment") == F.col("s")), "left")
-           .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("bigint"))
-                       .otherwise(F.pmod(F.xxhash64("role", "text"), F.col("parts")))))
+    """One row for each part of a segment: its messages in order."""
+    large = written(messages.groupBy("conv_id", "segment").agg(F.count("*").alias("n"))
+                    .where(F.col("n") > MAX_MESSAGES)
+                    .select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), "n"))
+    count, rows = large.agg(F.count("*"), F.sum("n")).first()
+    cut = messages.withColumn("part", F.lit(0).cast("bigint"))
+    if count:
+        among = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))
+        cut = (cut.join(small(large, count), among, "left_anti")
+               .unionByName(_in_order(messages.join(small(large, count), among, "left_semi"), rows)))
     return cut.groupBy("conv_id", "segment", "part").agg(
         F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("messages"))
 

@@ -60,3 +60,23 @@ def test_a_turn_with_very_many_messages_is_cut(spark, monkeypatch):
 
 def test_empty(spark):
     assert perspectives.rotate(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_parts_of_a_large_segment_are_the_dialogue_in_order(spark, monkeypatch):
+    monkeypatch.setattr(perspectives, "MAX_MESSAGES", 50)
+    monkeypatch.setattr(perspectives, "SORT_ROWS", 70)  # a segment crosses sorted partitions
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice("ab"), f"message {i}") for c in (1, None) for i in range(300) for t in (None, 0, 5)]
+    rows += [(1, 70, "a", f"few {i % 30}") for i in range(90)]  # many rows, few messages: one part, as in the SQL
+    rows += [(c, 0, "system", "be kind") for c in (1, None)] + [(2, 0, "a", "x")]
+    rng.shuffle(rows)
+    got, parts = {}, {}
+    for r in sorted(perspectives.rotate(spark.createDataFrame(rows, TURNS)).collect(), key=lambda r: r.part):
+        key = (r.conv_id, r.participant, r.segment)
+        text, mask = got.get(key, ("", ""))
+        got[key] = (text + r.text, mask + unfold(r.mask))
+        parts.setdefault(key, []).append((r.part, r.n_messages))
+    assert got == reference(rows)
+    assert parts[1, "a", 1] == [(0, 30)] and parts[2, "a", 0] == [(0, 1)]
+    assert parts[1, "a", 0] == parts[None, "b", 0] == [(k, 50) for k in range(12)] + [(12, 1)]
+    assert parts[1, "a", -1] == [(k, 50) for k in range(6)]
