@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logarbor.llm import (bpe_chunks, lz_fingerprint, packing, perspectives, pii, simhash, token_counts, topk,
                           toxicity, warc_fixity)
-from logarbor.llm.tools import table
+from logarbor.llm.tools import table, written
 
 
 def _vocabulary(name: str) -> str:
@@ -21,14 +21,13 @@ def _vocabulary(name: str) -> str:
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages against a damaged replica: some records altered, cut short, lost, or added."""
     pages = table(spark, sf_dir, "pages")
-    good = warc_fixity.index(pages)
     bad_html = (F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.col("html")))
                 .when(F.col("page_id") % 103 == 7, F.substring("html", 1, 40)).otherwise(F.col("html")))
-    # the replica's records keep their places; what they hold is hashed from its own bytes
-    held = pages.withColumn("bad", bad_html).select(
-        "page_id", F.sha2(warc_fixity.record_text(html="bad"), 256).alias("held"))
-    copy = (good.join(held, "page_id").where(F.col("page_id") % 101 != 11)
-            .select("archive", "page_id", "offset", "length", F.col("held").alias("digest")))
+    # the replica's records keep their places; what they hold is hashed from its own bytes, in the row of the page
+    both = written(warc_fixity.index(pages.withColumn("bad", bad_html), held="bad"))
+    good = both.drop("held")
+    lost = (F.col("page_id") % 101).eqNullSafe(F.lit(11))
+    copy = both.where(~lost).select("archive", "page_id", "offset", "length", F.col("held").alias("digest"))
     added = good.where(F.col("page_id") % 107 == 13).select(
         "archive", "page_id", (F.col("offset") + 1).alias("offset"), "length", "digest")
     archives, damages = warc_fixity.audit(good, copy.unionByName(added))

@@ -36,16 +36,21 @@ def record_text(url: str = "url", html: str = "html") -> Column:
                     F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def index(pages: DataFrame, *, pages_per_archive: int = PAGES_PER_ARCHIVE) -> DataFrame:
-    """archive, page_id, offset, length, digest of each page's record, archives in the order of ids."""
-    records = (pages.select(F.col("page_id").cast("bigint"), record_text().alias("record"))
+def index(pages: DataFrame, *, pages_per_archive: int = PAGES_PER_ARCHIVE, held: str | None = None) -> DataFrame:
+    """archive, page_id, offset, length, digest of each page's record, archives in the order of ids.
+
+    With ``held``, a column of bodies, also ``held``: the digest of the record with that body, in the same row.
+    """
+    also = [] if held is None else ["held"]
+    other = [] if held is None else [F.sha2(record_text(html=held), 256).alias("held")]
+    records = (pages.select(F.col("page_id").cast("bigint"), record_text().alias("record"), *other)
                .select("page_id", F.octet_length("record").cast("bigint").alias("length"),
-                       F.sha2("record", 256).alias("digest")))
+                       F.sha2("record", 256).alias("digest"), *also))
     loose = -1 - F.pmod(F.xxhash64("digest"), F.lit(LOOSE_ARCHIVES))
     records = records.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / pages_per_archive), loose))
     order = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return records.select("archive", "page_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"),
-                          "length", "digest")
+                          "length", "digest", *also)
 
 
 def write_warc(pages: DataFrame, path: str, *, pages_per_archive: int = PAGES_PER_ARCHIVE) -> None:

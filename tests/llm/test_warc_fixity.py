@@ -5,6 +5,7 @@ from helpers import with_clashing_columns
 from pyspark.sql import functions as F
 
 from logarbor.llm import warc_fixity as wf
+from logarbor.llm.queries import QUERIES
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -106,3 +107,15 @@ def test_files_round_trip_and_damage_on_disk(spark, tmp_path):
         assert [(r.offset, r.length, r.kind) for r in damages.collect()] == [(hurt.offset, hurt.length, "altered")]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_query_on_repeated_and_null_ids(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i}</p>" * 20) for i in (1, 2, 5, 11, 13, 20)]  # 5 altered, 11 lost, 13 with one added
+    rows += [(20, "u", "<p>other</p>")] * 3 + [(5, "v", "<p>5</p>")] * 2 + [(11, "v", "<p>11</p>")]
+    rows += [(None, "u", f"<p>none {i}</p>") for i in range(4)] + [(None, "u", "<p>none 0</p>"), (None, None, None)]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["op1_merkle_fixity"](spark, str(tmp_path)).collect()
+    got = sorted((r.page_id, r.kind) for r in out if r.kind)
+    assert got == [(5, "altered")] * 3 + [(11, "missing")] * 2 + [(13, "extra")]
+    assert all((r.root_a == r.root_b) == (r.archive < 0) for r in out)
+    assert sum(r.archive < 0 for r in out) == len({r.archive for r in out if r.archive < 0}) > 0
