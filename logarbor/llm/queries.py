@@ -47,7 +47,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, each_row=True)
 
 
 def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

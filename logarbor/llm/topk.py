@@ -8,12 +8,13 @@ weights. Each group of query rows scatters weight * posting into dense score arr
 term by term; every candidate of the block has a score, zero included. A partition
 selection keeps a cell's best k a query and a ranked merge the best over all blocks.
 
-Blocks are bounded by ``block_rows``; ids that repeat are dealt by vector as well.
+Equal rows are counted first and searched as one, so blocks of ``block_rows`` distinct
+rows are bounded; ids that repeat are dealt by vector as well.
 Rows take no part if the id or vector is null, or a component is null or not finite.
 A query never meets itself: of rows equal to it in id and vector one is left out.
 Vectors of different lengths meet on the terms both have; an empty one scores zero.
 Ties go to the smaller vec_id. Repeated rows are all candidates; repeated query rows
-return one answer. An empty table, or one with no query, gives an empty result.
+return one answer, or one each with ``each_row``. An empty table, or one with no query, gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logarbor.llm.tools import written
+
 SCALE = 256
 BLOCK_ROWS = 4096      # candidates in a block, about
 QUERY_ROWS = 8192      # queries in a block, about
@@ -80,25 +83,26 @@ class Postings:
 
 
 def block_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k candidates of one cell for each query."""
+    """Best k distinct candidates of one cell for each query, with their copies, k at most."""
     candidates = candidates.sort_values("vec_id", kind="stable")
     ids = candidates["vec_id"].to_numpy(np.int64)
     own = [np.asarray(v, dtype=np.int64) for v in candidates["v"]]
+    copies = candidates["copies"].to_numpy(np.int64)
     postings = Postings(own)
     asked = [np.asarray(v, dtype=np.int64) for v in queries["v"]]
     out = []
     for start in range(0, len(queries), TOGETHER):
         part = asked[start:start + TOGETHER]
         scores = postings.accumulate(part)
-        keys = queries[["vec_id", "q"]].iloc[start:start + TOGETHER].itertuples(index=False)
-        for (query_id, q), vector, row in zip(keys, part, scores):
-            take = np.ones(len(row), dtype=bool)
+        keys = queries[["vec_id", "q", "copies"]].iloc[start:start + TOGETHER].itertuples(index=False)
+        for (query_id, q, asked_by), vector, row in zip(keys, part, scores):
+            there = np.minimum(copies, k)
             lo, hi = np.searchsorted(ids, [query_id, query_id + 1])
             for i in range(lo, hi):  # its own row
                 if np.array_equal(own[i], vector):
-                    take[i] = False
+                    there[i] = min(copies[i] - 1, k)
                     break
-            left = np.flatnonzero(take)
+            left = np.flatnonzero(there)
             if not len(left):
                 continue
             points = row[left]
@@ -106,28 +110,34 @@ def block_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Dat
                 kth = np.partition(points, len(points) - k)[len(points) - k]
                 above, equal = left[points > kth], left[points == kth]
                 left = np.concatenate((above, equal[:k - len(above)]))  # ids ascend
-            out += [(int(query_id), int(q), int(ids[i]), int(row[i])) for i in left]
-    return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"]).astype("int64")
+            out += [(int(query_id), int(q), int(asked_by), int(ids[i]), int(row[i]), int(there[i])) for i in left]
+    return pd.DataFrame(out, columns=["query_id", "q", "asked_by", "vec_id", "score", "there"]).astype("int64")
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, block_rows: int = BLOCK_ROWS,
-          query_rows: int = QUERY_ROWS) -> DataFrame:
+          query_rows: int = QUERY_ROWS, each_row: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of every query's best k; ``vectors`` as from ``integer_vectors``."""
-    n, asked = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    rows = written(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")))
+    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-asked // query_rows))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    # equal rows share a block, so that the one row a query leaves out is found in a single cell
+    times = lambda c: F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(c)))
     key = F.xxhash64("vec_id", "v")
     deal = lambda m: F.pmod(key, F.lit(m)).cast("int")
-    candidates = vectors.withColumn("block", deal(blocks)).withColumn("part", every(groups))
-    queries = (vectors.where(is_query).distinct().withColumn("q", key).withColumn("part", deal(groups))
+    candidates = rows.withColumn("block", deal(blocks)).withColumn("part", every(groups))
+    # columns of their own, as both sides of the cogroup read one table
+    queries = (rows.where(is_query).select(*(F.col(c).alias(c) for c in rows.columns))
+               .withColumn("q", key).withColumn("part", deal(groups))
                .withColumn("block", every(blocks)))
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return block_top(q, c, k)
 
     best = (queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block"))
-            .applyInPandas(cell, "query_id bigint, q bigint, vec_id bigint, score bigint"))
+            .applyInPandas(cell, "query_id bigint, q bigint, asked_by bigint, vec_id bigint, score bigint, there bigint"))
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    ranked = (best.withColumn("copy", times("there")).withColumn("rank", F.row_number().over(order))
+              .where(F.col("rank") <= k))
+    if each_row:
+        ranked = ranked.withColumn("answer", times("asked_by"))
+    return ranked.select("query_id", "rank", "vec_id", "score")

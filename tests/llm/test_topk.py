@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import numpy as np
 from helpers import with_clashing_columns
 from pyspark.sql import functions as F
 
 from logarbor.llm import topk
+from logarbor.llm.queries import ORACLE, QUERIES
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -60,3 +62,23 @@ def test_sparse_postings_scatter_like_dense_ones():
     assert np.array_equal(index.accumulate(queries), np.array(queries) @ np.array(rows).T)
     large = topk.Postings([np.array([2**30, -2**30])])
     assert large.accumulate([np.array([2**30, 5])])[0, 0] == 2**60 - 5 * 2**30
+
+
+def test_query_answers_each_repeated_row_as_its_sql(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], 0) for i in range(60)]
+    rows += [(50, rows[50][1], 0)] * 2 + [(0, rows[0][1], 0)] * 9 + [(7, rows[7][1], 0)] * 3 + [(50, [0.5] * 4, 0)]
+    spark.createDataFrame(rows, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in QUERIES["op4_exact_top_k"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(got) == sorted(con.execute(ORACLE["op4_exact_top_k"]).fetchall())
+    assert len(got) == 5 * (10 + 4)
+
+
+def test_copies_of_a_row_are_one_candidate_of_a_block():
+    import pandas as pd
+
+    rows = pd.DataFrame({"vec_id": [0, 1], "v": [[2], [1]], "copies": [10**9, 2]})
+    got = topk.block_top(rows.iloc[:1].assign(q=0), rows, 3)
+    assert got[["vec_id", "score", "there"]].values.tolist() == [[0, 4, 3], [1, 2, 2]]
