@@ -36,6 +36,12 @@ def record_text(url: str = "url", html: str = "html") -> Column:
                     F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
+def _archive(pages_per_archive: int) -> Column:
+    """A record's archive by ``page_id``, or by ``digest`` where it has no id."""
+    loose = -1 - F.pmod(F.xxhash64("digest"), F.lit(LOOSE_ARCHIVES))
+    return F.coalesce(F.floor(F.col("page_id") / pages_per_archive), loose)
+
+
 def index(pages: DataFrame, *, pages_per_archive: int = PAGES_PER_ARCHIVE, held: str | None = None) -> DataFrame:
     """archive, page_id, offset, length, digest of each page's record, archives in the order of ids.
 
@@ -46,8 +52,7 @@ def index(pages: DataFrame, *, pages_per_archive: int = PAGES_PER_ARCHIVE, held:
     records = (pages.select(F.col("page_id").cast("bigint"), record_text().alias("record"), *other)
                .select("page_id", F.octet_length("record").cast("bigint").alias("length"),
                        F.sha2("record", 256).alias("digest"), *also))
-    loose = -1 - F.pmod(F.xxhash64("digest"), F.lit(LOOSE_ARCHIVES))
-    records = records.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / pages_per_archive), loose))
+    records = records.withColumn("archive", _archive(pages_per_archive))
     order = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return records.select("archive", "page_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"),
                           "length", "digest", *also)
@@ -55,10 +60,10 @@ def index(pages: DataFrame, *, pages_per_archive: int = PAGES_PER_ARCHIVE, held:
 
 def write_warc(pages: DataFrame, path: str, *, pages_per_archive: int = PAGES_PER_ARCHIVE) -> None:
     """One WARC file for each archive, in folders ``archive=<n>``; an archive is one bounded task."""
-    archive = F.coalesce(F.floor(F.col("page_id") / pages_per_archive), F.lit(-1))
-    rows = pages.select(archive.alias("archive"), "page_id", record_text().alias("record"))
+    rows = (pages.select(F.col("page_id").cast("bigint"), record_text().alias("record"))
+            .withColumn("digest", F.sha2("record", 256)).withColumn("archive", _archive(pages_per_archive)))
     line = F.col("record").substr(F.lit(1), F.length("record") - 2)  # the writer adds the last line end
-    (rows.repartition("archive").sortWithinPartitions("archive", "page_id").select("archive", line)
+    (rows.repartition("archive").sortWithinPartitions("archive", "page_id", "digest").select("archive", line)
      .write.partitionBy("archive").option("lineSep", "\r\n").text(path))
 
 

@@ -119,3 +119,11 @@ def test_query_on_repeated_and_null_ids(spark, tmp_path):
     assert got == [(5, "altered")] * 3 + [(11, "missing")] * 2 + [(13, "extra")]
     assert all((r.root_a == r.root_b) == (r.archive < 0) for r in out)
     assert sum(r.archive < 0 for r in out) == len({r.archive for r in out if r.archive < 0}) > 0
+
+
+def test_written_pages_without_an_id_lie_where_the_index_says(spark, tmp_path):
+    some = spark.createDataFrame([(None, "u", f"<p>{i}</p>") for i in range(40)] + [(3, "u", "b"), (3, "u", "a")], PAGES)
+    wf.write_warc(some, str(tmp_path / "a"))
+    got = {(r.archive, r.offset, r.digest) for r in wf.read_warc(spark, str(tmp_path / "a")).collect()}
+    assert got == {(f"archive={r.archive}", r.offset, r.digest) for r in wf.index(some).collect()}
+    assert len({a for a, _, _ in got}) > 20
