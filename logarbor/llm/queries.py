@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logarbor.llm import (bpe_chunks, lz_fingerprint, packing, perspectives, pii, simhash, token_counts, topk,
-                          toxicity, warc_fixity)
+from logarbor.llm import (bpe_chunks, hard_negatives, lz_fingerprint, packing, perspectives, pii, simhash, spelling,
+                          token_counts, topk, toxicity, warc_fixity, window_dedup)
 from logarbor.llm.tools import table, written
 
 
@@ -84,6 +84,21 @@ def op10_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_frequency_vector_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), label)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fixity": op1_merkle_fixity,
     "op2_lz_phrases": op2_lz_phrases,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_simhash_vantage_point": op10_simhash_vantage_point,
+    "op11_count_min_substrings": op11_count_min_substrings,
+    "op12_frequency_vector_trie": op12_frequency_vector_trie,
+    "op13_angular_hard_negatives": op13_angular_hard_negatives,
 }
 
 _TREE = """
@@ -182,4 +200,28 @@ WITH kept AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_angular_hard_negatives": """
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, * FROM (
+        SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    )
+), scored AS (
+    SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = x.label AS same, x.vec_id,
+           coalesce(CAST(list_sum(list_transform(list_zip(a.v, x.v), lambda p: p[1] * p[2])) AS BIGINT), 0) AS score
+    FROM kept a JOIN kept x ON x.r <> a.r
+    WHERE a.vec_id % 100 = 0
+), positive AS (
+    SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS p FROM scored WHERE same
+), negative AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+           s.score AS negative_score,
+           CAST(row_number() OVER (PARTITION BY p.ar, p.p ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+    FROM positive p JOIN scored s ON s.ar = p.ar
+    WHERE p.p <= 5 AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5""",
 }
