@@ -108,6 +108,33 @@ def match_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     return lines.select(*stage).select("*", gen).select(*cols)
 
 
+@lru_cache(maxsize=None)
+def _month_columns(formats: tuple[str, ...]) -> tuple[tuple[Column, ...], Column, Column, Column, tuple[Column, ...]] | None:
+    """``match_lines`` cut down to what the year modes need: is a month-name line matched, and its month."""
+    m = family_matcher("bsd", formats)
+    if m is None:
+        return None
+    raw, keys = F.col("raw_line"), [F.col(c) for c in ORDER_COLUMNS]
+    rep = F.when(F.length(raw) == F.octet_length(raw), F.regexp_replace(raw, F.lit(m.ascii_pattern), F.lit(m.replacement))
+                 ).otherwise(F.regexp_replace(raw, F.lit(m.pattern), F.lit(m.replacement)))
+    p = F.col("parts")
+    said = F.exists(F.slice(p, len(FIELDS) + 2, len(m.labels)), lambda x: x != "")
+    return ((py_strip(F.col("value")).alias("raw_line"), *keys),
+            (F.length(raw) >= MIN_LINE_LENGTH) & F.substring(raw, 1, 3).isin(*MONTHS),
+            F.explode(F.array(F.split(rep, "\n"))).alias("parts"),
+            (F.get(p, 0) == "") & (F.size(p) == m.n_fields + 1) & said,
+            (*keys, F.substring(raw, 1, 3).alias("mon")))
+
+
+def month_lines(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
+    """(line key, mon) of the lines that match a format without a year."""
+    columns = _month_columns(opts.formats)
+    if columns is None:
+        return lines.select(*ORDER_COLUMNS, F.lit(None).cast("string").alias("mon")).filter(F.lit(False))
+    stage, routed, gen, ok, out = columns
+    return lines.select(*stage).filter(routed).select("*", gen).filter(ok).select(*out)
+
+
 @lru_cache(maxsize=None)
 def _iso_text_columns() -> tuple[Column, ...]:
     c = F.col
@@ -164,8 +191,11 @@ def _timestamp_columns(as_of, max_days: int) -> tuple[Column, Column]:
     return F.explode(F.array(raw)).alias("_ts"), F.when(keep, c("_ts")).alias("timestamp")
 
 
-def assign_timestamps(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Adds ``timestamp``: NULL when the line gives no entry (no match, bad date, outside the window)."""
+def assign_timestamps(matched: DataFrame, opts: AnalyzerOptions, months: DataFrame | None = None) -> DataFrame:
+    """Adds ``timestamp``: NULL when the line gives no entry (no match, bad date, outside the window).
+
+    ``months``: the lines without a year as from ``month_lines``, which the file-order year modes need.
+    """
     from logarbor.operators.years import with_year_column
 
     c = F.col
@@ -174,7 +204,7 @@ def assign_timestamps(matched: DataFrame, opts: AnalyzerOptions) -> DataFrame:
         staged = _with_parts(matched, opts).select("*", _rollback_year(opts.as_of))
     else:
         # transition / sequential: the year depends on earlier lines of the same file
-        staged = _with_parts(with_year_column(matched, opts), opts)
+        staged = _with_parts(with_year_column(matched, opts, months), opts)
         staged = staged.withColumn("_year", F.when(is_bsd, c("year")).otherwise(c("_y"))).drop("year")
     gen, timestamp = _timestamp_columns(opts.as_of, opts.max_days)
     keep = [x for x in staged.columns if x not in PART_COLUMNS and x != "_year"]
@@ -210,7 +240,8 @@ def to_entries(classified: DataFrame, opts: AnalyzerOptions) -> DataFrame:
 
 def classify(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     """All lines, each with its format and timestamp (NULL: no entry)."""
-    return assign_timestamps(match_lines(lines, opts), opts)
+    months = None if opts.year_mode == "rollback" else month_lines(lines, opts)
+    return assign_timestamps(match_lines(lines, opts), opts, months)
 
 
 def parse(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:

@@ -7,71 +7,118 @@ sequential  running year: base year plus every Dec -> Jan (+1) and Jan -> Dec (-
 Steps are taken between consecutive BSD-matched lines of one file, including
 lines whose date turns out impossible or falls outside the day window.
 
-The lines themselves are not shuffled for it. Only (chunk, line_seq, month) of the
-BSD lines goes through the per-chunk window of ``sequence``; what remains is the few
-rows where the year steps. They are kept as one array per file in the checkpoint
-folder and looked up by each line at its place: broadcast if counted small, else
-joined on the file.
+A segmented prefix scan in three levels, none of which shuffles the lines:
+
+  lines     only (chunk, line_seq, month) of the BSD lines goes through the per-chunk window of
+            ``sequence``; what remains are the lines where the year steps inside a chunk, and each
+            chunk's first and last line (``year_marks``)
+  chunks    one summary a chunk (first month, last month, sum of its steps) is scanned over the
+            chunks of a file, which gives the change of year that each chunk begins with
+  segments  inside chunks that step, runs of ``SEGMENT_LINES`` lines hold the change they begin
+            with and their own few steps
+
+Lines look the result up by equality on their chunk and their segment (transition: on the line
+itself). The lookup table is written in one job, so the planner joins it by its size: broadcast
+when small, else shuffled on the chunk or segment, so one huge file is many keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logarbor.functions.timestamps import month_number
-from logarbor.operators.sequence import chunk_window, with_chunk
+from logarbor.functions.formats import MONTHS
+from logarbor.operators.sequence import CHUNK_KEY, CHUNK_ROWS
 from logarbor.options import AnalyzerOptions
-from logarbor.session import checkpoint_dir
+from logarbor.sinks.tables import kept_table
 
-# Most year steps that are broadcast to the lines.
-BROADCAST_STEPS = 100_000
+# Lines of a segment; a chunk is a whole number of segments.
+SEGMENT_LINES = 1 << 10
+SEGMENT_KEY = ("file_path", "block_start", "segment")
+LINE_KEY = ("file_path", "block_start", "line_seq")
+IS_BSD = "format IS NOT NULL AND route = 'bsd'"
+MONTH_NUMBER = "cast(array_position(array(" + ", ".join(f"'{m}'" for m in MONTHS) + "), mon) AS int)"
+IN_CHUNK = "PARTITION BY file_path, block_start, chunk ORDER BY"
+IN_FILE = "PARTITION BY file_path ORDER BY block_start, chunk"
 
 
-def step(prev: Column, cur: Column) -> Column:
+def step(prev: str, cur: str) -> str:
     """+1 for Dec -> Jan, -1 for Jan -> Dec, else 0 (also when there is no previous month)."""
-    return (F.when((prev == 12) & (cur == 1), F.lit(1))
-            .when((prev == 1) & (cur == 12), F.lit(-1))
-            .otherwise(F.lit(0)))
+    return f"CASE WHEN {prev} = 12 AND {cur} = 1 THEN 1 WHEN {prev} = 1 AND {cur} = 12 THEN -1 ELSE 0 END"
+
+
+def year_marks(months: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """From the lines without a year, (line key, mon): (chunk key, line_seq, m, delta, run): lines where the year
+    steps inside a chunk, and its first and last.
+
+    ``run`` is the sum of the chunk's inner steps up to the line.
+    """
+    lines = months.selectExpr(*LINE_KEY, f"line_seq div {chunk_rows} AS chunk", f"{MONTH_NUMBER} AS m")
+    stepped = lines.selectExpr("*", f"lag(m) OVER ({IN_CHUNK} line_seq) AS prev", f"lead(m) OVER ({IN_CHUNK} line_seq) AS next")
+    summed = stepped.selectExpr("*", f"{step('prev', 'm')} AS delta").selectExpr(
+        "*", f"cast(sum(delta) OVER ({IN_CHUNK} line_seq) AS int) AS run")
+    return summed.where("delta <> 0 OR prev IS NULL OR next IS NULL").select(*CHUNK_KEY, "line_seq", "m", "delta", "run")
+
+
+def chunk_carries(marks: DataFrame) -> DataFrame:
+    """(chunk key, first_seq, edge, carry): the step onto a chunk's first line, and all steps up to it."""
+    chunks = marks.groupBy(*CHUNK_KEY).agg(F.expr("min(line_seq) AS first_seq"), F.expr("min_by(m, line_seq) AS first_m"),
+                                           F.expr("max_by(m, line_seq) AS last_m"), F.expr("max_by(run, line_seq) AS total"))
+    edges = chunks.selectExpr("*", f"lag(last_m) OVER ({IN_FILE}) AS before_m").selectExpr(
+        "*", f"{step('before_m', 'first_m')} AS edge")
+    return edges.selectExpr(*CHUNK_KEY, "first_seq", "edge",
+                            f"cast(sum(edge + total) OVER ({IN_FILE}) - total AS int) AS carry")
+
+
+def line_steps(marks: DataFrame) -> DataFrame:
+    """(line key, delta): every line that a step leads to."""
+    inner = marks.where("delta <> 0").select(*LINE_KEY, "delta")
+    edges = chunk_carries(marks).where("edge <> 0")
+    return inner.unionByName(edges.selectExpr("file_path", "block_start", "first_seq AS line_seq", "edge AS delta"))
 
 
-def year_steps(rows: DataFrame) -> DataFrame:
-    """(file_path, block_start, line_seq, delta, run): the BSD lines right after a step, and the sum of steps so far."""
-    months = with_chunk(rows.filter(_is_bsd()).select("file_path", "block_start", "line_seq",
-                                                      month_number(F.col("mon")).alias("m")))
-    w = chunk_window()
-    months = months.withColumn("prev", F.lag("m").over(w)).withColumn("next", F.lead("m").over(w))
-    # steps inside chunks, and the first and last line of every chunk, where a step may lie between chunks
-    few = months.filter((step(F.col("prev"), F.col("m")) != 0) | F.col("prev").isNull() | F.col("next").isNull())
-    per_file = Window.partitionBy("file_path").orderBy("block_start", "line_seq")
-    prev = F.coalesce("prev", F.lag("m").over(per_file))
-    steps = few.withColumn("prev", prev).withColumn("delta", step(F.col("prev"), F.col("m"))).filter("delta <> 0")
-    return steps.select("file_path", "block_start", "line_seq", "delta",
-                        F.sum("delta").over(per_file).cast("int").alias("run"))
+def year_changes(marks: DataFrame, chunk_rows: int = CHUNK_ROWS, segment_lines: int = SEGMENT_LINES) -> DataFrame:
+    """Change of year by chunk and by segment, in one table of (file_path, block_start, chunk, segment, before, steps).
 
+    A row without segment has a chunk's change at its first line (0: no row). From the first inner step of a chunk
+    on, each segment has the change it begins with, relative to its chunk, and its own steps as (line_seq, run).
+    """
+    carries = chunk_carries(marks).where("carry <> 0").selectExpr(
+        *CHUNK_KEY, "cast(NULL AS bigint) AS segment", "carry AS before", "cast(NULL AS array<struct<line_seq: bigint, run: int>>) AS steps")
+    own = (marks.where("delta <> 0").withColumn("segment", F.expr(f"line_seq div {segment_lines}"))
+           .groupBy(*CHUNK_KEY, "segment").agg(F.expr("array_sort(collect_list(struct(line_seq, run))) AS steps"),
+                                               F.expr("min_by(run - delta, line_seq) AS before")))
+    last = f"((chunk + 1) * {chunk_rows} - 1) div {segment_lines}"
+    spans = own.selectExpr("*", f"coalesce(lead(segment) OVER ({IN_CHUNK} segment) - 1, {last}) AS until")
+    # a segment without steps of its own begins and ends with the change of the last one that had some
+    segments = spans.selectExpr("*", "explode(sequence(segment, until)) AS at").selectExpr(
+        *CHUNK_KEY, "at AS segment", "if(at = segment, before, element_at(steps, -1).run) AS before",
+        "if(at = segment, steps, NULL) AS steps")
+    return carries.unionByName(segments)
 
-def _is_bsd() -> Column:
-    return F.col("format").isNotNull() & (F.col("route") == "bsd")
 
+def with_year_column(rows: DataFrame, opts: AnalyzerOptions, months: DataFrame | None = None,
+                     chunk_rows: int = CHUNK_ROWS, segment_lines: int = SEGMENT_LINES) -> DataFrame:
+    """Adds ``year`` to matched lines (NULL for lines that are not BSD-matched).
 
-def with_year_column(rows: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """Adds ``year`` to matched lines (NULL for lines that are not BSD-matched)."""
+    ``months``: (line key, mon) of the BSD-matched lines, if at hand in a cheaper way than from ``rows``.
+    """
     if opts.year_mode not in ("sequential", "transition"):
         raise ValueError(f"year mode {opts.year_mode!r} needs no window")
-    checkpoint_dir(rows.sparkSession)
-    steps = year_steps(rows).checkpoint()
-    n = steps.count()
-    base = F.lit(opts.year)
-    if not n:
-        return rows.withColumn("year", F.when(_is_bsd(), base))
-    files = steps.groupBy("file_path").agg(F.array_sort(F.collect_list(
-        F.struct("block_start", "line_seq", "delta", "run"))).alias("_steps"))
-    rows = rows.join(F.broadcast(files) if n <= BROADCAST_STEPS else files, "file_path", "left")
-    here, seq = F.col("block_start"), F.col("line_seq")
-    if opts.year_mode == "sequential":
-        past = F.filter("_steps", lambda s: (s["block_start"] < here) | (
-            (s["block_start"] == here) & (s["line_seq"] <= seq)))
-        change = F.get(past, F.size(past) - 1)["run"]
+    if chunk_rows % segment_lines:
+        raise ValueError("a chunk is a whole number of segments")
+    marks = year_marks(rows.where(IS_BSD) if months is None else months, chunk_rows)
+    columns = rows.columns
+    if opts.year_mode == "transition":
+        steps = kept_table(line_steps(marks), "year-steps")
+        rows = rows.join(steps, list(LINE_KEY), "left")
+        change = "coalesce(delta, 0)"
     else:
-        change = F.get(F.filter("_steps", lambda s: (s["block_start"] == here) & (s["line_seq"] == seq)), 0)["delta"]
-    return rows.withColumn("year", F.when(_is_bsd(), base + F.coalesce(change, F.lit(0)))).drop("_steps")
+        changes = kept_table(year_changes(marks, chunk_rows, segment_lines), "year-changes")
+        carry = changes.where("segment IS NULL").selectExpr(*CHUNK_KEY, "before AS carry")
+        inside = changes.where("segment IS NOT NULL").select(*SEGMENT_KEY, "before", "steps")
+        rows = rows.selectExpr("*", f"line_seq div {chunk_rows} AS chunk", f"line_seq div {segment_lines} AS segment")
+        rows = rows.join(carry, list(CHUNK_KEY), "left").join(inside, list(SEGMENT_KEY), "left")
+        # the last own step up to the line
+        change = ("coalesce(carry, 0) + coalesce(try_element_at(filter(steps, s -> s.line_seq <= line_seq), -1).run, before, 0)")
+    return rows.selectExpr(*columns, f"CASE WHEN {IS_BSD} THEN {opts.year} + {change} END AS year")

@@ -1,5 +1,4 @@
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -9,20 +8,9 @@ sys.path.insert(0, str(ROOT))
 
 from logarbor.session import build_session, checkpoint_dir  # noqa: E402
 
-LINE_SCHEMA = "value string, file_path string, block_start bigint, line_seq bigint"
-AS_OF = datetime(2024, 1, 31)
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", 4)
     checkpoint_dir(s)
     yield s
-
-
-def make_lines(spark, texts, file_path="f.log", block_rows=None):
-    rows = []
-    for i, t in enumerate(texts):
-        block = (i // block_rows) * block_rows if block_rows else 0
-        rows.append((t, file_path, block, i))
-    return spark.createDataFrame(rows, LINE_SCHEMA)

@@ -1,0 +1,14 @@
+"""Lines for the tests of the log analyzer."""
+
+from datetime import datetime
+
+LINE_SCHEMA = "value string, file_path string, block_start bigint, line_seq bigint"
+AS_OF = datetime(2024, 1, 31)
+
+
+def make_lines(spark, texts, file_path="f.log", block_rows=None):
+    rows = []
+    for i, t in enumerate(texts):
+        block = (i // block_rows) * block_rows if block_rows else 0
+        rows.append((t, file_path, block, i))
+    return spark.createDataFrame(rows, LINE_SCHEMA)

@@ -11,7 +11,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
-from conftest import make_lines
+from log_helpers import make_lines
 from logarbor.functions.formats import CATALOG, MONTHS
 from logarbor.operators.parse import parse
 from logarbor.options import AnalyzerOptions

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from conftest import AS_OF, make_lines
+from log_helpers import AS_OF, make_lines
 from logarbor.operators.parse import parse, classify
 from logarbor.options import AnalyzerOptions
 

@@ -59,26 +59,50 @@ def test_last_k_has_no_global_sort(spark):
 
 
 def test_years_shuffle_no_lines(spark):
-    """Neither branch of the year modes sends a line's text through an exchange."""
-    from conftest import make_lines
-    from logarbor.operators.parse import match_lines
-    from logarbor.operators.years import year_steps
+    """No branch of the year modes sends a line's text through an exchange, and lines join by equality on small tables."""
+    from log_helpers import make_lines
+    from logarbor.operators.parse import month_lines
+    from logarbor.operators.years import year_changes, year_marks
 
     lines = make_lines(spark, ["Dec 30 10:00:00 h s: a", "Jan  1 10:00:00 h s: b"] * 5)
     for mode in ("transition", "sequential"):
         opts = OPTS.replace(year_mode=mode, base_year=2023)
         p = parse(lines, opts)._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and p.count("hashpartitioning") == 1
-    steps = year_steps(match_lines(lines, opts))._jdf.queryExecution().executedPlan().toString()
-    for line in steps.split("\n"):
+        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "hashpartitioning" not in p
+    changes = year_changes(year_marks(month_lines(lines, opts)))
+    changes.collect()
+    p = changes._jdf.queryExecution().executedPlan().toString()
+    for line in p.split("\n"):
         if "Exchange" in line:
             assert "raw_line" not in line and "msg" not in line
+    assert "ReusedExchange" in p  # the months are read once for chunks and segments
+
+
+def test_a_file_of_many_steps_has_no_group_by_file_alone(spark):
+    """200,000 steps of one file: arrays are bounded by a segment, windows by file hold one row a chunk."""
+    from pyspark.sql import functions as F
+
+    from logarbor.operators import years
+
+    n, chunk, segment = 400_000, 1 << 14, 1 << 10
+    months = spark.range(n).selectExpr("'f' AS file_path", "0L AS block_start", "id AS line_seq",
+                                       "if(id % 4 < 2, 'Dec', 'Jan') AS mon")
+    marks = years.year_marks(months, chunk)
+    changes = years.year_changes(marks, chunk, segment)
+    p = _plan(changes.agg(F.max(F.size("steps")), F.count("*")))
+    assert "collect_list(" in p and "hashpartitioning(file_path#" in p
+    for line in p.split("\n"):
+        if "collect_list(" in line and "Aggregate(" in line:
+            assert "segment" in line.split("functions=")[0]
+    assert changes.agg(F.max(F.size("steps"))).first()[0] <= segment
+    assert years.chunk_carries(marks).count() == -(-n // chunk)
+    assert years.line_steps(marks).count() == n // 2 - 1
 
 
 def test_bad_lines_of_digits_take_linear_time(spark):
     import time
 
-    from conftest import make_lines
+    from log_helpers import make_lines
 
     line = "2024-01-05T10:00:00." + "1" * 60_000 + "!"
     parse(make_lines(spark, [line[:40]]), OPTS).count()

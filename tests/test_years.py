@@ -1,6 +1,7 @@
+import random
 from datetime import datetime
 
-from conftest import AS_OF, make_lines
+from log_helpers import AS_OF, make_lines
 from logarbor.operators.parse import parse
 from logarbor.options import AnalyzerOptions
 
@@ -21,14 +22,14 @@ def model_years(months, mode, base):
     return out
 
 
-def years_of(spark, months, mode, base, block_rows=None):
+def years_of(spark, months, mode, base, block_rows=None, **levels):
     lines = [f"{MONTHS[m - 1]} 10 10:00:00 h s: line {i}" for i, m in enumerate(months)]
     df = make_lines(spark, lines, block_rows=block_rows)
     opts = AnalyzerOptions(as_of=datetime(2024, 1, 31), max_days=45, year_mode=mode, base_year=base)
     from logarbor.operators.years import with_year_column
     from logarbor.operators.parse import match_lines
     m = match_lines(df, opts)
-    ys = with_year_column(m, opts).orderBy("line_seq").collect()
+    ys = with_year_column(m, opts, **levels).orderBy("line_seq").collect()
     assert all(r.year is not None for r in ys)
     return [r.year for r in ys]
 
@@ -49,6 +50,24 @@ def test_sequential_and_transition_match_model(spark):
                 assert got == model_years(months, mode, 2023), (months, mode, block_rows)
 
 
+def test_chunks_and_segments_of_few_lines(spark):
+    """The three levels of the scan, with steps inside and between segments, chunks and blocks."""
+    rng = random.Random(1)
+    months = [rng.choice([12, 12, 1, 1, 6]) for _ in range(200)]
+    for block_rows, chunk_rows, segment_lines in ((None, 8, 4), (37, 16, 2), (50, 64, 64), (None, 1, 1)):
+        for mode in ("sequential", "transition"):
+            got = years_of(spark, months, mode, 2023, block_rows, chunk_rows=chunk_rows, segment_lines=segment_lines)
+            assert got == model_years(months, mode, 2023), (mode, block_rows, chunk_rows, segment_lines)
+
+
+def test_files_do_not_share_steps(spark):
+    a = make_lines(spark, ["Dec 31 10:00:00 h s: a", "Jan  1 10:00:00 h s: a"], "a.log")
+    b = make_lines(spark, ["Jun  1 10:00:00 h s: b", "Jun  2 10:00:00 h s: b"], "b.log")
+    opts = AnalyzerOptions(as_of=AS_OF, max_days=45, year_mode="sequential", base_year=2023)
+    got = sorted((r.file_path, r.timestamp.year) for r in parse(a.unionByName(b), opts.replace(max_days=365)).collect())
+    assert got == [("a.log", 2023), ("a.log", 2024), ("b.log", 2023), ("b.log", 2023)]
+
+
 def test_impossible_date_advances_state(spark):
     lines = ["Dec 20 10:00:00 h s: a", "Jan 32 10:00:00 h s: impossible", "Jan  2 10:00:00 h s: b"]
     df = make_lines(spark, lines)
