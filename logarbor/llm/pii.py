@@ -7,6 +7,9 @@ and a term reveals PMI(e, t) = log2(N co(e, t) / (df(e) df(t))) of it (Sanchez a
 Batet, C-sanitized). A term whose PMI is at least ``generalise_at`` of the IC is
 generalised, at least ``remove_at`` removed, wherever it stands in that entity's
 context; a pair needs ``support`` documents, so a chance meeting is no evidence.
+With ``everywhere`` evidence still comes from the words near an entity, but a revealing
+term is marked at each place in all documents that hold its entity: a rare word that
+only shares a long document with an entity is left alone, a code name beside it is not.
 With a ``window`` of None the whole document is the context of each entity in it, for
 the counts and for the marks. Entities that stand in the same documents count alike,
 so they are taken together and a text full of entities is no square of pairs.
@@ -145,22 +148,28 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     return out
 
 
-def scan(docs: DataFrame, *, window: int | None = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``row``, the columns of ``keep``, ``base`` spans, ``entities`` and ``contexts``, as a written table."""
+def scan(docs: DataFrame, *, window: int | None = WINDOW, keep: tuple[str, ...] = ("doc_id",),
+         everywhere: bool = False) -> DataFrame:
+    """``row``, the columns of ``keep``, ``base`` spans, ``entities`` and ``contexts``, as a written table.
+
+    With ``everywhere`` also ``terms``: all occurrences, in texts that hold an entity.
+    """
     @F.pandas_udf("base array<struct<kind:int,start:bigint,end:bigint>>, entities array<string>, "
-                  "contexts array<struct<entity:string,term:string,start:bigint,end:bigint>>")
+                  "contexts array<struct<entity:string,term:string,start:bigint,end:bigint>>, "
+                  "terms array<struct<entity:string,term:string,start:bigint,end:bigint>>")
     def find(text: pd.Series) -> pd.DataFrame:
-        base, entities, near = [], [], []
+        base, entities, near, terms = [], [], [], []
         for t in text:
             spans = base_spans(t) if t else []
             base.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
             entities.append(sorted({_value(t, s) for s in spans}))
             near.append((occurrences(t, spans) if window is None else contexts(t, spans, window)) if spans else [])
-        return pd.DataFrame({"base": base, "entities": entities, "contexts": near})
+            terms.append(occurrences(t, spans) if spans and everywhere else [])
+        return pd.DataFrame({"base": base, "entities": entities, "contexts": near, "terms": terms})
 
     found = docs.select(*keep, find(F.col("text").cast("string")).alias("found"))
     return written(found.select(F.monotonically_increasing_id().alias("row"), *keep, "found.base", "found.entities",
-                                "found.contexts"))
+                                "found.contexts", *(["found.terms"] if everywhere else [])))
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -235,8 +244,33 @@ def _revealed(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPORT, ge
     return met.join(pairs, [*group, "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
 
 
-def _added(docs: DataFrame, scanned: DataFrame, window: int | None, **thresholds) -> DataFrame:
+def _near_evidence(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
+                   remove_at: float = REMOVE_AT) -> DataFrame:
+    """(row, marks): the terms, with their kind, that reveal an entity of the row by standing near it in some document."""
+    n = scanned.count()
+    held = scanned.select("row", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") < n)
+    met = scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.term").distinct()
+    pairs = written(met.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support))
+    df = term_frequencies(docs, pairs.select("term").distinct())
+    share = (F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * F.col("df")))
+             / F.log2(F.lit(float(n)) / F.col("df_e")))
+    reveal = (pairs.join(entities, "entity").join(df, "term").withColumn("share", share)
+              .where(F.col("share") >= generalise_at)
+              .select("entity", "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("kind")))
+    return (held.join(reveal, "entity").groupBy("row", "term").agg(F.max("kind").alias("kind"))
+            .groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("marks")))
+
+
+def _added(docs: DataFrame, scanned: DataFrame, window: int | None, everywhere: bool = False, **thresholds) -> DataFrame:
     """(row, start, kind, end): occurrences of revealing terms in the contexts of their entities."""
+    if everywhere:
+        marked = scanned.where(F.size("entities") > 0).select("row", "terms").join(
+            _near_evidence(docs, scanned, **thresholds), "row")
+        kind = F.map_from_entries("marks")
+        hits = F.transform(F.filter("terms", lambda t: F.array_contains("marks.term", t["term"])), lambda t: F.struct(
+            t["start"].alias("start"), F.element_at(kind, t["term"]).alias("kind"), t["end"].alias("end")))
+        return marked.select("row", F.explode(hits).alias("hit")).select("row", "hit.*")
     met = scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
     if window is None:
         return met.join(_revealed(docs, scanned, **thresholds), ["row", "term"]).select("row", "start", "end", "kind")
@@ -245,13 +279,13 @@ def _added(docs: DataFrame, scanned: DataFrame, window: int | None, **thresholds
             .groupBy("row", "start", "end").agg(F.max("kind").alias("kind")))
 
 
-def find_spans(docs: DataFrame, *, window: int | None = WINDOW, **thresholds) -> DataFrame:
+def find_spans(docs: DataFrame, *, window: int | None = WINDOW, everywhere: bool = False, **thresholds) -> DataFrame:
     """doc_id, ``base`` and ``spans`` (base and added), arrays of (start, kind, end) by start, then kind.
 
     ``thresholds``: support, generalise_at, remove_at of ``revealing_terms``.
     """
-    scanned = scan(docs, window=window)
-    added = _added(docs, scanned, window, **thresholds).groupBy("row").agg(
+    scanned = scan(docs, window=window, everywhere=everywhere)
+    added = _added(docs, scanned, window, everywhere, **thresholds).groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     ordered = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
                                                      s["end"].alias("end")))
@@ -279,11 +313,11 @@ def apply_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, *, window: int | None = WINDOW, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, *, window: int | None = WINDOW, everywhere: bool = False, **thresholds) -> DataFrame:
     """``docs`` with the columns it has, all spans replaced in ``text``, and ``n_chars`` (if any) counted anew."""
     keyed, names = row_keys(docs)
-    scanned = scan(keyed, window=window, keep=tuple(names))
-    spans = written(_added(docs, scanned, window, **thresholds).join(scanned.select("row", *names), "row"))
+    scanned = scan(keyed, window=window, keep=tuple(names), everywhere=everywhere)
+    spans = written(_added(docs, scanned, window, everywhere, **thresholds).join(scanned.select("row", *names), "row"))
     added = spans.groupBy(*names).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
 
     @F.pandas_udf("string")

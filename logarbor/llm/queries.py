@@ -66,8 +66,8 @@ def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: int):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
 
-    # whole documents, no floor under their number: the share of the information decides over all pairs
-    found = pii.find_spans(table(spark, sf_dir, "documents"), window=None, support=1)
+    # evidence from the words near an entity, in one document or more; marks in all documents that hold the entity
+    found = pii.find_spans(table(spark, sf_dir, "documents"), everywhere=True, support=1)
     return found.select("doc_id", *(count(k) for k in range(pii.BASE_KINDS)), F.sha2(pii.span_text("base"), 256).alias("base_sha256"),
                         pii.span_text("spans").alias("spans"))
 

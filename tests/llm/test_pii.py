@@ -165,6 +165,72 @@ def whole_document_added(texts, support=1, generalise_at=0.8, remove_at=0.95):
     return out
 
 
+def near_evidence_added(texts, window=5, support=1, generalise_at=0.8, remove_at=0.95):
+    """Brute force with evidence near an entity and marks in every document that holds it."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    n, df_t, df_e, co, held = len(texts), defaultdict(int), defaultdict(int), defaultdict(int), []
+    for t in texts:
+        t = t or ""
+        spans = reference_spans(t)
+        free = [m for m in term.finditer(t) if not any(m.start() < e and s < m.end() for s, _, e in spans)]
+        everything = list(term.finditer(t))
+        own, met = set(), set()
+        for s, k, e in spans:
+            name = (k, t[s:e].lower() if k < 2 else "".join(re.findall("[0-9]", t[s:e])))
+            own.add(name)
+            before = [m for m in term.finditer(t[:s])][-window:]
+            near = {(m.start(), m.end()) for m in before} | {(m.start() + e, m.end() + e) for m in list(term.finditer(t[e:]))[:window]}
+            met |= {(name, m.group().lower()) for m in free if m.span() in near}
+        held.append((own, free))
+        for w in {m.group().lower() for m in everything}:
+            df_t[w] += 1
+        for e in own:
+            df_e[e] += 1
+        for pair in met:
+            co[pair] += 1
+    kinds = {}
+    for (e, w), c in co.items():
+        if c >= support and df_e[e] < n:
+            share = math.log2(c * n / (df_e[e] * df_t[w])) / math.log2(n / df_e[e])
+            if share >= generalise_at:
+                kinds[e, w] = 5 if share >= remove_at else 4
+    out = []
+    for own, free in held:
+        added = [(m.start(), max((kinds.get((e, m.group().lower()), 0) for e in own), default=0), m.end()) for m in free]
+        out.append(sorted(a for a in added if a[1]))
+    return out
+
+
+def test_near_evidence_marked_everywhere_equals_brute_force(spark):
+    rng = random.Random(13)
+    texts = corpus()
+    texts += [f"{words(rng, 50)} zephyr {words(rng, 20)} near spy@hq.example.org", "a@b.example " * 2 + "quartz then quartz",
+              " ".join(f"user{i}@many.example" for i in range(100)) + " crowd"]
+    added = near_evidence_added(texts)
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs_of(spark, texts), everywhere=True, support=1).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in got[i]] == sorted(reference_spans(t or "") + added[i])
+    assert {k for a in added for _, k, _ in a} == {4, 5}
+    docs = with_clashing_columns(docs_of(spark, texts))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, everywhere=True, support=1).collect()}
+    for i, t in enumerate(texts):
+        assert clean[i] == (None if t is None else pii.apply_spans(t, reference_spans(t) + added[i]))
+
+
+def test_rare_words_far_from_an_entity_stay(spark):
+    rng = random.Random(17)
+    common = "their usual words stand here and fill the letter with plain project mail soon".split()
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    usual = [filler(60) for _ in range(200)]
+    rare = [" ".join(f"rare{chr(97 + i)}{chr(97 + k)}q" for k in range(20)) for i in range(20)]
+    texts = [f"{rare[i]} {filler(12)} project kestrel{chr(97 + i)} mail person{i}@corp.example soon {filler(12)}" for i in range(20)]
+    spans = pii.find_spans(docs_of(spark, texts + usual), everywhere=True, support=1).collect()
+    for r in spans:
+        if r.doc_id < 20:
+            marked = {texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind >= pii.BASE_KINDS}
+            assert f"kestrel{chr(97 + r.doc_id)}" in marked and not any(w.startswith("rare") for w in marked)
+
+
 def test_whole_documents_equal_brute_force(spark):
     texts = corpus()
     texts.append("first@a.example and second@a.example stand in one text with the plan")
