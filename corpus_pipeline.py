@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``. What a stage decides takes effect: rejected documents and
 surplus copies go, personal data is replaced.
+
+Null texts are empty documents, null ids stay (last in the order of ids), repeated rows are
+copies of one text and one of them stays, extra columns and columns whose names the
+operators use inside are carried through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it, replaced in the texts."""
-    return pii.sanitise(docs)
+    return pii.sanitise(docs, everywhere=True, support=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
