@@ -474,4 +474,11 @@ tn AS (SELECT log_date, service, n, errors, greatest(n - 5, 0) AS overflow, erro
     q["doc_tree_rows"] = _tree_rows(5, "truncate", 80, source="documents")
     q["doc_error_clusters_by_service"] = D + (f"SELECT service, {_cluster_pattern()} AS pattern, count(*) AS n "
                                               f"FROM entries WHERE is_error GROUP BY 1, 2")
+    # the same answers from a landed log
+    for name in ("tree_rows", "tree_overflow", "summary", "parse_quality", "format_counts"):
+        q[f"landed_{name}"] = q[name]
+    profile = ("SELECT '{}' AS file_path, CASE WHEN ts IS NOT NULL THEN nullif(host, '') END AS host, "
+               "CASE WHEN ts IS NOT NULL THEN format END AS format, count(*) AS n FROM classified GROUP BY ALL")
+    q["format_profile"] = E + profile.format("events")
+    q["format_profile_mixed"] = mixed_sql() + profile.format("mixed")
     return q

@@ -16,7 +16,7 @@ def iso_text(ts: Column) -> Column:
 
 
 def csv_frame(entries: DataFrame, keep_order_columns: bool = False) -> DataFrame:
-    """Six text columns; NULL level/host/pid become ''. File order via file_path, line_seq."""
+    """Six text columns; NULL level/host/pid become ''. File order via file_path, block_start, line_seq."""
     cols = [
         iso_text(F.col("timestamp")).alias("Timestamp"),
         F.col("service").alias("Service"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logarbor.functions.text import hit_line
+from logarbor.sinks.tables import kept_table
 
 TIME_ORDER = ("timestamp", "file_path", "block_start", "line_seq")
 
@@ -40,24 +41,25 @@ def matching(entries: DataFrame, service_pattern: str | None = None, level: str
     return out
 
 
-def time_ordered(rows: DataFrame) -> DataFrame:
+def time_ordered(rows: DataFrame, stored: bool = False) -> DataFrame:
     """Global time order (ties: file order): one range-partitioned sort.
 
-    The sort samples its input in a pass of its own. On landed entries that is a
-    pruned Parquet scan; for repeated searches land the entries first.
+    The sort samples its input in a pass of its own, so what was found is first kept as a table: the
+    log is parsed once, and the sampling pass reads four columns of the hits. ``stored``: the rows
+    come from landed entries, where both passes are pruned Parquet scans.
     """
-    return rows.orderBy(*_time_order())
+    return (rows if stored else kept_table(rows, "found")).orderBy(*_time_order())
 
 
-def find_errors(entries: DataFrame, service: str | None = None) -> DataFrame:
+def find_errors(entries: DataFrame, service: str | None = None, stored: bool = False) -> DataFrame:
     """Error entries, optionally of one exact service, in time order (ties: file order)."""
-    return time_ordered(errors_of(entries, service))
+    return time_ordered(errors_of(entries, service), stored)
 
 
 def filter_logs(entries: DataFrame, service_pattern: str | None = None, level: str | None = None,
-                message_contains: str | None = None) -> DataFrame:
+                message_contains: str | None = None, stored: bool = False) -> DataFrame:
     """``matching`` in time order (ties: file order)."""
-    return time_ordered(matching(entries, service_pattern, level, message_contains))
+    return time_ordered(matching(entries, service_pattern, level, message_contains), stored)
 
 
 def tail(df: DataFrame, k: int) -> DataFrame:

@@ -25,7 +25,7 @@ from logarbor.operators import clusters, quality, search, summary, tree
 from logarbor.operators.parse import classify, parse
 from logarbor.operators.plugins import Plugin, registered
 from logarbor.options import AnalyzerOptions
-from logarbor.sinks import writers
+from logarbor.sinks import landing, writers
 from logarbor.sources.discovery import latest_log, rotation_set
 from logarbor.sources.files import read_lines
 
@@ -42,6 +42,7 @@ class LogAnalyzer:
         self.source = source
         self.plugins = registered() if plugins is None else dict(plugins)
         self._landed = landed
+        self._beside: tuple[SparkSession, str] | None = None
 
     @classmethod
     def from_paths(cls, spark: SparkSession, paths, options: AnalyzerOptions | None = None,
@@ -75,47 +76,58 @@ class LogAnalyzer:
                     **kw) -> "LogAnalyzer":
         """Entries written by ``land``, within the day window of the options."""
         options = options or AnalyzerOptions()
-        return cls(None, options, source=path, landed=writers.read_landed(spark, path, options), **kw)
+        out = cls(None, options, source=path, landed=writers.read_landed(spark, path, options), **kw)
+        out._beside = (spark, path)
+        return out
 
     # ---- data -----------------------------------------------------------------
     @property
     def entries(self) -> DataFrame:
         return parse(self.lines, self.options) if self._landed is None else self._landed
 
+    @property
+    def cells(self) -> DataFrame:
+        """Entries and errors by day, hour, service and level; of a landed log from the totals beside the entries."""
+        kept = landing.landed_cells(*self._beside, self.options) if self._beside else None
+        return summary.cell_counts(self.entries) if kept is None else kept
+
     @property
     def nodes(self) -> DataFrame:
-        return summary.node_counts(self.entries)
+        return summary.nodes_of(self.cells) if self._beside else summary.node_counts(self.entries)
 
     def classified(self) -> DataFrame:
         if self.lines is None:
-            raise ValueError("landed entries keep no unparsed lines: quality needs the log itself")
+            raise ValueError("landed entries keep no unparsed lines: this needs the log itself")
         return classify(self.lines, self.options)
 
     # ---- reports --------------------------------------------------------------
     def tree_rows(self) -> DataFrame:
-        return tree.report_order(tree.tree_rows(self.entries, self.options))
+        return tree.report_order(tree.tree_rows(self.entries, self.options, self.nodes))
 
     def tree_nodes(self) -> DataFrame:
-        return tree.tree_nodes(self.entries, self.options.max_lines_per_service)
+        return tree.tree_nodes(self.entries, self.options.max_lines_per_service, self.nodes)
 
     def summary(self) -> DataFrame:
-        return summary.summary(self.entries)
+        return summary.summary(self.entries, self.nodes)
 
     def service_counts(self) -> DataFrame:
-        return summary.ordered(summary.service_counts(self.entries))
+        return summary.ordered(self._service_counts())
+
+    def _service_counts(self) -> DataFrame:
+        return summary.service_counts(self.entries, self.nodes if self._beside else None)
 
     def top_services(self, k: int = 5) -> DataFrame:
-        return summary.top_k(summary.service_counts(self.entries), k)
+        return summary.top_k(self._service_counts(), k)
 
     def top_services_text(self, k: int = 5) -> DataFrame:
         """The summary line 'svc (1,234), other (99)' of the k most frequent services."""
         return summary.top_services_text(self.top_services(k))
 
     def level_distribution(self) -> DataFrame:
-        return summary.ordered(summary.level_distribution(self.entries))
+        return summary.ordered(summary.levels_of(self.cells) if self._beside else summary.level_distribution(self.entries))
 
     def hourly_distribution(self) -> DataFrame:
-        return summary.ordered(summary.hourly_distribution(self.entries))
+        return summary.ordered(summary.hours_of(self.cells) if self._beside else summary.hourly_distribution(self.entries))
 
     def error_clusters(self, k: int | None = 10) -> DataFrame:
         return clusters.error_clusters(self.entries, k)
@@ -124,11 +136,12 @@ class LogAnalyzer:
         return clusters.error_clusters_by_service(self.entries)
 
     def find_errors(self, service: str | None = None) -> DataFrame:
-        return search.find_errors(self.entries, service)
+        return search.find_errors(self.entries, service, stored=self._landed is not None)
 
     def filter_logs(self, service_pattern: str | None = None, level: str | None = None,
                     message_contains: str | None = None) -> DataFrame:
-        return search.filter_logs(self.entries, service_pattern, level, message_contains)
+        return search.filter_logs(self.entries, service_pattern, level, message_contains,
+                                  stored=self._landed is not None)
 
     def last_errors(self, service: str | None = None, k: int = 10) -> DataFrame:
         return search.error_hits(self.entries, service, k)
@@ -137,10 +150,16 @@ class LogAnalyzer:
         return search.match_hits(search.matching(self.entries, **criteria), k)
 
     def parse_quality(self) -> DataFrame:
-        return quality.parse_quality(self.classified())
+        """Of a landed log: as measured while it was landed, over all its lines."""
+        kept = landing.landed_formats(*self._beside) if self._beside else None
+        return quality.parse_quality(self.classified()) if kept is None else quality.quality_of_counts(kept)
 
     def format_counts(self) -> DataFrame:
-        return quality.format_counts(self.classified())
+        kept = landing.landed_formats(*self._beside) if self._beside else None
+        return quality.format_counts(self.classified()) if kept is None else kept
+
+    def format_profile(self) -> DataFrame:
+        return quality.format_profile(self.classified())
 
     def plugin_results(self) -> dict[str, dict[str, DataFrame]]:
         entries = self.entries
@@ -222,5 +241,8 @@ class LogAnalyzer:
     def export_csv(self, path: str, ordered: bool = True) -> None:
         writers.write_csv(self.entries, path, ordered=ordered)
 
-    def land(self, path: str) -> None:
-        writers.land_entries(self.entries, path)
+    def land(self, path: str, mode: str = "overwrite", batch: str | None = None) -> str:
+        """Entries, totals and parse quality under ``path``, from one pass over the log; returns the batch's name."""
+        if self.lines is None:
+            raise ValueError("this log is landed already")
+        return landing.land_log(self.lines, self.options, path, mode, batch)

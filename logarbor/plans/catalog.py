@@ -7,6 +7,7 @@ compare exactly with the DuckDB oracle (``duck_oracle``).
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 from typing import Callable
 
@@ -19,6 +20,8 @@ from logarbor.operators.export_frames import csv_frame
 from logarbor.operators.parse import classify, parse, to_entries
 from logarbor.functions.errors import severity
 from logarbor.options import AnalyzerOptions
+from logarbor.plans.analyzer import LogAnalyzer
+from logarbor.session import checkpoint_dir
 from logarbor.sources.lens import documents_lens, lens, mixed_lens
 
 # Fixed values of the checks: the lens instant and window.
@@ -325,6 +328,55 @@ def q_csv_frame(spark, sf_dir):
     return csv_frame(_entries(spark, sf_dir))
 
 
+# ---- landed once, then reported ----------------------------------------------------
+
+def _landed(spark: SparkSession, sf_dir: str) -> LogAnalyzer:
+    """The lens landed in two batches (odd and even lines), as a log that grows."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    lines = _lines(spark, sf_dir)
+    for k, mode in enumerate(("overwrite", "append")):
+        LogAnalyzer(lines.filter(F.col("line_seq") % 2 == k), CHECK_OPTS).land(path, mode, batch=f"part{k}")
+    return LogAnalyzer.from_landed(spark, path, CHECK_OPTS)
+
+
+@query("landed_tree_rows")
+def q_landed_tree_rows(spark, sf_dir):
+    a = _landed(spark, sf_dir)
+    return as_text_times(tree.tree_rows(a.entries, a.options, a.nodes))
+
+
+@query("landed_tree_overflow")
+def q_landed_tree_overflow(spark, sf_dir):
+    a = _landed(spark, sf_dir)
+    return as_text_times(a.tree_nodes().filter(F.col("overflow") > 0)
+                         .select("log_date", "service", "overflow", "overflow_errors"))
+
+
+@query("landed_summary")
+def q_landed_summary(spark, sf_dir):
+    return as_text_times(_landed(spark, sf_dir).summary())
+
+
+@query("landed_parse_quality")
+def q_landed_parse_quality(spark, sf_dir):
+    return _landed(spark, sf_dir).parse_quality()
+
+
+@query("landed_format_counts")
+def q_landed_format_counts(spark, sf_dir):
+    return _landed(spark, sf_dir).format_counts()
+
+
+@query("format_profile")
+def q_format_profile(spark, sf_dir):
+    return quality.format_profile(classify(_lines(spark, sf_dir), CHECK_OPTS))
+
+
+@query("format_profile_mixed")
+def q_format_profile_mixed(spark, sf_dir):
+    return quality.format_profile(_mixed(spark, sf_dir))
+
+
 # ---- long texts: the documents lens ------------------------------------------------------
 
 def _doc_entries(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK_OPTS) -> DataFrame:

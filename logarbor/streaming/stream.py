@@ -104,17 +104,17 @@ def write_entries_in_file_order(spark: SparkSession, folder: str, path: str, che
     """Entries of a growing folder with any year mode, appended as Parquet under ``path``.
 
     Each micro-batch numbers its lines at the scan (file order inside each block)
-    and runs ``parse`` with the options as given; the batch id makes reruns of a
-    failed micro-batch overwrite their own output folder (idempotent). Inside a batch
-    the folders are days, so ``read_landed`` prunes by day window.
+    and is landed with the options as given; the batch id makes reruns of a
+    failed micro-batch overwrite their own output folders (idempotent). Inside a batch
+    the folders are days, so ``read_landed`` prunes by day window. Totals and parse quality
+    are kept by batch as for a landed log, so ``LogAnalyzer.from_landed`` answers for a stream too.
     """
-    from logarbor.operators.parse import parse
+    from logarbor.sinks.landing import land_log
 
     def run(batch: DataFrame, batch_id: int) -> None:
         lines = batch.select(decoded(F.col("value"), opts.decode).alias("value"), "file_path", "block_start",
                              F.monotonically_increasing_id().alias("line_seq"))
-        entries = parse(lines, opts)
-        entries.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch={batch_id}")
+        land_log(lines, opts, path, mode="append", batch=str(batch_id))
 
     w = (_raw_lines(spark, folder, max_files_per_trigger).writeStream.foreachBatch(run)
          .option("checkpointLocation", checkpoint))

@@ -4,6 +4,8 @@ import json
 from datetime import datetime
 
 import pytest
+from log_helpers import make_lines
+from pyspark.sql import functions as F
 
 from logarbor.plans.analyzer import LogAnalyzer
 from logarbor.options import AnalyzerOptions
@@ -95,8 +97,72 @@ def test_reports_on_landed_entries(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(log_date" in plan and "raw_line" not in plan
     narrow = b.service_counts()._jdf.queryExecution().executedPlan().toString()
     assert "message" not in narrow
+    for report in ("parse_quality", "format_counts", "summary", "service_counts", "level_distribution",
+                   "hourly_distribution", "tree_nodes"):
+        assert sorted(map(str, getattr(b, report)().collect())) == sorted(map(str, getattr(a, report)().collect())), report
     with pytest.raises(ValueError):
-        b.parse_quality()
+        b.format_profile()  # by host and file: needs the log itself
+    with pytest.raises(ValueError):
+        b.land(str(tmp_path / "again"))
+
+
+def test_landed_totals_take_the_place_of_a_scan(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    LogAnalyzer(lens(spark, SF), OPTS).land(path)
+    b = LogAnalyzer.from_landed(spark, path, OPTS)
+    plan = b.summary()._jdf.queryExecution().executedPlan().toString()
+    assert "_totals" in plan
+    for part in plan.split("FileScan")[1:]:  # entries are read only for the day that the window's end cuts
+        assert "_totals" in part.split("ReadSchema")[0] or "IN (" in part or "log_date#" in part.split("PartitionFilters")[1]
+    narrow = LogAnalyzer.from_landed(spark, path, OPTS.replace(max_days=7, as_of=OPTS.as_of.replace(hour=13, minute=30)))
+    fresh = LogAnalyzer(lens(spark, SF), narrow.options)
+    assert narrow.summary().collect() == fresh.summary().collect()
+    assert narrow.tree_rows().collect() == fresh.tree_rows().collect()
+
+
+def test_batches_add_up_and_a_rerun_replaces_its_own(spark, tmp_path):
+    path, lines = str(tmp_path / "landed"), lens(spark, SF)
+    parts = [LogAnalyzer(lines.filter(F.col("line_seq") % 3 == k), OPTS) for k in range(3)]
+    for k, part in enumerate(parts):
+        part.land(path, "overwrite" if k == 0 else "append", batch=f"b{k}")
+    parts[1].land(path, "append", batch="b1")  # the batch failed and ran again
+    whole, b = LogAnalyzer(lines, OPTS), LogAnalyzer.from_landed(spark, path, OPTS)
+    assert b.parse_quality().collect() == whole.parse_quality().collect()
+    assert b.summary().collect() == whole.summary().collect()
+    assert b.tree_rows().collect() == whole.tree_rows().collect()
+    parts[0].land(path, "overwrite")
+    only = LogAnalyzer.from_landed(spark, path, OPTS)
+    assert only.summary().collect() == parts[0].summary().collect()
+    assert only.parse_quality().collect() == parts[0].parse_quality().collect()
+
+
+def test_quality_of_a_log_without_entries(spark, tmp_path):
+    a = LogAnalyzer(make_lines(spark, ["junk", ""]), OPTS)
+    a.land(str(tmp_path / "landed"))
+    rows = spark.read.parquet(f"{tmp_path}/landed/_quality").collect()
+    assert [(r.format, r.n) for r in rows] == [(None, 2)]
+
+
+def test_ordered_search_parses_once(spark, tmp_path):
+    """What was found is kept before it is sorted, so neither the sort nor its sampling pass parses the log."""
+    a = LogAnalyzer(lens(spark, SF), OPTS)
+    for found in (a.find_errors(), a.filter_logs(level="ERROR")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_replace" not in plan and "rangepartitioning" in plan and plan.count("FileScan") == 1
+    LogAnalyzer(lens(spark, SF), OPTS).land(str(tmp_path / "landed"))
+    b = LogAnalyzer.from_landed(spark, str(tmp_path / "landed"), OPTS)
+    assert "landed" in b.find_errors()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_comes_in_file_order(spark, tmp_path):
+    a = LogAnalyzer(lens(spark, SF).repartition(7), OPTS)
+    a.export_csv(str(tmp_path / "csv"))
+    got = []
+    for f in sorted(glob.glob(str(tmp_path / "csv" / "part-*.csv"))):
+        with open(f, newline="") as fh:
+            got += [(r[0], r[5]) for r in list(csv.reader(fh))[1:]]
+    want = [(r.timestamp.isoformat(), r.message) for r in a.entries.orderBy("file_path", "block_start", "line_seq").collect()]
+    assert got == want and len(got) > 100
 
 
 def test_reports_come_in_their_order(spark):
