@@ -27,8 +27,12 @@ are not read. ``docs`` should be a stored table, as rows are numbered while it i
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +41,17 @@ WINDOW = 13
 BLOCK_CHARS = 4 << 20       # text of a block, about
 RANGE_WINDOWS = 4 << 20     # windows in a hash range, at most about
 SPARE_BITS = 5              # cells of the sketch: 2**5 times the windows or more
+LONG_WORD = 64              # bytes
+MIX = 0xBF58476D1CE4E5B9
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 PIECES = "range int, block int, body binary"
 ANSWERS = "block int, step int, range int, bits binary"
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
 
 def _bits_for(n: float) -> int:
     return max(0, int(n) - 1).bit_length()
@@ -64,42 +73,101 @@ def _unpack(body: memoryview, n: int) -> tuple[np.ndarray, int]:
     return np.cumsum(gaps, dtype=np.uint64), 9 + (n - 1) * width
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    """Positions where a run of equal values begins; ``new`` tells it for all but the first value."""
+    return np.flatnonzero(np.concatenate(([True], new)))
+
+
+class Spans:
+    """Words of a column of texts, as places in its bytes."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        column = pc.fill_null(texts, "").cast(pa.large_string()).combine_chunks()
+        _, places, data = column.buffers()
+        bounds = np.frombuffer(places, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        inside = ~_BLANK[self.data]
+        inside[:bounds[0]] = inside[bounds[-1]:] = False
+        cut = np.zeros(len(inside) + 1, bool)  # a text begins or ends here
+        cut[bounds] = True
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | cut[1:-1]
+        ends[:-1] &= ~inside[1:] | cut[1:-1]
+        self.starts, self.lengths = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.lengths -= self.starts
+        self.offsets = np.searchsorted(self.starts, bounds)  # first word of each text
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of each word: a polynomial of its bytes' hashes, mixed; words over LONG_WORD bytes by XXH3."""
+        table = np.array([xxhash.xxh3_64_intdigest(bytes([c]), seed) for c in range(256)], np.uint64)
+        p, out = np.uint64(MULTIPLIERS[seed]), np.empty(len(self.starts), np.uint64)
+        size = np.minimum(self.lengths, LONG_WORD + 1).astype(np.uint8)
+        order = np.argsort(~size, kind="stable")  # long ones first
+        at, total = self.starts[order], np.zeros(len(order), np.uint64)
+        longer = len(order) - np.cumsum(np.bincount(size, minlength=LONG_WORD + 2))  # words of more than k bytes
+        for k in range(LONG_WORD):
+            n = int(longer[k])
+            if not n:
+                break
+            part = total[:n]
+            part *= p
+            part += table[self.data[at[:n] + k]]
+        total ^= total >> np.uint64(29)
+        total *= np.uint64(MIX)
+        total ^= total >> np.uint64(32)
+        out[order] = total
+        for i in np.flatnonzero(self.lengths > LONG_WORD):
+            a = self.starts[i]
+            out[i] = xxhash.xxh3_64_intdigest(self.data[a:a + self.lengths[i]].tobytes(), seed)
+        return out
+
+
 class Block:
-    """The windows of a block's documents as 128-bit keys, in row order."""
+    """The windows of a block's documents as 128-bit keys, ordered by key."""
 
-    def __init__(self, rows: pa.Table, window: int, window_bits: int) -> None:
+    def __init__(self, rows: pa.Table, window: int, cell_bits: int) -> None:
         rows = rows.sort_by("row")
-        self.ids, self.texts = rows.column("doc_id").to_pylist(), rows.column("text")
-        digest = xxhash.xxh3_128_digest
-        hashes, sizes = [], []
-        for text in self.texts:
-            words = (text.as_py() or "").encode().split()
-            sizes.append(len(words))
-            hashes.append(b"".join(map(digest, words)))
-        self.sizes = np.array(sizes, np.int64)
-        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
-        of_word = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+        self.ids, self.texts, self.window = rows.column("doc_id").to_pylist(), rows.column("text"), window
+        self.spans = Spans(self.texts)
+        self.offsets = self.spans.offsets
+        self.sizes = np.diff(self.offsets)
         takes_part = np.array([i is not None for i in self.ids], bool)
         counts = np.where(takes_part, np.maximum(self.sizes - window + 1, 0), 0)
-        owner = np.repeat(np.arange(len(sizes)), counts)
+        owner = np.repeat(np.arange(len(rows)), counts)
         self.starts = np.arange(len(owner)) + (self.offsets[:-1] - np.cumsum(counts) + counts)[owner]
         ids = np.array([i or 0 for i in self.ids], np.int64)
         self.doc = ids[owner]
-        keys = []
-        for half, p in enumerate(MULTIPLIERS):
-            last = max(0, len(of_word) - window + 1)
-            total, factor = np.zeros(last, np.uint64), 1
-            for j in range(window):
-                total += of_word[j:last + j, half] * np.uint64(factor)
-                factor = factor * p % 2**64
-            keys.append(total[self.starts])
-        order = np.argsort(keys[0], kind="stable")
-        self.k1, self.k2, self.doc, self.starts = keys[0][order], keys[1][order], self.doc[order], self.starts[order]
+        key = self._keys(0)
+        order = np.argsort(key)
+        self.k1, self.doc, self.starts = key[order], self.doc[order], self.starts[order]
         # distinct cells: leading bits of the key
-        cell = self.k1 >> np.uint64(64 - window_bits)
-        self.first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[:len(cell)])
+        cell = self.k1 >> np.uint64(64 - cell_bits)
+        self.first = _starts(cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, np.int64)
         self.cells = cell[self.first]
 
+    def _keys(self, half: int) -> np.ndarray:
+        """Sum of p**j times the hash of word j for each window, by sums over the whole block."""
+        of_word = self.spans.hashes(half)
+        p, room = MULTIPLIERS[half], 1 << _bits_for(len(of_word) + 1)
+        sums = np.zeros(len(of_word) + 1, np.uint64)
+        np.cumsum(of_word * _powers(p, room)[:len(of_word)], out=sums[1:])
+        return (sums[self.starts + self.window] - sums[self.starts]) * _powers(pow(p, -1, 2**64), room)[self.starts]
+
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        """Whether a word lies in a window that begins at ``starts``."""
+        edge = np.zeros(int(self.offsets[-1]) + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + self.window, -1)
+        return np.cumsum(edge[:-1]) > 0
+
     def cell_sizes(self) -> np.ndarray:
         return np.diff(np.append(self.first, len(self.k1)))
 
@@ -112,11 +180,24 @@ class Block:
     def narrow(self, passed: np.ndarray) -> None:
         """Keeps the windows of cells that ``passed`` and sorts them into distinct keys with their least doc_id."""
         keep = np.repeat(passed, self.cell_sizes())
-        k1, k2, doc, starts = self.k1[keep], self.k2[keep], self.doc[keep], self.starts[keep]
-        order = np.lexsort((doc, k2, k1))
-        self.k1, self.k2, self.doc, self.starts = k1[order], k2[order], doc[order], starts[order]
-        new = np.concatenate(([True], (self.k1[1:] != self.k1[:-1]) | (self.k2[1:] != self.k2[:-1])))[:len(order)]
-        self.first = np.flatnonzero(new)
+        self.k1, self.doc, self.starts = self.k1[keep], self.doc[keep], self.starts[keep]
+        arrays = (self.k1, self._keys(1), self.doc, self.starts)
+        (self.k1, self.k2, self.doc, self.starts), self.first = _runs(*arrays)
+        self.least = np.minimum.reduceat(self.doc, self.first) if len(self.first) else self.doc
+
+
+def _runs(k1: np.ndarray, k2: np.ndarray, *others: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays, in order of ``k1`` already, with runs of equal (k1, k2), and where the runs begin."""
+    arrays = [k1, k2, *others]
+    if not len(k1):
+        return arrays, np.zeros(0, np.int64)
+    new = k1[1:] != k1[:-1]
+    other = k2[1:] != k2[:-1]
+    if (~new & other).any():  # two keys share their first half
+        order = np.lexsort((k2, k1))
+        arrays = [x[order] for x in arrays]
+        other = arrays[1][1:] != arrays[1][:-1]
+    return arrays, _starts(new | other)
 
 
 def _by_range(values: np.ndarray, range_bits: int, bits: int):
@@ -169,8 +250,9 @@ def merge_sketches(pieces: pa.Table) -> pa.Table:
         cells.append(_unpack(raw[4 + flags:], n)[0])
     sizes = [len(c) for c in cells]
     cell, both = np.concatenate(cells), np.concatenate(two)
-    order = np.argsort(cell, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1])))
+    order = np.argsort(cell)
+    ordered = cell[order]
+    first = _starts(ordered[1:] != ordered[:-1])
     count = np.add.reduceat(both[order].astype(np.int64) + 1, first)
     passed = np.empty(len(cell), bool)
     passed[order] = np.repeat(count >= 2, np.diff(np.append(first, len(cell))))
@@ -179,7 +261,7 @@ def merge_sketches(pieces: pa.Table) -> pa.Table:
 
 
 def _candidates(block: Block, number: int, range_bits: int) -> pa.Table:
-    k1, k2, doc = block.k1[block.first], block.k2[block.first], block.doc[block.first]
+    k1, k2, doc = block.k1[block.first], block.k2[block.first], block.least
     out = []
     for r, s in _by_range(k1, range_bits, 64):
         ids, index = np.unique(doc[s], return_inverse=True)
@@ -202,34 +284,29 @@ def group_exactly(pieces: pa.Table) -> pa.Table:
         doc.append(ids[np.frombuffer(raw, "<u2" if m <= 1 << 16 else "<u4", n, 8 + 16 * n + 8 * m)])
     sizes = [len(k) for k in k1]
     a, b, d = np.concatenate(k1), np.concatenate(k2), np.concatenate(doc)
-    order = np.lexsort((d, b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    least = np.repeat(d[order][first], np.diff(np.append(first, len(d))))
+    order = np.argsort(a)
+    (_, _, d, order), first = _runs(a[order], b[order], d[order], order)
+    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
     smaller = np.empty(len(d), bool)
-    smaller[order] = least < d[order]
+    smaller[order] = least < d
     parts = np.split(smaller, np.cumsum(sizes)[:-1])
     return _answers(2, pieces.column("range")[0].as_py(), pieces.column("block").to_pylist(), [_bits(p) for p in parts])
 
 
-def _keep(block: Block, smaller: np.ndarray, window: int) -> pa.Table:
+def _keep(block: Block, smaller: np.ndarray) -> pa.Table:
     """Rows of the result: words under a window of a smaller document are left out."""
     sizes = np.diff(np.append(block.first, len(block.k1)))
-    gone = np.repeat(smaller, sizes)
-    if len(sizes):
-        gone |= block.doc > np.repeat(block.doc[block.first], sizes)
-    edge = np.zeros(int(block.offsets[-1]) + 1, np.int64)
-    np.add.at(edge, block.starts[gone], 1)
-    np.add.at(edge, block.starts[gone] + window, -1)
-    removed = np.cumsum(edge[:-1]) > 0
-    n_removed, kept = [], []
-    for text, a, b in zip(block.texts, block.offsets[:-1], block.offsets[1:]):
-        words, out = (text.as_py() or "").encode().split(), removed[a:b]
-        n = int(out.sum())
-        n_removed.append(n)
-        kept.append(b" ".join(words if not n else [words[i] for i in np.flatnonzero(~out)]))
+    gone = np.repeat(smaller, sizes) | (block.doc > np.repeat(block.least, sizes))
+    left = ~block.covered(block.starts[gone])
+    n_left, kept = [], []
+    for text, a, b in zip(block.texts, block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
+        words, out = (text.as_py() or "").encode().split(), left[a:b]
+        n = int(np.count_nonzero(out))
+        n_left.append(n)
+        kept.append(b" ".join(words if n == len(words) else compress(words, out.tolist())))
     return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "n_words": pa.array(block.sizes, pa.int64()),
-                     "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array([k.decode() for k in kept], pa.string())})
+                     "n_removed": pa.array(block.sizes - np.array(n_left, np.int64), pa.int64()),
+                     "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
@@ -260,7 +337,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, block_chars: int =
         return _candidates(narrowed(t, answers), number(t), range_bits)
 
     def keep(t: pa.Table, answers: pa.Table) -> pa.Table:
-        return _keep(narrowed(t, answers), _read(answers, 2), window)
+        return _keep(narrowed(t, answers), _read(answers, 2))
 
     passed = dealt.groupBy("block").applyInArrow(sketch, PIECES).groupBy("range").applyInArrow(merge_sketches, ANSWERS)
     found = (dealt.groupBy("block").cogroup(passed.groupBy("block")).applyInArrow(candidates, PIECES)

@@ -1,0 +1,112 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from helpers import DOCS, docs_of, odd_texts, with_clashing_columns, words
+from logarbor.llm import window_dedup as wd
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SMALL = {"block_chars": 2000, "range_windows": 128}
+
+
+def brute_force(rows, window=13):
+    first, cut = {}, [WORD.findall(t or "") for _, t in rows]
+    for (i, _), ws in zip(rows, cut):
+        for k in range(len(ws) - window + 1 if i is not None else 0):
+            key = tuple(ws[k:k + window])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for (i, _), ws in zip(rows, cut):
+        gone = [False] * len(ws)
+        for k in range(len(ws) - window + 1 if i is not None else 0):
+            if first[tuple(ws[k:k + window])] < i:
+                gone[k:k + window] = [True] * window
+        out.append((i, len(ws), sum(gone), " ".join(w for w, g in zip(ws, gone) if not g)))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
+
+
+def corpus(seed=3):
+    rng = random.Random(seed)
+    passages = [words(rng, n) for n in (12, 13, 14, 60, 200)]
+    texts = odd_texts() + [words(rng, 30)] * 3
+    for k in range(60):
+        parts = [words(rng, rng.randrange(0, 40)) for _ in range(3)] + rng.sample(passages, 2)
+        rng.shuffle(parts)
+        texts.append(rng.choice(["  ", "\n", "\t"]).join(parts))
+    return texts + [" ".join([words(rng, 13)] * 5)]
+
+
+@pytest.mark.parametrize("options", [SMALL, {}])
+def test_equals_brute_force(spark, options):
+    texts = corpus()
+    docs = with_clashing_columns(docs_of(spark, texts)).repartition(5)
+    assert got(wd.remove_repeats(docs, **options)) == brute_force(list(enumerate(texts)))
+
+
+def test_a_sketch_without_spare_cells_loses_nothing(spark):
+    """With cells shared by many windows the estimates are far too high; the exact pass still decides."""
+    texts = corpus(5)
+    docs = docs_of(spark, texts)
+    assert got(wd.remove_repeats(docs, spare_bits=-6, **SMALL)) == brute_force(list(enumerate(texts)))
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
+    rows = [(None, a), (1, a), (1, a), (2, a), (7, b), (7, b), (None, b), (-3, c), (4, c + " " + b), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert got(wd.remove_repeats(docs, **SMALL)) == brute_force(rows)
+
+
+def test_other_windows_and_a_hot_passage(spark):
+    rng = random.Random(4)
+    hot = words(rng, 25)
+    texts = [f"{words(rng, 10)} {hot if k % 3 == 0 else ''} {words(rng, 10)}" for k in range(300)]
+    docs = docs_of(spark, texts)
+    for window in (1, 5):
+        assert got(wd.remove_repeats(docs, window=window, **SMALL)) == brute_force(list(enumerate(texts)), window)
+
+
+def test_empty_table(spark):
+    assert wd.remove_repeats(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_merged_sketch_never_underestimates():
+    rng = np.random.default_rng(1)
+    blocks = [np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(3)]
+    two = [rng.random(len(b)) < 0.2 for b in blocks]
+    rows = [(0, k, len(b).to_bytes(4, "little") + np.packbits(t).tobytes() + wd._pack(b))
+            for k, (b, t) in enumerate(zip(blocks, two))]
+    answer = wd.merge_sketches(wd._pieces(rows))
+    total = {}
+    for b, t in zip(blocks, two):
+        for c, x in zip(b.tolist(), t):
+            total[c] = total.get(c, 0) + 1 + int(x)
+    for k, b in enumerate(blocks):
+        flags = wd._read(answer.filter(pa.compute.equal(answer.column("block"), k)), 1)
+        assert flags.tolist() == [total[c] >= 2 for c in b.tolist()]
+
+
+def test_keys_with_equal_first_half_are_told_apart():
+    k1, k2, doc = (np.array(x, np.uint64) for x in ([5, 5, 5, 9], [2, 1, 2, 1], [8, 7, 6, 5]))
+    (a, b, d), first = wd._runs(k1, k2, doc)
+    assert first.tolist() == [0, 1, 3] and b.tolist() == [1, 2, 2, 1] and sorted(d[1:3].tolist()) == [6, 8]
+
+
+def test_word_places_and_hashes():
+    texts = [None, "", "  a\tbb\x0b\x0c", "ab", "c", "x" * 200 + " ü中 🙂", "x" * 200, "nul\x00 x\x1cy"]
+    spans = wd.Spans(pa.chunked_array([pa.array(texts, pa.string())]))
+    found = [spans.data[a:a + n].tobytes().decode() for a, n in zip(spans.starts, spans.lengths)]
+    assert found == [w for t in texts for w in WORD.findall(t or "")]
+    assert np.diff(spans.offsets).tolist() == [len(WORD.findall(t or "")) for t in texts]
+    h = spans.hashes(0)
+    by_word = {}
+    for w, x in zip(found, h.tolist()):
+        assert by_word.setdefault(w, x) == x
+    assert len(set(by_word.values())) == len(by_word)
