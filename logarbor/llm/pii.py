@@ -15,7 +15,7 @@ the counts and for the marks. Entities that stand in the same documents count al
 so they are taken together and a text full of entities is no square of pairs.
 
 Counts cover all documents. Term frequencies are counted per task for the words
-that hit a fixed 2**20-bit map of the candidate terms, then summed by an exact join,
+that hit a fixed 2**24-bit map of the candidate terms, then summed by an exact join,
 so what is sent to the tasks does not grow and no other word is shuffled.
 
 Nulls: a null text is empty (no spans); a null doc_id is kept. Repeated rows are
@@ -44,7 +44,8 @@ WINDOW = 5
 SUPPORT = 3
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
-MAP_BITS = 20
+MAP_BITS = 24      # 2 MB; few other words share a bit with a candidate term
+CHUNK_BITS = 32768  # of the bitmap that bitmap_construct_agg makes
 FLUSH_TERMS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -175,13 +176,16 @@ def scan(docs: DataFrame, *, window: int | None = WINDOW, keep: tuple[str, ...]
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): documents that hold each of ``terms``, a table of distinct terms."""
     size = 1 << MAP_BITS
-    hits = np.zeros(size, dtype=bool)
-    slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("slot")).distinct().toPandas()
-    hits[slots["slot"].to_numpy(np.int64)] = True
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(hits).tobytes())
+    slot = F.pmod(F.xxhash64("term"), F.lit(size))
+    chunks = (terms.select(slot.alias("slot")).groupBy(F.expr(f"slot div {CHUNK_BITS}").alias("chunk"))
+              .agg(F.bitmap_construct_agg(F.col("slot") % CHUNK_BITS).alias("bits")).collect())  # the map's bytes at most
+    hits = bytearray(size // 8)
+    for c in chunks:
+        hits[c["chunk"] * CHUNK_BITS // 8:(c["chunk"] + 1) * CHUNK_BITS // 8] = c["bits"]
+    bits = docs.sparkSession.sparkContext.broadcast(bytes(hits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8)).tobytes()
+        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").tobytes()
         digest, mask = xxhash.xxh64_intdigest, size - 1
         df: Counter = Counter()
 
