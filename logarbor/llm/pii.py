@@ -255,11 +255,18 @@ def _near_evidence(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPOR
     held = scanned.select("row", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") < n)
     met = scanned.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.term").distinct()
-    pairs = written(met.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support))
+    co = met.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support)
+
+    def share(df: Column) -> Column:
+        return (F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * df))
+                / F.log2(F.lit(float(n)) / F.col("df_e")))
+
+    # a term stands in all documents where it is near some entity: frequent words cannot pass and are not counted
+    least = met.groupBy("term").agg(F.count_distinct("row").alias("least"))
+    pairs = written(co.join(entities, "entity").join(least, "term").where(share(F.col("least")) >= generalise_at)
+                    .drop("least"))
     df = term_frequencies(docs, pairs.select("term").distinct())
-    share = (F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * F.col("df")))
-             / F.log2(F.lit(float(n)) / F.col("df_e")))
-    reveal = (pairs.join(entities, "entity").join(df, "term").withColumn("share", share)
+    reveal = (pairs.join(df, "term").withColumn("share", share(F.col("df")))
               .where(F.col("share") >= generalise_at)
               .select("entity", "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("kind")))
     return (held.join(reveal, "entity").groupBy("row", "term").agg(F.max("kind").alias("kind"))
