@@ -474,6 +474,11 @@ tn AS (SELECT log_date, service, n, errors, greatest(n - 5, 0) AS overflow, erro
     q["doc_tree_rows"] = _tree_rows(5, "truncate", 80, source="documents")
     q["doc_error_clusters_by_service"] = D + (f"SELECT service, {_cluster_pattern()} AS pattern, count(*) AS n "
                                               f"FROM entries WHERE is_error GROUP BY 1, 2")
+    q["plugin_busiest_minute"] = E + f""",
+minutes AS (SELECT service, date_trunc('minute', timestamp) AS minute, count(*) AS c FROM entries GROUP BY ALL),
+best AS (SELECT service, sum(c)::BIGINT AS n, count(*) AS active_minutes, first(minute ORDER BY c DESC, minute) AS busiest,
+                max(c) AS busiest_n FROM minutes GROUP BY service)
+SELECT service, n, active_minutes, {_t('busiest')} AS busiest, busiest_n FROM best"""
     # the same answers from a landed log
     for name in ("tree_rows", "tree_overflow", "summary", "parse_quality", "format_counts"):
         q[f"landed_{name}"] = q[name]

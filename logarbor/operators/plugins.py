@@ -1,8 +1,8 @@
 """Analysis plugins: named functions entries -> {result name: DataFrame}.
 
 A plugin is declarative: it returns DataFrames built from ``entries`` (per-row
-accumulation becomes groupBy/agg). Custom per-group logic can use
-``groupBy(...).applyInPandas`` inside a plugin. The built-in plugin is the
+accumulation becomes groupBy/agg). A plugin that has to see the entries one by one
+keeps a mergeable state by key: see ``accumulators``. The built-in plugin is the
 error-cluster analysis.
 """
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logarbor.operators import clusters, quality, search, summary, tree
+from logarbor.operators.accumulators import BusiestMinute, accumulator_plugin
 from logarbor.operators.export_frames import csv_frame
 from logarbor.operators.parse import classify, parse, to_entries
 from logarbor.functions.errors import severity
@@ -377,6 +378,15 @@ def q_format_profile_mixed(spark, sf_dir):
     return quality.format_profile(_mixed(spark, sf_dir))
 
 
+# ---- plugins that see the entries one by one -----------------------------------------
+
+@query("plugin_busiest_minute")
+def q_plugin_busiest_minute(spark, sf_dir):
+    a = LogAnalyzer(_lines(spark, sf_dir), CHECK_OPTS,
+                    plugins={"Activity": accumulator_plugin({"busiest_minute": BusiestMinute()})})
+    return as_text_times(a.plugin_results()["Activity"]["busiest_minute"])
+
+
 # ---- long texts: the documents lens ------------------------------------------------------
 
 def _doc_entries(spark: SparkSession, sf_dir: str, opts: AnalyzerOptions = CHECK_OPTS) -> DataFrame:
