@@ -21,6 +21,7 @@ from logarbor.functions import timestamps as ts
 from logarbor.functions.errors import is_error
 from logarbor.functions.formats import DATE_PREFIX, FIELDS, MONTHS, family_matcher
 from logarbor.functions.text import py_strip
+from logarbor.operators.years import YearScan, with_year_column
 from logarbor.options import AnalyzerOptions
 
 LINE_COLUMNS = ("value", "file_path", "block_start", "line_seq")
@@ -191,20 +192,20 @@ def _timestamp_columns(as_of, max_days: int) -> tuple[Column, Column]:
     return F.explode(F.array(raw)).alias("_ts"), F.when(keep, c("_ts")).alias("timestamp")
 
 
-def assign_timestamps(matched: DataFrame, opts: AnalyzerOptions, months: DataFrame | None = None) -> DataFrame:
+def assign_timestamps(matched: DataFrame, opts: AnalyzerOptions, months: DataFrame | None = None,
+                      scan: YearScan | None = None) -> DataFrame:
     """Adds ``timestamp``: NULL when the line gives no entry (no match, bad date, outside the window).
 
-    ``months``: the lines without a year as from ``month_lines``, which the file-order year modes need.
+    ``months``: the lines without a year as from ``month_lines``, which the file-order year modes need
+    where no ``scan`` of them is given.
     """
-    from logarbor.operators.years import with_year_column
-
     c = F.col
     is_bsd = c("route") == "bsd"
     if opts.year_mode == "rollback":
         staged = _with_parts(matched, opts).select("*", _rollback_year(opts.as_of))
     else:
         # transition / sequential: the year depends on earlier lines of the same file
-        staged = _with_parts(with_year_column(matched, opts, months), opts)
+        staged = _with_parts(with_year_column(matched, opts, months, scan=scan), opts)
         staged = staged.withColumn("_year", F.when(is_bsd, c("year")).otherwise(c("_y"))).drop("year")
     gen, timestamp = _timestamp_columns(opts.as_of, opts.max_days)
     keep = [x for x in staged.columns if x not in PART_COLUMNS and x != "_year"]
@@ -238,10 +239,13 @@ def to_entries(classified: DataFrame, opts: AnalyzerOptions) -> DataFrame:
     return classified.filter(F.col("timestamp").isNotNull()).select(*_entry_columns(opts.error_mode))
 
 
-def classify(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:
-    """All lines, each with its format and timestamp (NULL: no entry)."""
-    months = None if opts.year_mode == "rollback" else month_lines(lines, opts)
-    return assign_timestamps(match_lines(lines, opts), opts, months)
+def classify(lines: DataFrame, opts: AnalyzerOptions, scan: YearScan | None = None) -> DataFrame:
+    """All lines, each with its format and timestamp (NULL: no entry).
+
+    ``scan``: year marks of these lines and the state of earlier parts, for a log that arrives in parts.
+    """
+    months = None if opts.year_mode == "rollback" or scan else month_lines(lines, opts)
+    return assign_timestamps(match_lines(lines, opts), opts, months, scan)
 
 
 def parse(lines: DataFrame, opts: AnalyzerOptions) -> DataFrame:

@@ -21,20 +21,23 @@ from pyspark.sql import functions as F
 from logarbor.functions.timestamps import window_bounds
 from logarbor.operators import quality, summary
 from logarbor.operators.parse import classify, to_entries
+from logarbor.operators.years import YearScan
 from logarbor.options import AnalyzerOptions
 from logarbor.sinks.writers import land_entries, read_landed
 
 
-def land_log(lines: DataFrame, opts: AnalyzerOptions, path: str, mode: str = "overwrite", batch: str | None = None) -> str:
+def land_log(lines: DataFrame, opts: AnalyzerOptions, path: str, mode: str = "overwrite", batch: str | None = None,
+             scan: YearScan | None = None) -> str:
     """Parses ``lines`` once and lands them; returns the batch's name.
 
     ``mode``: overwrite replaces all that is there, append adds the batch (and replaces it, if it is there).
+    ``scan``: as for ``classify``.
     """
     spark = lines.sparkSession
     batch = batch or uuid.uuid4().hex
     seen = Observation(f"landing-{batch}")
     made = F.col("timestamp").isNotNull()
-    classified = classify(lines, opts)
+    classified = classify(lines, opts, scan)
     observed = classified.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(made).alias("entries"), *(
         F.count_if(made & (F.col("format") == name)).alias(name) for name in opts.formats))
     land_entries(to_entries(observed, opts), path, mode, batch=batch)

@@ -4,7 +4,8 @@ from datetime import datetime
 from logarbor.operators.parse import parse
 from logarbor.options import AnalyzerOptions
 from logarbor.sources.files import read_lines
-from logarbor.streaming.stream import running_counts, stream_entries, write_entries, write_entries_in_file_order
+from logarbor.streaming.stream import (PARTS, read_daily_counts, running_counts, stream_entries, write_daily_counts,
+                                       write_entries, write_entries_in_file_order)
 
 OPTS = AnalyzerOptions(as_of=datetime(2024, 1, 31), max_days=45)
 LINES = [f"Jan {i % 28 + 1:2d} 1{i % 10}:00:00 web{i % 3} svc{i % 4}[{i}]: message {'error' if i % 5 == 0 else 'ok'} {i}"
@@ -154,3 +155,80 @@ def test_streamed_lines_keep_their_order_and_decoding(spark, tmp_path):
     q.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("file_path", "block_start", "line_seq").collect()
     assert [r.message for r in rows] == [f"n{i}" for i in range(50)]
+
+
+YEAR_ENDS = [["Dec 30 10:00:00 h s: a0", "Dec 31 11:00:00 h s: a1", "2024-01-01T00:00:00Z h s: iso"],
+             ["junk", "Jan  1 09:00:00 h s: b0", "Jan  2 10:00:00 h s: b1", "Dec 31 23:00:00 h s: b2"],
+             ["2024-01-03T00:00:00Z h s: iso without a month before it"],
+             ["Jan  3 09:00:00 h s: c0", "Dec 29 09:00:00 h s: c1", "Jan  4 09:00:00 h s: c2"]]
+
+
+def test_a_log_in_parts_over_micro_batches_keeps_its_year(spark, tmp_path):
+    """Each part comes in a micro-batch of its own, after a restart, and a second log between them."""
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "app.log").write_text("\n".join(x for part in YEAR_ENDS for x in part) + "\n")
+    other = ["Dec 31 08:00:00 h o: x", "Jan  1 08:00:00 h o: y"]
+    (whole / "other.log").write_text("\n".join(other) + "\n")
+    for mode in ("sequential", "transition"):
+        opts = OPTS.replace(year_mode=mode, base_year=2023)
+        src, out = tmp_path / f"in_{mode}", tmp_path / f"out_{mode}"
+        src.mkdir()
+        for k, part in enumerate(YEAR_ENDS):
+            (src / f"app.log.part-{k:03d}").write_text("\n".join(part) + "\n")
+            if k in (0, 3):
+                (src / f"other.log.part{k}").write_text(other[k // 3] + "\n")
+            write_entries_in_file_order(spark, str(src), str(out), str(tmp_path / f"ck_{mode}"), opts,
+                                        parts=PARTS).awaitTermination()
+        columns = ["timestamp", "service", "message"]
+        landed = spark.read.parquet(str(out))
+        want = parse(read_lines(spark, str(whole)), opts)
+        assert sorted(landed.select(columns).collect()) == sorted(want.select(columns).collect()), mode
+        assert len({r.file_path for r in landed.select("file_path").collect()}) == 2
+        got = [r.message for r in landed.where("service = 's'").orderBy("block_start", "line_seq").collect()]
+        assert got == [r.message for r in want.where("service = 's'").orderBy("block_start", "line_seq").collect()]
+        state = spark.read.parquet(str(out / "_years" / "batch=3")).collect()
+        assert sorted((r.file_path.rsplit("/", 1)[1], r.last_m, r.change) for r in state) == [
+            ("app.log", 1, 1), ("other.log", 1, 1)]
+
+
+def test_parts_in_one_micro_batch_and_files_that_are_no_parts(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, part in enumerate(YEAR_ENDS):
+        (src / f"app.log.part{k + 8}").write_text("\n".join(part) + "\n")  # 8, 9, 10, 11: by number, not by name
+    (src / "alone.log").write_text("Dec 31 08:00:00 h o: x\nJan  1 08:00:00 h o: y\n")
+    opts = OPTS.replace(year_mode="sequential", base_year=2023)
+    write_entries_in_file_order(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), opts,
+                                parts=PARTS).awaitTermination()
+    rows = {r.message: r.timestamp.year for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (rows["a1"], rows["b0"], rows["b2"], rows["c0"], rows["c1"], rows["c2"]) == (2023, 2024, 2023, 2024, 2023, 2024)
+    assert (rows["x"], rows["y"]) == (2023, 2024)
+
+
+def test_late_rows_are_counted_and_kept(spark, tmp_path):
+    """Files out of order: counts in time and late ones together are those of a batch."""
+    from pyspark.sql import functions as F
+
+    src = tmp_path / "in"
+    src.mkdir()
+    files = [["Jan 10 10:00:00 h s: a error", "Jan 10 11:00:00 h t: b"],
+             ["Jan 12 00:00:00 h s: c", "Jan  9 10:00:00 h s: same batch, no day is closed by it"],
+             ["Jan 11 10:00:00 h s: still open", "Jan 10 12:00:00 h s: d error late", "Jan 10 12:00:01 h s: e late"],
+             ["no entry"],
+             ["Jan  5 10:00:00 h u: f late"]]
+    stream = stream_entries(spark, str(src), OPTS)
+    for k, lines in enumerate(files):
+        (src / f"f{k}.log").write_text("\n".join(lines) + "\n")
+        write_daily_counts(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(str(r.log_date), r.service): (r.n, r.errors, r.late_n, r.late_errors, r.closed)
+           for r in read_daily_counts(spark, str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-10", "s"): (1, 1, 2, 1, True), ("2024-01-10", "t"): (1, 0, 0, 0, True),
+                   ("2024-01-12", "s"): (1, 0, 0, 0, False), ("2024-01-09", "s"): (1, 0, 0, 0, True),
+                   ("2024-01-11", "s"): (1, 0, 0, 0, False), ("2024-01-05", "u"): (0, 0, 1, 0, True)}
+    batch = parse(read_lines(spark, str(src)), OPTS)
+    want = batch.groupBy("log_date", "service").agg(F.count("*").alias("n"), F.count_if("is_error").alias("e")).collect()
+    assert {k: (v[0] + v[2], v[1] + v[3]) for k, v in got.items()} == {(str(r.log_date), r.service): (r.n, r.e) for r in want}
+    late = spark.read.parquet(str(tmp_path / "out" / "late"))
+    assert sorted(r.message for r in late.collect()) == ["d error late", "e late", "f late"]
+    assert "raw_line" in late.columns
