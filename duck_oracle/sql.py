@@ -480,8 +480,33 @@ best AS (SELECT service, sum(c)::BIGINT AS n, count(*) AS active_minutes, first(
                 max(c) AS busiest_n FROM minutes GROUP BY service)
 SELECT service, n, active_minutes, {_t('busiest')} AS busiest, busiest_n FROM best"""
     # the same answers from a landed log
-    for name in ("tree_rows", "tree_overflow", "summary", "parse_quality", "format_counts"):
+    for name in ("tree_rows", "tree_overflow", "summary", "parse_quality", "format_counts", "error_clusters"):
         q[f"landed_{name}"] = q[name]
+    measured = {"services": "service", "hosts": "host", "messages": "message",
+                "error_patterns": f"CASE WHEN is_error THEN {_cluster_pattern()} END"}
+    q["landed_distinct"] = E + " UNION ALL ".join(
+        f"SELECT '{what}' AS what, count(DISTINCT {value}) AS n, true AS near FROM entries"
+        for what, value in measured.items())
+    # two batches by the parity of the line; the day that the window's end cuts is one piece
+    q["landed_top_patterns"] = E + f""",
+counted AS (
+    SELECT CASE WHEN log_date > DATE '2024-01-31' THEN -1 ELSE line_seq % 2 END AS batch, log_date,
+           {_cluster_pattern()} AS pattern, count(*) AS n FROM entries WHERE is_error GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY batch, log_date ORDER BY n DESC, pattern) AS rank FROM counted
+), listed AS (
+    SELECT * FROM ranked WHERE rank <= CASE WHEN batch < 0 THEN 1000 ELSE 25 END
+), cuts AS (
+    SELECT batch, log_date, max(n) AS cut FROM ranked
+    WHERE rank > CASE WHEN batch < 0 THEN 1000 ELSE 25 END GROUP BY ALL
+), bounds AS (
+    SELECT pattern, sum(n)::BIGINT AS n, (sum(n) + (SELECT coalesce(sum(cut), 0) FROM cuts)
+           - sum(coalesce(cut, 0)))::BIGINT AS n_max
+    FROM listed LEFT JOIN cuts USING (batch, log_date) GROUP BY pattern
+), top AS (SELECT * FROM bounds ORDER BY n DESC, pattern LIMIT 10)
+SELECT pattern, n, n_max, n >= greatest((SELECT coalesce(sum(cut), 0) FROM cuts),
+       coalesce((SELECT max(n_max) FROM bounds WHERE pattern NOT IN (SELECT pattern FROM top)), 0)) AS sure
+FROM top"""
     profile = ("SELECT '{}' AS file_path, CASE WHEN ts IS NOT NULL THEN nullif(host, '') END AS host, "
                "CASE WHEN ts IS NOT NULL THEN format END AS format, count(*) AS n FROM classified GROUP BY ALL")
     q["format_profile"] = E + profile.format("events")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logarbor.functions.formats import BY_NAME
-from logarbor.operators import clusters, quality, search, summary, tree
+from logarbor.operators import clusters, quality, search, sketches, summary, tree
 from logarbor.operators.parse import classify, parse
 from logarbor.operators.plugins import Plugin, registered
 from logarbor.options import AnalyzerOptions
@@ -135,6 +135,19 @@ class LogAnalyzer:
     def error_clusters_by_service(self) -> DataFrame:
         return clusters.error_clusters_by_service(self.entries)
 
+    def distinct_estimates(self) -> DataFrame:
+        """(what, estimate) of a log landed with day summaries: distinct services, hosts, messages, error patterns."""
+        return sketches.distinct_estimates(self._summaries("_sketches", sketches.day_sketches))
+
+    def top_patterns(self, k: int = 10) -> DataFrame:
+        """(pattern, n, n_max, sure) of a log landed with day summaries; ``error_clusters`` is the exact report."""
+        return sketches.top_patterns(self._summaries("_patterns", sketches.frequent_patterns), k)
+
+    def _summaries(self, name: str, of) -> DataFrame:
+        if self._beside is None:
+            raise ValueError("day summaries are kept beside landed entries: land(patterns=...), then from_landed")
+        return landing.landed_summaries(*self._beside, self.options, name, of)
+
     def find_errors(self, service: str | None = None) -> DataFrame:
         return search.find_errors(self.entries, service, stored=self._landed is not None)
 
@@ -241,8 +254,11 @@ class LogAnalyzer:
     def export_csv(self, path: str, ordered: bool = True) -> None:
         writers.write_csv(self.entries, path, ordered=ordered)
 
-    def land(self, path: str, mode: str = "overwrite", batch: str | None = None) -> str:
-        """Entries, totals and parse quality under ``path``, from one pass over the log; returns the batch's name."""
+    def land(self, path: str, mode: str = "overwrite", batch: str | None = None, patterns: int | None = None) -> str:
+        """Entries, totals and parse quality under ``path``, from one pass over the log; returns the batch's name.
+
+        ``patterns``: keep day summaries as well, with so many error patterns a day.
+        """
         if self.lines is None:
             raise ValueError("this log is landed already")
-        return landing.land_log(self.lines, self.options, path, mode, batch)
+        return landing.land_log(self.lines, self.options, path, mode, batch, patterns=patterns)

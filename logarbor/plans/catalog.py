@@ -28,6 +28,7 @@ from logarbor.sources.lens import documents_lens, lens, mixed_lens
 # Fixed values of the checks: the lens instant and window.
 AS_OF = datetime(2024, 1, 31, 0, 0, 0)
 CHECK_OPTS = AnalyzerOptions(as_of=AS_OF, max_days=45)
+LISTED = 25  # error patterns a day that the landed checks keep
 SHIFT_YEAR_END = 15  # days: moves the lens across Dec 2023 -> Jan 2024
 
 
@@ -331,12 +332,12 @@ def q_csv_frame(spark, sf_dir):
 
 # ---- landed once, then reported ----------------------------------------------------
 
-def _landed(spark: SparkSession, sf_dir: str) -> LogAnalyzer:
+def _landed(spark: SparkSession, sf_dir: str, patterns: int | None = None) -> LogAnalyzer:
     """The lens landed in two batches (odd and even lines), as a log that grows."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
     lines = _lines(spark, sf_dir)
     for k, mode in enumerate(("overwrite", "append")):
-        LogAnalyzer(lines.filter(F.col("line_seq") % 2 == k), CHECK_OPTS).land(path, mode, batch=f"part{k}")
+        LogAnalyzer(lines.filter(F.col("line_seq") % 2 == k), CHECK_OPTS).land(path, mode, f"part{k}", patterns)
     return LogAnalyzer.from_landed(spark, path, CHECK_OPTS)
 
 
@@ -368,6 +369,31 @@ def q_landed_format_counts(spark, sf_dir):
     return _landed(spark, sf_dir).format_counts()
 
 
+@query("landed_distinct")
+def q_landed_distinct(spark, sf_dir):
+    """Exact distinct counts of landed entries, and whether the day sketches' union comes within 3 % of them."""
+    a = _landed(spark, sf_dir, patterns=LISTED)
+    e = a.entries
+    counts = e.agg(F.count_distinct("service").alias("services"), F.count_distinct("host").alias("hosts"),
+                   F.count_distinct("message").alias("messages"),
+                   F.count_distinct(F.when(F.col("is_error"), clusters.error_pattern(F.col("message"))))
+                   .alias("error_patterns"))
+    exact = counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n"))
+                                              for c in counts.columns))).alias("row")).select("row.*")
+    return (exact.join(a.distinct_estimates(), "what")
+            .select("what", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.03 * F.col("n")).alias("near")))
+
+
+@query("landed_top_patterns")
+def q_landed_top_patterns(spark, sf_dir):
+    return _landed(spark, sf_dir, patterns=LISTED).top_patterns(10)
+
+
+@query("landed_error_clusters")
+def q_landed_error_clusters(spark, sf_dir):
+    return _landed(spark, sf_dir).error_clusters(10)
+
+
 @query("format_profile")
 def q_format_profile(spark, sf_dir):
     return quality.format_profile(classify(_lines(spark, sf_dir), CHECK_OPTS))

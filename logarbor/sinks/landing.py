@@ -3,6 +3,8 @@
     path/batch=<b>/log_date=<d>/*.parquet   entries
     path/_totals/batch=<b>/                 cells (day, hour, service, level) with entries and errors
     path/_quality/batch=<b>/                lines by the format that made an entry of them (NULL: none did)
+    path/_sketches/batch=<b>/               on request: sketches of distinct counts by day
+    path/_patterns/batch=<b>/               on request: frequent error patterns by day, with what was left out
 
 Every batch (one ``land_log``, one micro-batch of a stream) has folders of its own, so a rerun of
 a failed batch overwrites what it left, and totals grow by a batch's cells. They are added up on
@@ -12,6 +14,7 @@ read: reports that need totals scan the cells, not the entries.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import time
 
 from pyspark.errors import AnalysisException
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logarbor.functions.timestamps import window_bounds
-from logarbor.operators import quality, summary
+from logarbor.operators import quality, sketches, summary
 from logarbor.operators.parse import classify, to_entries
 from logarbor.operators.years import YearScan
 from logarbor.options import AnalyzerOptions
@@ -27,11 +30,12 @@ from logarbor.sinks.writers import land_entries, read_landed
 
 
 def land_log(lines: DataFrame, opts: AnalyzerOptions, path: str, mode: str = "overwrite", batch: str | None = None,
-             scan: YearScan | None = None) -> str:
+             scan: YearScan | None = None, patterns: int | None = None) -> str:
     """Parses ``lines`` once and lands them; returns the batch's name.
 
     ``mode``: overwrite replaces all that is there, append adds the batch (and replaces it, if it is there).
-    ``scan``: as for ``classify``.
+    ``scan``: as for ``classify``. ``patterns``: keep day summaries (``operators.sketches``) with so many error
+    patterns a day; they read the landed batch once more for each of the two.
     """
     spark = lines.sparkSession
     batch = batch or uuid.uuid4().hex
@@ -56,6 +60,10 @@ def land_log(lines: DataFrame, opts: AnalyzerOptions, path: str, mode: str = "ov
     else:  # no entries, or a lost task was run again and counted twice: count the log once more
         formats = quality.format_counts(classified)
     formats.coalesce(1).write.mode("overwrite").parquet(f"{path}/_quality/batch={batch}")
+    if patterns is not None:
+        sketches.day_sketches(landed).write.mode("overwrite").parquet(f"{path}/_sketches/batch={batch}")
+        frequent = sketches.frequent_patterns(landed, patterns)
+        frequent.write.mode("overwrite").parquet(f"{path}/_patterns/batch={batch}")
     return batch
 
 
@@ -66,6 +74,15 @@ def _beside(spark: SparkSession, path: str, name: str) -> DataFrame | None:
         return None
 
 
+def _uncounted(spark: SparkSession, path: str, name: str) -> list[str]:
+    """Names of batches that were landed without ``name``; an empty table is a file as well."""
+    def batches(folder: str) -> set[str]:
+        files = spark.read.parquet(f"{path}/{folder}").inputFiles()
+        return {part.removeprefix("batch=") for f in files for part in f.split("/")[-2:-1]}
+
+    return sorted(batches("_quality") - batches(name))
+
+
 def landed_formats(spark: SparkSession, path: str) -> DataFrame | None:
     """(format, n) over all batches, as ``quality.format_counts`` of the landed lines; None if it was not kept."""
     kept = _beside(spark, path, "_quality")
@@ -79,11 +96,25 @@ def landed_cells(spark: SparkSession, path: str, opts: AnalyzerOptions) -> DataF
     instant; those two are counted from their entries.
     """
     kept = _beside(spark, path, "_totals")
-    if kept is None:
-        return None
+    return None if kept is None else _in_window(spark, path, opts, kept, summary.cell_counts)
+
+
+def landed_summaries(spark: SparkSession, path: str, opts: AnalyzerOptions, name: str,
+                     of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pieces of ``name`` in the day window, from what every batch kept; ``of`` makes them from entries."""
+    kept = _beside(spark, path, name)
+    missing = ["all"] if kept is None else _uncounted(spark, path, name)
+    if missing:
+        raise ValueError(f"landed without day summaries (land(patterns=...)): batch {', '.join(missing)}")
+    return _in_window(spark, path, opts, kept, of)
+
+
+def _in_window(spark: SparkSession, path: str, opts: AnalyzerOptions, kept: DataFrame,
+               of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``kept`` for the days that lie whole in the window; the days it cuts are counted by ``of`` anew."""
     lo, hi = window_bounds(opts.as_of, opts.max_days)
     first = F.col("log_date") > F.lit(lo.date()) if lo.time() > time() else F.col("log_date") >= F.lit(lo.date())
     whole = kept.filter(first & (F.col("log_date") < F.lit(hi.date())))
     cut = [hi.date()] + ([lo.date()] if lo.time() > time() else [])
     edges = read_landed(spark, path, opts).filter(F.col("log_date").isin(cut))
-    return whole.unionByName(summary.cell_counts(edges))
+    return whole.unionByName(of(edges))
