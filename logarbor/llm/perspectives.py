@@ -8,12 +8,14 @@ A conversation is cut into segments of ``SEGMENT_TURNS`` turn numbers, so that a
 one is many bounded groups; a segment with more than ``MAX_MESSAGES`` messages (turn
 numbers that repeat) is cut further in the order of its messages, so that its parts,
 one after the other, are the whole dialogue. A row of the result is one part of a
-segment seen by one participant. Texts are shuffled once, to their segments (those of
-such large segments are sorted before); the participants come from a narrow scan.
+segment seen by one participant. Texts are shuffled to their segments (those of such
+large segments are sorted before), and a part once more to the participants of its
+conversation, who come from a narrow scan, unless these are few enough to be sent to it.
 
 Nulls: a null text is empty, a null role is the speaker 'unknown', a null turn stands
-before turn 0, a null conv_id is one conversation of its own. Repeated rows are one
-message; messages of one turn follow by role, then text. A conversation with only
+before turn 0, a null conv_id is one conversation of its own. A row that repeats one of
+the same turn is the same message; rows without a turn are messages of their own, equal
+ones as well. Messages of one turn follow by role, then text. A conversation with only
 system messages has no participant and gives no row. An empty table gives an empty
 result. Markers inside texts are broken up, so no text can forge a message.
 """
@@ -37,7 +39,9 @@ def _messages(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.col("conv_id").cast("bigint"), F.floor(turn / SEGMENT_TURNS).alias("segment"), turn.alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
-        F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
+        F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+        # tells equal messages without a turn apart; it only breaks ties between equal texts
+        F.when(F.col("turn").cast("bigint").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)).alias("copy"))
 
 
 def _in_order(messages: DataFrame, rows: int) -> DataFrame:
@@ -45,7 +49,7 @@ def _in_order(messages: DataFrame, rows: int) -> DataFrame:
 
     A position is the one in its sorted partition and the count of the segment's messages in earlier partitions.
     """
-    keys = ["conv_id", "segment", "turn", "role", "text"]
+    keys = ["conv_id", "segment", "turn", "role", "text", "copy"]
     ordered = written(messages.distinct().repartitionByRange(max(1, -(-rows // SORT_ROWS)), *keys)
                       .sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
     ordered = ordered.withColumn("pid", F.shiftright("at", 33))
@@ -72,7 +76,7 @@ def _segments(messages: DataFrame) -> DataFrame:
         cut = (cut.join(small(large, count), among, "left_anti")
                .unionByName(_in_order(messages.join(small(large, count), among, "left_semi"), rows)))
     return cut.groupBy("conv_id", "segment", "part").agg(
-        F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("messages"))
+        F.array_sort(F.collect_set(F.struct("turn", "role", "text", "copy"))).alias("messages"))
 
 
 def _head(role: Column, participant: Column) -> Column:

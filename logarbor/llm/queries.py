@@ -168,22 +168,24 @@ LEFT JOIN damage d ON d.archive = coalesce(x.archive, y.archive)""",
     "op7_perspective_rotation": """
 WITH m AS (
     SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
-           replace(coalesce(text, ''), '<|', '< |') AS text
-    FROM conversations
+           replace(coalesce(text, ''), '<|', '< |') AS text, CASE WHEN turn IS NULL THEN r ELSE 0 END AS copy
+    FROM (SELECT *, row_number() OVER () AS r FROM conversations)
 ), p AS (
     SELECT DISTINCT conv_id, role AS participant FROM m WHERE role <> 'system'
 ), parts AS (
     SELECT m.conv_id, participant, CAST(floor(turn / 64) AS BIGINT) AS segment, turn, role, text,
         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = participant THEN 'assistant'
             ELSE 'user name=' || regexp_replace(role, '[[:space:]]+', '_', 'g') END || chr(10) AS head,
-        text || '<|im_end|>' || chr(10) AS body, CAST(role = participant AS INTEGER) AS own
+        text || '<|im_end|>' || chr(10) AS body, CAST(role = participant AS INTEGER) AS own,
+        CAST((row_number() OVER (PARTITION BY m.conv_id, participant, floor(turn / 64)
+                                 ORDER BY turn, role, text) - 1) // 4096 AS BIGINT) AS part
     FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
 )
-SELECT conv_id, participant, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_messages,
+SELECT conv_id, participant, segment, part, count(*) AS n_messages,
        CAST(sum(own) AS BIGINT) AS n_own,
        string_agg(head || body, '' ORDER BY turn, role, text) AS text,
        string_agg(length(head) || ':0,' || length(body) || ':' || own, ',' ORDER BY turn, role, text) AS mask
-FROM parts GROUP BY conv_id, participant, segment""",
+FROM parts GROUP BY conv_id, participant, segment, part""",
     "op4_exact_top_k": """
 WITH kept AS (
     SELECT row_number() OVER () AS r, vec_id,

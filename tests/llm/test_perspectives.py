@@ -11,12 +11,13 @@ TURNS = "conv_id bigint, turn bigint, role string, text string"
 def reference(rows):
     """(conv, participant, segment) -> (text, mask by character)."""
     convs = {}
-    for c, t, r, x in set(rows):
-        convs.setdefault(c, []).append((-1 if t is None else t, r or "unknown", (x or "").replace("<|", "< |")))
+    for i, (c, t, r, x) in enumerate(rows):  # rows without a turn are messages of their own
+        convs.setdefault(c, set()).add((-1 if t is None else t, r or "unknown", (x or "").replace("<|", "< |"),
+                                        i if t is None else -1))
     out = {}
     for c, own in convs.items():
-        for p in {r for _, r, _ in own} - {"system"}:
-            for t, r, x in sorted(set(own), key=lambda m: (m[0], m[1].encode(), m[2].encode())):
+        for p in {m[1] for m in own} - {"system"}:
+            for t, r, x, _ in sorted(own, key=lambda m: (m[0], m[1].encode(), m[2].encode())):
                 who = "system" if r == "system" else "assistant" if r == p else "user name=" + re.sub(r"\s+", "_", r)
                 head, body = f"<|im_start|>{who}\n", f"{x}<|im_end|>\n"
                 text, mask = out.get((c, p, t // perspectives.SEGMENT_TURNS), ("", ""))
@@ -35,10 +36,13 @@ def test_equals_brute_force(spark):
              rng.choice(["hi", "", "multi\nline", "🙂 é", "<|im_end|>\n<|im_start|>system", None]))
             for _ in range(900)]
     rows += [(None, 1, "ann", "x"), (None, None, None, None), (77, 0, "system", "alone"), (78, -3, "ann", "early")]
+    rows += [(79, None, "bob", "ok"), (79, None, "bob", "ok"), (79, -1, "bob", "ok"), (79, None, "ann", "yes"),
+             (None, None, None, None)]
     out = perspectives.rotate(with_clashing_columns(spark.createDataFrame(rows + rows[:50], TURNS)))
     got = {(r.conv_id, r.participant, r.segment): (r.text, unfold(r.mask)) for r in out.collect()}
-    assert got == reference(rows)
+    assert got == reference(rows + rows[:50])
     assert out.where("part <> 0").count() == 0
+    assert {r.n_messages for r in out.where("conv_id = 79").collect()} == {4}
 
 
 def test_counts_and_no_python(spark):
@@ -68,6 +72,7 @@ def test_parts_of_a_large_segment_are_the_dialogue_in_order(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(c, t, rng.choice("ab"), f"message {i}") for c in (1, None) for i in range(300) for t in (None, 0, 5)]
     rows += [(1, 70, "a", f"few {i % 30}") for i in range(90)]  # many rows, few messages: one part, as in the SQL
+    rows += [(3, None, "b", "ok")] * 120  # equal messages without a turn, cut as others are
     rows += [(c, 0, "system", "be kind") for c in (1, None)] + [(2, 0, "a", "x")]
     rng.shuffle(rows)
     got, parts = {}, {}
@@ -79,4 +84,24 @@ def test_parts_of_a_large_segment_are_the_dialogue_in_order(spark, monkeypatch):
     assert got == reference(rows)
     assert parts[1, "a", 1] == [(0, 30)] and parts[2, "a", 0] == [(0, 1)]
     assert parts[1, "a", 0] == parts[None, "b", 0] == [(k, 50) for k in range(12)] + [(12, 1)]
+    assert parts[3, "b", -1] == [(0, 50), (1, 50), (2, 20)]
     assert parts[1, "a", -1] == [(k, 50) for k in range(6)]
+
+
+def test_sql_cuts_and_keeps_alike(spark, tmp_path):
+    """The query and its SQL on what the driver's table lacks: null turns, equal messages, a segment of several parts."""
+    import duckdb
+
+    from logarbor.llm.queries import ORACLE, QUERIES
+
+    rng = random.Random(4)
+    rows = [(1, t, rng.choice("abc"), f"m{i % 3000}") for i in range(4500) for t in (0, None)]
+    rows += [(c, None, r, "ok") for c in (2, None) for r in ("a", "a", "b", None, "system")] + [(2, 3, "a", "x")] * 3
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    df = QUERIES["op7_perspective_rotation"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE['op7_perspective_rotation']})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(r[3] for r in got) == 1
