@@ -143,15 +143,19 @@ WITH page AS (
         || chr(13) || chr(10) || 'Content-Length: ' || strlen(bad) || chr(13) || chr(10) || chr(13) || chr(10)
         || bad || chr(13) || chr(10) || chr(13) || chr(10) AS bad
     FROM bodies
+), hashed AS (
+    SELECT page_id, strlen(good) AS length, sha256(good) AS good, sha256(bad) AS bad FROM records
+), dealt AS (
+    SELECT *, coalesce(CAST(floor(page_id / 1000) AS BIGINT), -1 - CAST('0x' || substr(good, 1, 2) AS BIGINT)) AS archive
+    FROM hashed
 ), placed AS (
-    SELECT page_id // 1000 AS archive, page_id, strlen(good) AS length, sha256(good) AS good, sha256(bad) AS bad,
-        CAST(coalesce(sum(strlen(good)) OVER (PARTITION BY page_id // 1000 ORDER BY page_id
+    SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, good
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
-    FROM records
+    FROM dealt
 ), a AS (
     SELECT archive, page_id, "offset", length, good AS digest FROM placed
 ), b AS (
-    SELECT archive, page_id, "offset", length, bad AS digest FROM placed WHERE page_id % 101 <> 11
+    SELECT archive, page_id, "offset", length, bad AS digest FROM placed WHERE (page_id % 101) IS DISTINCT FROM 11
     UNION ALL
     SELECT archive, page_id, "offset" + 1, length, good FROM placed WHERE page_id % 107 = 13
 ), """ + _TREE.format(x="a") + "," + _TREE.format(x="b") + """, damage AS (

@@ -1,11 +1,12 @@
 import hashlib
 
+import duckdb
 import pytest
 from helpers import with_clashing_columns
 from pyspark.sql import functions as F
 
 from logarbor.llm import warc_fixity as wf
-from logarbor.llm.queries import QUERIES
+from logarbor.llm.queries import ORACLE, QUERIES
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -119,6 +120,11 @@ def test_query_on_repeated_and_null_ids(spark, tmp_path):
     assert got == [(5, "altered")] * 3 + [(11, "missing")] * 2 + [(13, "extra")]
     assert all((r.root_a == r.root_b) == (r.archive < 0) for r in out)
     assert sum(r.archive < 0 for r in out) == len({r.archive for r in out if r.archive < 0}) > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    columns = ", ".join(f'"{c}"' for c in out[0].asDict())
+    want = con.execute(f"SELECT {columns} FROM ({ORACLE['op1_merkle_fixity']})").fetchall()
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
 
 
 def test_written_pages_without_an_id_lie_where_the_index_says(spark, tmp_path):
