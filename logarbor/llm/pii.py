@@ -261,8 +261,9 @@ def _near_evidence(docs: DataFrame, scanned: DataFrame, *, support: int = SUPPOR
         return (F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * df))
                 / F.log2(F.lit(float(n)) / F.col("df_e")))
 
-    # a term stands in all documents where it is near some entity: frequent words cannot pass and are not counted
-    least = met.groupBy("term").agg(F.count_distinct("row").alias("least"))
+    # no term stands in fewer documents than in those that hold an entity: what cannot pass with these is not counted
+    least = (scanned.select(F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+             .groupBy("term").agg(F.count("*").alias("least")))
     pairs = written(co.join(entities, "entity").join(least, "term").where(share(F.col("least")) >= generalise_at)
                     .drop("least"))
     df = term_frequencies(docs, pairs.select("term").distinct())

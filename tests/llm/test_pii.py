@@ -217,6 +217,20 @@ def test_near_evidence_marked_everywhere_equals_brute_force(spark):
         assert clean[i] == (None if t is None else pii.apply_spans(t, reference_spans(t) + added[i]))
 
 
+def test_words_frequent_beside_entities_are_not_counted(spark, monkeypatch):
+    """A word near one entity alone, but in most documents that hold one, cannot pass and is no candidate."""
+    usual = " ".join(f"usual{chr(97 + i)}" for i in range(20))
+    texts = [f"person{i}@corp.example kestrel{chr(97 + i)} usual{chr(97 + i)} stand here with other words {usual}" for i in range(20)]
+    texts += [usual] * 40 + ["quite plain"] * 40
+    counted, count = set(), pii.term_frequencies
+    monkeypatch.setattr(pii, "term_frequencies",
+                        lambda docs, terms: counted.update(r.term for r in terms.collect()) or count(docs, terms))
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs_of(spark, texts), everywhere=True, support=1).collect()}
+    assert counted == {f"kestrel{chr(97 + i)}" for i in range(20)}
+    for i, (t, added) in enumerate(zip(texts, near_evidence_added(texts))):
+        assert [tuple(s) for s in got[i]] == sorted(reference_spans(t) + added)
+
+
 def test_rare_words_far_from_an_entity_stay(spark):
     rng = random.Random(17)
     common = "their usual words stand here and fill the letter with plain project mail soon".split()
