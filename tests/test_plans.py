@@ -109,3 +109,9 @@ def test_bad_lines_of_digits_take_linear_time(spark):
     t0 = time.time()
     assert parse(make_lines(spark, [line] * 4), OPTS).count() == 0
     assert time.time() - t0 < 20
+
+
+def test_plans_name_whole_paths(spark, tmp_path):
+    where = tmp_path / ("d" * 80) / ("e" * 80) / "landed"
+    spark.range(3).write.parquet(str(where))
+    assert "landed" in _plan(spark.read.parquet(str(where)))
